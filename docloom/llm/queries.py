@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import vectors
+from . import neardup, unify, vectors
 
 QUERIES = {
+    "p1_found": neardup.p1_found,
+    "p1_groups": neardup.p1_groups,
     "p4_found": vectors.p4_found,
+    "p5_found": unify.p5_found,
+    "p5_forms": unify.p5_forms,
+    "p5_titles_matched": unify.p5_titles_matched,
 }
 
 ORACLE_SQL: dict[str, str] = {}
