@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup, unify, vectors
+from . import neardup, sentences, unify, vectors
 
 QUERIES = {
     "p1_found": neardup.p1_found,
@@ -11,6 +11,7 @@ QUERIES = {
     "p5_found": unify.p5_found,
     "p5_forms": unify.p5_forms,
     "p5_titles_matched": unify.p5_titles_matched,
+    "p8_found": sentences.p8_found,
 }
 
 ORACLE_SQL: dict[str, str] = {}
