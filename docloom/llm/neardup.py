@@ -9,7 +9,7 @@ ones fill bin after bin with every element, so all coordinates fill, and two
 sketches agree in a coordinate with the probability of the similarity,
 concentrated as for independent choices. ``BANDS`` bands of ``ROWS`` coordinates
 are then joined on equality, pairs that agree in less than ``CHECK_AGREE`` of one
-bit of 64 coordinates are dropped, and every pair left is verified exactly on its
+bit of 128 coordinates are dropped, and every pair left is verified exactly on its
 words.
 
 Scale: texts with the same words are one class, so copies meet once; the band
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize, spread
 
 BINS, ROWS, BANDS = 160, 8, 20
-CHECK_AGREE = 48
+CHECK_AGREE = 98
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
@@ -100,16 +100,16 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             bands = mixed[:, : ROWS * BANDS].reshape(n, BANDS, ROWS)
             seeds = (np.arange(ROWS, dtype=np.uint64) * _U(2) + _U(1)) * _U(0x9E3779B97F4A7C15)
             keys = (_mix((bands * seeds).sum(2)) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32).reshape(n, BANDS)
-            bits = (mixed[:, :64] >> _U(7) & _U(1)) << np.arange(64, dtype=np.uint64)
-            check = np.bitwise_or.reduce(bits, axis=1)
+            bits = (mixed[:, :128] >> _U(7) & _U(1)).reshape(n, 2, 64) << np.arange(64, dtype=np.uint64)
+            check = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
             take = pa.array(having)
             yield pa.RecordBatch.from_arrays(
-                [part.column("tbl").take(take), part.column("id").take(take), pa.array(sig1.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(check.view(np.int64)), *[pa.array(keys[:, b]) for b in range(BANDS)]],
-                names=["tbl", "id", "sig1", "sig2", "chk", *[f"b{b}" for b in range(BANDS)]],
+                [part.column("tbl").take(take), part.column("id").take(take), pa.array(sig1.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(check[:, 0]), pa.array(check[:, 1]), *[pa.array(keys[:, b]) for b in range(BANDS)]],
+                names=["tbl", "id", "sig1", "sig2", "chk1", "chk2", *[f"b{b}" for b in range(BANDS)]],
             )
 
 
-_SKETCH = "tbl string, id bigint, sig1 bigint, sig2 bigint, chk bigint, " + ", ".join(f"b{b} int" for b in range(BANDS))
+_SKETCH = "tbl string, id bigint, sig1 bigint, sig2 bigint, chk1 bigint, chk2 bigint, " + ", ".join(f"b{b} int" for b in range(BANDS))
 
 
 def in_common(a: str, b: str) -> tuple[int, int]:
@@ -142,12 +142,12 @@ def classes_and_pairs(texts: DataFrame, threshold: float = 0.70) -> tuple[DataFr
     rows = spread(texts.select("tbl", "id", "text").filter("id is not null and text is not null"), "id")
     sk = materialize(rows.mapInArrow(_sketch_batches, _SKETCH))
     key = ["tbl", "sig1", "sig2"]
-    reps = sk.groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("chk", *(f"b{b}" for b in range(BANDS)))])
+    reps = sk.groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("chk1", "chk2", *(f"b{b}" for b in range(BANDS)))])
     ids = sk.select(*key, "id").distinct()
     members = ids.join(sk.groupBy(*key).agg(F.min("id").alias("rep")), key).select("tbl", "rep", "id")
-    bands = reps.select("tbl", F.col("rep").alias("id"), "chk", F.posexplode(F.array(*[F.col(f"b{b}") for b in range(BANDS)])).alias("band", "h"))
-    bands = bands.select("tbl", ((F.col("band").cast("bigint") * F.lit(1 << 32)) + F.col("h").cast("bigint")).alias("h"), "id", "chk")
-    agree = F.lit(64) - F.bit_count(F.col("a.chk").bitwiseXOR(F.col("b.chk")))
+    bands = reps.select("tbl", F.col("rep").alias("id"), "chk1", "chk2", F.posexplode(F.array(*[F.col(f"b{b}") for b in range(BANDS)])).alias("band", "h"))
+    bands = bands.select("tbl", ((F.col("band").cast("bigint") * F.lit(1 << 32)) + F.col("h").cast("bigint")).alias("h"), "id", "chk1", "chk2")
+    agree = F.lit(128) - F.bit_count(F.col("a.chk1").bitwiseXOR(F.col("b.chk1"))) - F.bit_count(F.col("a.chk2").bitwiseXOR(F.col("b.chk2")))
     meet = (F.col("a.tbl") == F.col("b.tbl")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (agree >= CHECK_AGREE)
     cand = bands.alias("a").join(bands.alias("b"), meet).select(F.col("a.tbl").alias("tbl"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
     cand = materialize(cand)
