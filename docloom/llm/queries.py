@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import neardup, sentences, unify, vectors
+from . import neardup, scanrepair, sentences, unify, vectors
 
 QUERIES = {
     "p1_found": neardup.p1_found,
     "p1_groups": neardup.p1_groups,
+    "p2_found": scanrepair.p2_found,
     "p4_found": vectors.p4_found,
     "p5_found": unify.p5_found,
     "p5_forms": unify.p5_forms,
