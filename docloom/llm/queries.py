@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup, scanrepair, sentences, unify, vectors
+from . import mixing, neardup, packing, scanrepair, sentences, unify, vectors
 
 QUERIES = {
     "p1_found": neardup.p1_found,
@@ -12,6 +12,10 @@ QUERIES = {
     "p5_found": unify.p5_found,
     "p5_forms": unify.p5_forms,
     "p5_titles_matched": unify.p5_titles_matched,
+    "p6_containers": packing.p6_containers,
+    "p6_fill": packing.p6_fill,
+    "p7_mix": mixing.p7_mix,
+    "p7_shares": mixing.p7_shares,
     "p8_found": sentences.p8_found,
 }
 
