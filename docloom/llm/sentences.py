@@ -27,12 +27,12 @@ bounded for any corpus; it is broadcast.
 from __future__ import annotations
 
 import pickle
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +41,17 @@ from .common import materialize, spread
 MIN_COUNT, MIN_SHARE = 8, 1e-6
 ABBREVIATION_CHARS = 8
 
-BLANK = regex.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-MARK = regex.compile(r"[^\S\n]*(?:#{1,6}|[-*•‣–]|\d{1,3}(?:\.\d{1,3})*[.)]|\d{1,2}(?:\.\d{1,2})+)[^\S\n]+")
-HEADING = regex.compile(r"[^\S\n]*#{1,6}[^\S\n]")
-SPAN = regex.compile(
-    r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「(?:[^「」]|「[^「」]*」)*」|『[^『』]*』|(?<![\w])‘[^‘’]*’(?!\p{Latin})|(?<![^\s(（])\"[^\"]*\"|\((?:[^()]|\([^()]*\))*\)|（[^（）]*）|\[[^\[\]]*\]"
+BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+MARK = re.compile(r"[^\S\n]*(?:#{1,6}|[-*•‣–]|\d{1,3}(?:\.\d{1,3})*[.)]|\d{1,2}(?:\.\d{1,2})+)[^\S\n]+")
+OPENER = re.compile(r"[“„«「『‘\"(（\[]")
+SPAN = re.compile(
+    r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「(?:[^「」]|「[^「」]*」)*」|『[^『』]*』|(?<!\w)‘[^‘’]*’(?![A-Za-zÀ-ɏ])|(?<![^\s(（])\"[^\"]*\"|\((?:[^()]|\([^()]*\))*\)|（[^（）]*）|\[[^\[\]]*\]"
 )
-SIGN = regex.compile(r"[.!?]+|[。！？｡]+|…+|[।॥]+|\n")
-THAI_SPACE = regex.compile(r"(?<=\S)[^\S\n]+(?=\S)")
-INNER_END = regex.compile(r"[.!?。！？｡।…][\s”“»」』’\")）\]]*$")
+SIGN = re.compile(r"[.!?]+|[。！？｡]+|…+|[।॥]+|\n")
+THAI_SPACE = re.compile(r"(?<=\S)[^\S\n]+(?=\S)")
+INNER_END = re.compile(r"[.!?。！？｡।…][\s”“»」』’\")）\]]*$")
 STRIP = "“”„\"«»「」『』‘’'()（）[]{}.,;:!?…。，、；：！？।॥"
-NUMBER = regex.compile(r"^[\d.,:/-]*\d[\d.,:/-]*$")
+NUMBER = re.compile(r"^[\d.,:/-]*\d[\d.,:/-]*$")
 
 # A few frequent words that tell Latin-script languages apart.
 LATIN_WORDS = {
@@ -59,25 +59,31 @@ LATIN_WORDS = {
     "de": {"der", "die", "und", "in", "wurde", "im", "von", "zu", "den", "ist", "hat", "nach"},
     "fr": {"le", "la", "de", "et", "du", "des", "les", "à", "en", "un", "une", "sur"},
 }
+# The ranges of letters that tell the other scripts; Han last, as Japanese has it too.
 SCRIPTS = [
-    ("ko", regex.compile(r"\p{Hangul}")),
-    ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")),
-    ("th", regex.compile(r"\p{Thai}")),
-    ("hi", regex.compile(r"\p{Devanagari}")),
-    ("zh", regex.compile(r"\p{Han}")),
+    ("ko", re.compile(r"[ᄀ-ᇿ가-힣]+")),
+    ("ja", re.compile(r"[ぁ-ヿ]+")),
+    ("th", re.compile(r"[฀-๿]+")),
+    ("hi", re.compile(r"[ऀ-ॿ]+")),
+    ("zh", re.compile(r"[㐀-鿿]+")),
 ]
-NON_ASCII_SCRIPT = regex.compile(r"[^\x00-ɏ‐-⁯]")
+OTHER_SCRIPT = re.compile(r"[\u0370-\u1fff\u2c00-\ud7ff\uf900-\ufdff]")
 
 
 def language(block: str) -> str:
     """The language of a block by its script; Latin script by frequent words."""
-    if NON_ASCII_SCRIPT.search(block):
-        letters = sum(c.isalpha() for c in block) or 1
+    if OTHER_SCRIPT.search(block):
+        least = 0.12 * len(block)
         for lang, pattern in SCRIPTS:
-            if len(pattern.findall(block)) > 0.15 * letters:
+            if pattern.search(block) and sum(map(len, pattern.findall(block))) > least:
                 return lang
-    words = Counter(block.lower().split())
-    return max(LATIN_WORDS, key=lambda lang: sum(words[w] for w in LATIN_WORDS[lang]))
+    words = block.lower().split()
+    return max(LATIN_WORDS, key=lambda lang: sum(map(words.count, LATIN_WORDS[lang]))) if len(words) < 60 else _by_counts(words)
+
+
+def _by_counts(words: list[str]) -> str:
+    counts = Counter(words)
+    return max(LATIN_WORDS, key=lambda lang: sum(counts[w] for w in LATIN_WORDS[lang]))
 
 
 def core(token: str) -> str:
@@ -116,30 +122,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens, first, last, pairs = (defaultdict(Counter) for _ in range(4))
 
     def flush() -> pa.RecordBatch:
-        rows: Counter = Counter()
+        rows: dict = defaultdict(lambda: [0, 0, 0, 0])
         for lang, counter in tokens.items():
             for t, n in counter.items():
-                c = core(t)
-                rows[(lang, c, "", 0)] += n
+                row = rows[(lang, core(t), "")]
+                row[0] += n
                 bare = t.rstrip("”“»」』’\"')）]")
                 if bare.endswith(".") and not bare.endswith(".."):
-                    rows[(lang, c, "", 1)] += n
-                if t.rstrip("”“»」』’\"')）]")[-1:] in "!?।॥" and c:
-                    rows[(lang, c, "", 3)] += n
-        for kind, counts in ((2, first), (3, last)):
+                    row[1] += n
+                if bare[-1:] in ("!", "?", "।", "॥"):
+                    row[3] += n
+        for at, counts in ((2, first), (3, last)):
             for lang, counter in counts.items():
                 for t, n in counter.items():
-                    rows[(lang, t if lang == "th" else core(t), "", kind)] += n
+                    rows[(lang, core(t), "")][at] += n
         for lang, counter in pairs.items():
             for (a, b), n in counter.items():
-                rows[(lang, core(a), core(b), 4)] += n
+                rows[(lang, core(a), core(b))][0] += n
         for d in (tokens, first, last, pairs):
             d.clear()
-        keys = list(rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array([k[3] for k in keys], pa.int32()), pa.array([shape(k[2] or k[1]) for k in keys], pa.string()), pa.array(list(rows.values()), pa.int64())],
-            names=["lang", "token", "next", "kind", "shape", "n"],
-        )
+        names = ["lang", "token", "next", "shape", "n", "dot", "first", "last"]
+        cols = [pa.array([k[i] for k in rows], pa.string()) for i in range(3)] + [pa.array([shape(k[2] or k[1]) for k in rows], pa.string())]
+        return pa.RecordBatch.from_arrays(cols + [pa.array([v[i] for v in rows.values()], pa.int64()) for i in range(4)], names=names)
 
     size = 0
     for batch in batches:
@@ -186,28 +190,30 @@ def learn(texts: DataFrame) -> dict:
 
     ``texts`` has (text). Every text is counted.
     """
-    counted = spread(texts.select("text").filter("text is not null"), "text").mapInArrow(_count, "lang string, token string, next string, kind int, shape string, n bigint")
-    counts = materialize(counted.groupBy("lang", "token", "next", "kind", "shape").agg(F.sum("n").alias("n")))
-    kind = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
-    types = counts.filter("kind < 4").groupBy("lang", "token", "shape").agg(kind(0).alias("n"), kind(1).alias("dot"), kind(2).alias("first"), kind(3).alias("last"))
+    counted = spread(texts.select("text").filter("text is not null"), "text").mapInArrow(_count, "lang string, token string, next string, shape string, n bigint, dot bigint, first bigint, last bigint")
+    counts = materialize(counted.groupBy("lang", "token", "next", "shape").agg(*[F.sum(c).alias(c) for c in ("n", "dot", "first", "last")]))
+    types = counts.filter("next = ''").drop("next")
+    pairs = counts.filter("next <> '' and lang <> 'th'").select("lang", "token", "next", "shape", "n")
     total = types.groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum("dot").alias("all_dot"), F.sum("first").alias("all_first"), F.sum("last").alias("all_last"))
+    total = materialize(total)  # a row a language
     own = (F.col("n") >= MIN_COUNT) & (F.col("n") >= F.col("all_n") * MIN_SHARE)
     joined = types.join(F.broadcast(total), "lang")
     # Thai keeps starts and ends apart by its prefix; a frequent token has its own rate, the others that of their shape
     rates = joined.withColumn("key", F.when(own, F.col("token")).otherwise(F.col("shape"))).groupBy("lang", "key", "all_n", "all_first", "all_last").agg(*[F.sum(c).alias(c) for c in ("n", "dot", "first", "last")])
     anywhere = F.log((F.col("n") + 1.0) / (F.col("all_n") + 2.0))
-    rates = rates.withColumn("start", F.log((F.col("first") + 0.5) / (F.col("all_first") + 1.0)) - anywhere).withColumn("end", F.log((F.col("last") + 0.5) / (F.col("all_last") + 1.0)) - anywhere)
+    rates = materialize(rates.withColumn("start", F.log((F.col("first") + 0.5) / (F.col("all_first") + 1.0)) - anywhere).withColumn("end", F.log((F.col("last") + 0.5) / (F.col("all_last") + 1.0)) - anywhere))
     model: dict = {"start": defaultdict(dict), "end": defaultdict(dict), "abbreviations": defaultdict(set), "collocations": defaultdict(set)}
     for r in rates.select("lang", "key", "start", "end").collect():  # at most 1 / MIN_SHARE rows a language
         model["start"][r.lang][r.key] = r.start
         model["end"][r.lang][r.key] = r.end
     # what follows a type's periods, as far as it looks like a start
     scores = rates.select("lang", "key", "start")
+    # at most 1 / MIN_SHARE tokens a language
     known = joined.filter(own).select("lang", F.col("token").alias("next"), F.lit(True).alias("own"))
-    follow = counts.filter("kind = 4 and lang <> 'th'").join(known, ["lang", "next"], "left").withColumn("key", F.when(F.col("own"), F.col("next")).otherwise(F.col("shape"))).join(F.broadcast(scores), ["lang", "key"], "left")
+    follow = pairs.join(F.broadcast(known), ["lang", "next"], "left").withColumn("key", F.when(F.col("own"), F.col("next")).otherwise(F.col("shape"))).join(F.broadcast(scores), ["lang", "key"], "left")
     after = follow.groupBy("lang", "token").agg(F.sum("n").alias("followed"), F.coalesce(F.sum(F.when(F.col("start") > 0, F.col("n"))), F.lit(0)).alias("starts"))
     base = after.groupBy("lang").agg(F.sum("followed").alias("all_followed"), F.sum("starts").alias("all_starts"))
-    cand = types.filter("dot > 0").join(after, ["lang", "token"], "left").join(F.broadcast(total), "lang").join(F.broadcast(base), "lang").na.fill(0)
+    cand = types.filter(f"dot >= 3 and dot * 2 > n and length(token) <= {ABBREVIATION_CHARS}").join(after, ["lang", "token"], "left").join(F.broadcast(total), "lang").join(F.broadcast(base), "lang").na.fill(0)
     cand = cand.withColumn("ended", F.greatest(F.col("dot") - F.col("followed"), F.lit(0)) + F.col("starts"))
     d = lambda c: F.col(c).cast("double")
     takes = _llr(d("dot"), F.greatest(d("n"), d("dot")), d("all_dot") - d("dot"), d("all_n") - d("n"))
@@ -216,8 +222,9 @@ def learn(texts: DataFrame) -> dict:
     for r in abbr.filter(F.col("dot") >= F.col("all_dot") * MIN_SHARE).select("lang", "token").collect():
         model["abbreviations"][r.lang].add(r.token)
     # collocations after numbers and abbreviations, as a day and its month
-    one = types.select("lang", F.col("token").alias("next"), F.col("n").alias("n2"))
-    pair = counts.filter("kind = 4 and lang <> 'th' and n >= 5").join(one, ["lang", "next"]).join(types.select("lang", "token", "dot"), ["lang", "token"]).join(F.broadcast(total), "lang")
+    often = types.filter("n >= 5")
+    one = often.select("lang", F.col("token").alias("next"), F.col("n").alias("n2"))
+    pair = pairs.filter("n >= 5").join(one, ["lang", "next"]).join(often.select("lang", "token", "dot"), ["lang", "token"]).join(F.broadcast(total), "lang")
     together = _llr(d("n"), F.greatest(d("dot"), d("n")), F.greatest(d("n2") - d("n"), F.lit(0.0)), d("all_n") - d("dot"))
     for r in pair.filter((together > 7.88) & (F.col("n") * d("all_n") > d("dot") * d("n2")) & (F.col("n") >= F.col("all_dot") * MIN_SHARE)).select("lang", "token", "next").collect():
         model["collocations"][r.lang].add((r.token, r.next))
@@ -275,7 +282,7 @@ class Classifier:
             if clean[:1].isdigit():
                 return lang in ("en", "fr") and not nxt.endswith((".", ")")) and len(word.strip(STRIP)) > 2
             return self.start(lang, nxt) > -1.0 if lang in ("en", "fr") else self.start(lang, nxt) > 0
-        if c in abbreviations or (len(c) == 1 and c.isupper()) or (regex.fullmatch(r"(?:\p{L}{1,2}\.)+\p{L}{1,2}", c) is not None):
+        if c in abbreviations or (len(c) == 1 and c.isupper()) or (re.fullmatch(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}", c) is not None):
             return not lower and not clean[:1].isdigit() and self.start(lang, nxt) > 0
         if lower:
             return self.start(lang, nxt) > 0
@@ -305,7 +312,7 @@ class Classifier:
         return b > 0 and a + b + self.LINE_PRIOR > 0
 
     def _spans(self, block: str, lang: str) -> list[tuple[int, int]]:
-        return [(m.start(), m.end()) for m in SPAN.finditer(block)]
+        return [(m.start(), m.end()) for m in SPAN.finditer(block)] if OPENER.search(block) else []
 
     def units(self, text: str) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
