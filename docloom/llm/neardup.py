@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialize, spread
 
 BINS, ROWS, BANDS = 160, 8, 20
-CHECK_AGREE = 98
+CHECK_AGREE = 101
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
@@ -133,7 +133,7 @@ def _verifier(threshold: float):
 
 
 def classes_and_pairs(texts: DataFrame, threshold: float = 0.70) -> tuple[DataFrame, DataFrame]:
-    """Members (tbl, rep, id) of the classes of texts with the same words, and near pairs (tbl, id_a, id_b) of representatives.
+    """Members (tbl, rep, id) of the classes of several ids with the same words, and near pairs (tbl, id_a, id_b) of representatives.
 
     ``texts`` has (tbl, id, text). Rows with a null id or text and texts without
     a letter or digit are left out. Repeated rows count once; an id with several
@@ -143,8 +143,8 @@ def classes_and_pairs(texts: DataFrame, threshold: float = 0.70) -> tuple[DataFr
     sk = materialize(rows.mapInArrow(_sketch_batches, _SKETCH))
     key = ["tbl", "sig1", "sig2"]
     reps = sk.groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("chk1", "chk2", *(f"b{b}" for b in range(BANDS)))])
-    ids = sk.select(*key, "id").distinct()
-    members = ids.join(sk.groupBy(*key).agg(F.min("id").alias("rep")), key).select("tbl", "rep", "id")
+    copied = sk.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("top")).filter("rep <> top").drop("top")
+    members = sk.select(*key, "id").join(copied, key).select("tbl", "rep", "id").distinct()
     bands = reps.select("tbl", F.col("rep").alias("id"), "chk1", "chk2", F.posexplode(F.array(*[F.col(f"b{b}") for b in range(BANDS)])).alias("band", "h"))
     bands = bands.select("tbl", ((F.col("band").cast("bigint") * F.lit(1 << 32)) + F.col("h").cast("bigint")).alias("h"), "id", "chk1", "chk2")
     agree = F.lit(128) - F.bit_count(F.col("a.chk1").bitwiseXOR(F.col("b.chk1"))) - F.bit_count(F.col("a.chk2").bitwiseXOR(F.col("b.chk2")))
@@ -164,11 +164,9 @@ def near_pairs(texts: DataFrame, threshold: float = 0.70) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b: all pairs of ids whose texts reach the threshold, copies included."""
     members, near = classes_and_pairs(texts, threshold)
     members = materialize(members)
-    m = lambda s: members.select("tbl", F.col("rep").alias(f"id_{s}"), F.col("id").alias(s))
-    across = near.join(m("a"), ["tbl", "id_a"]).join(m("b"), ["tbl", "id_b"]).select("tbl", "a", "b")
-    copied = members.filter(F.col("id") != F.col("rep")).select("tbl", "rep").distinct()
-    inner = members.join(copied, ["tbl", "rep"], "left_semi")
-    within = inner.select("tbl", "rep", F.col("id").alias("a")).join(inner.select("tbl", "rep", F.col("id").alias("b")), ["tbl", "rep"]).filter("a < b").select("tbl", "a", "b")
+    side = lambda s: members.select("tbl", F.col("rep").alias(f"id_{s}"), F.col("id").alias(s))
+    across = near.join(side("a"), ["tbl", "id_a"], "left").join(side("b"), ["tbl", "id_b"], "left").select("tbl", F.coalesce("a", "id_a").alias("a"), F.coalesce("b", "id_b").alias("b"))
+    within = members.select("tbl", "rep", F.col("id").alias("a")).join(members.select("tbl", "rep", F.col("id").alias("b")), ["tbl", "rep"]).filter("a < b").select("tbl", "a", "b")
     pairs = across.unionByName(within).filter("a <> b")
     return pairs.select("tbl", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
@@ -200,9 +198,11 @@ def near_groups(texts: DataFrame, threshold: float = 0.70) -> DataFrame:
     group = components(near).withColumnRenamed("id", "rep")
     ends = near.select("tbl", F.col("id_a").alias("rep")).unionByName(near.select("tbl", F.col("id_b").alias("rep")))
     links = ends.groupBy("tbl", "rep").agg(F.count(F.lit(1)).alias("links"))
-    copied = members.filter(F.col("id") != F.col("rep")).select("tbl", "rep").distinct().withColumn("copied", F.lit(True))
-    out = members.join(group, ["tbl", "rep"], "left").join(links, ["tbl", "rep"], "left").join(copied, ["tbl", "rep"], "left")
-    return out.filter("group_id is not null or copied").select(F.col("tbl").alias("table_name"), "id", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    linked = group.join(links, ["tbl", "rep"])
+    alone = linked.join(members.select("tbl", "rep").distinct(), ["tbl", "rep"], "left_anti").withColumn("id", F.col("rep"))
+    copied = members.join(linked, ["tbl", "rep"], "left")
+    out = alone.unionByName(copied.select(*alone.columns))
+    return out.select(F.col("tbl").alias("table_name"), "id", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def catalogue_texts(spark, sf_dir: str) -> DataFrame:
