@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, scanrepair, sentences, unify, vectors
+from . import mixing, neardup, packing, scanrepair, sentences, subjects, unify, vectors
 
 QUERIES = {
     "p1_found": neardup.p1_found,
     "p1_groups": neardup.p1_groups,
     "p2_found": scanrepair.p2_found,
+    "p3_found": subjects.p3_found,
+    "p3_shares": subjects.p3_shares,
     "p4_found": vectors.p4_found,
     "p5_found": unify.p5_found,
     "p5_forms": unify.p5_forms,
