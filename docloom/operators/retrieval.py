@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import analyze
+from docloom.functions.vector import dot
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -18,13 +19,10 @@ def usable(vector: Column) -> Column:
 
 
 def cosine_to(vector: Column, query: list[float]) -> Column:
-    """Cosine with one query vector, unrolled into plain arithmetic so that it is compiled."""
+    """Cosine with one query vector, which is a literal of the plan."""
     q = [float(v) for v in query]
     norm = sum(v * v for v in q) ** 0.5
-    at = lambda i: F.get(vector, F.lit(i)).cast("double")
-    dot = reduce(lambda a, b: a + b, [at(i) * v for i, v in enumerate(q)])
-    own = reduce(lambda a, b: a + b, [at(i) * at(i) for i in range(len(q))])
-    return F.round(dot / (F.sqrt(own) * norm), 6)
+    return F.round(dot(vector, F.array(*[F.lit(v) for v in q])) / (F.sqrt(dot(vector, vector)) * norm), 6)
 
 
 def ranked(df: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
