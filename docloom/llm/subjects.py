@@ -191,12 +191,15 @@ def subject_posteriors(documents: DataFrame, blocks: DataFrame, labels: DataFram
     Repeated documents and blocks count once, of a document delivered several
     times the last delivery's category. Labels of unknown areas are ignored. A
     document without a word of the vocabulary gets its category's areas, else the
-    most frequent one.
+    most frequent one. Without areas nothing is assigned.
     """
     spark = documents.sparkSession
     area_rows = areas.filter("area_code is not null").dropDuplicates(["area_code"]).orderBy("area_code").limit(62).collect()
     codes, k = [a.area_code for a in area_rows], len(area_rows)
     docs = documents.filter("document_id is not null").groupBy("document_id").agg(F.max_by("domain_category", F.coalesce("created_at", F.lit("1900-01-01").cast("timestamp"))).alias("category"))
+    if not k:
+        nothing = F.array().cast("array<double>")
+        return docs.select("document_id", nothing.alias("posteriors"), nothing.alias("shares")), []
     index = F.create_map(*[F.lit(x) for i, c in enumerate(codes) for x in (c, 1 << i)])
     lab = labels.filter(F.col("area_code").isin(codes)).groupBy("document_id").agg(F.bit_or(index[F.col("area_code")]).cast("bigint").alias("labels"))
     docs = materialize(docs.withColumn("hints", category_hint(F.col("category"), area_rows)).join(lab, "document_id", "left").select("document_id", "hints", F.coalesce("labels", F.lit(0)).alias("labels")))
@@ -243,6 +246,8 @@ def subject_posteriors(documents: DataFrame, blocks: DataFrame, labels: DataFram
 def subject_areas(documents: DataFrame, blocks: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """(document_id, area_code, posterior): the areas above one half, at least the likeliest of each document."""
     scored, codes = subject_posteriors(documents, blocks, labels, areas)
+    if not codes:
+        return scored.limit(0).select("document_id", F.lit("").alias("area_code"), F.lit(0.0).alias("posterior"))
     each = scored.select("document_id", F.array_max("posteriors").alias("best"), F.posexplode("posteriors").alias("z", "posterior"))
     kept = each.filter((F.col("posterior") >= 0.5) | (F.col("posterior") == F.col("best")))
     names = F.array(*[F.lit(c) for c in codes])
@@ -266,6 +271,8 @@ def p3_shares(spark, sf_dir: str) -> DataFrame:
     """Per area the documents that deal with it, their share of the catalogue, and the mean share of sentences."""
     documents, blocks, labels, areas = _tables(spark, sf_dir)
     scored, codes = subject_posteriors(documents, blocks, labels, areas)
+    if not codes:
+        return areas.limit(0).select("area_code", F.lit(0).cast("bigint").alias("documents"), F.lit(0.0).alias("mean_sentence_share"), F.lit(0.0).alias("catalogue_share"))
     scored = materialize(scored)
     each = scored.select("document_id", F.array_max("posteriors").alias("best"), F.posexplode(F.arrays_zip("posteriors", F.coalesce("shares", F.array(*[F.lit(0.0) for _ in codes])).alias("shares"))).alias("z", "s"))
     n = scored.count()
