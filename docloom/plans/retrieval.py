@@ -181,6 +181,8 @@ def track_b(x):
     """Three sub-queries find sections each; the original query searches the chunks of their union."""
     n = nodes(x)
     subs = n.filter(retrieval.usable(F.col("v")) & F.col("text").isNotNull()).orderBy("id").select("v").limit(3).collect()
+    if not subs:
+        return n.limit(0).select("id", "section_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rank"))
     s = sections(x)
     found = None
     for r in subs:
@@ -258,6 +260,8 @@ def route_domain(x):
     e = x.embeddings
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centroids = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")).orderBy("label").limit(1000).collect()
+    if not centroids:
+        return e.limit(0).select("vec_id", F.col("label").alias("domain"), F.lit("B").alias("track"))
     scored = [F.struct(retrieval.cosine_to(F.col("embedding"), r.c).alias("s"), F.lit(-r.label).alias("m"), F.lit(r.label).alias("domain")) for r in centroids]
     best = F.array_max(F.array(*scored))
     return e.select("vec_id", best.alias("b")).select("vec_id", F.col("b.domain").alias("domain"), F.when(F.col("b.s") >= 0.5, "A").otherwise("B").alias("track"))

@@ -93,6 +93,8 @@ def closest_type(x):
     """The area that a category names, by containment either way in list order, else by shared words."""
     areas = x.subject_areas.select("area_code", F.lower("name_en").alias("name")).orderBy("area_code").limit(1000).collect()  # a fixed dimension
     given = x.parser_documents.filter("domain_category is not null").select(F.lower(F.trim("domain_category")).alias("given")).distinct()
+    if not areas:
+        return given.select("given", F.lit(None).cast("string").alias("area_code"))
     words = t.analyze(F.col("given"))
     score = lambda i, a: F.when(F.lit(a.name).contains(F.col("given")) | F.col("given").contains(a.name), F.lit(i)).otherwise(1000 - 100 * F.size(F.array_intersect(words, t.analyze(F.lit(a.name)))) + i)
     best = F.array_min(F.array(*[F.struct(score(i + 1, a).alias("s"), F.lit(a.area_code).alias("area_code")) for i, a in enumerate(areas)]))
