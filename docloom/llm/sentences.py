@@ -281,7 +281,9 @@ class Classifier:
                 return False
             if clean[:1].isdigit():
                 return lang in ("en", "fr") and not nxt.endswith((".", ")")) and len(word.strip(STRIP)) > 2
-            return self.start(lang, nxt) > -1.0 if lang in ("en", "fr") else self.start(lang, nxt) > 0
+            return lang in ("en", "fr") or self.start(lang, nxt) > 0
+        if len(c) == 1 and c.isupper() and len(clean.rstrip(STRIP)) == 1:
+            return False  # initials in a row
         if c in abbreviations or (len(c) == 1 and c.isupper()) or (re.fullmatch(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}", c) is not None):
             return not lower and not clean[:1].isdigit() and self.start(lang, nxt) > 0
         if lower:
