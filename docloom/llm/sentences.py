@@ -55,9 +55,9 @@ NUMBER = re.compile(r"^[\d.,:/-]*\d[\d.,:/-]*$")
 
 # A few frequent words that tell Latin-script languages apart.
 LATIN_WORDS = {
-    "en": {"the", "of", "and", "in", "were", "was", "by", "to", "for", "is"},
-    "de": {"der", "die", "und", "in", "wurde", "im", "von", "zu", "den", "ist", "hat", "nach"},
-    "fr": {"le", "la", "de", "et", "du", "des", "les", "à", "en", "un", "une", "sur"},
+    "en": {"the", "of", "and", "in", "were", "was", "by", "to", "for", "is", "at", "that", "with", "as", "on", "after", "who", "before"},
+    "de": {"der", "die", "und", "in", "wurde", "wurden", "im", "von", "zu", "den", "ist", "hat", "nach", "gilt", "lag", "bei", "durch", "für", "gemäß", "laut", "seit", "wer", "am", "mit"},
+    "fr": {"le", "la", "de", "et", "du", "des", "les", "à", "en", "un", "une", "sur", "est", "par", "pour", "dans", "selon", "qui", "après", "avec"},
 }
 # The ranges of letters that tell the other scripts; Han last, as Japanese has it too.
 SCRIPTS = [
@@ -70,20 +70,23 @@ SCRIPTS = [
 OTHER_SCRIPT = re.compile(r"[\u0370-\u1fff\u2c00-\ud7ff\uf900-\ufdff]")
 
 
-def language(block: str) -> str:
-    """The language of a block by its script; Latin script by frequent words."""
+def language(block: str, base: str = "en") -> str:
+    """The language of a block by its script; Latin script by frequent words, ``base`` where these don't tell."""
     if OTHER_SCRIPT.search(block):
         least = 0.12 * len(block)
         for lang, pattern in SCRIPTS:
             if pattern.search(block) and sum(map(len, pattern.findall(block))) > least:
                 return lang
     words = block.lower().split()
-    return max(LATIN_WORDS, key=lambda lang: sum(map(words.count, LATIN_WORDS[lang]))) if len(words) < 60 else _by_counts(words)
+    count = words.count if len(words) < 60 else Counter(words).__getitem__
+    scores = sorted(((sum(map(count, w)), lang) for lang, w in LATIN_WORDS.items()), reverse=True)
+    return scores[0][1] if scores[0][0] > scores[1][0] else base
 
 
-def _by_counts(words: list[str]) -> str:
-    counts = Counter(words)
-    return max(LATIN_WORDS, key=lambda lang: sum(counts[w] for w in LATIN_WORDS[lang]))
+def base_language(text: str) -> str:
+    """The Latin-script language of a whole text, for blocks too short to tell."""
+    lang = language(text)
+    return lang if lang in LATIN_WORDS else "en"
 
 
 def core(token: str) -> str:
@@ -148,9 +151,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for text in batch.column("text").to_pylist():
+            base = base_language(text)
             for s, e in blocks_of(text):
                 block = text[s:e]
-                lang = language(block)
+                lang = language(block, base)
                 if lang in ("zh", "ja"):
                     continue
                 if lang == "th":
@@ -318,9 +322,10 @@ class Classifier:
 
     def units(self, text: str) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
+        base = base_language(text)
         for bs, be in blocks_of(text):
             block = text[bs:be]
-            lang = language(block)
+            lang = language(block, base)
             cuts = self._cuts(block, lang)
             at = 0
             for cut in [*cuts, len(block)]:
