@@ -18,7 +18,7 @@ BLOCKS = "document_id string, source_path string, block_type string, content str
 
 
 def files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, content, document_id, extension, supported): the id is the content's digest."""
+    """(path, content, document_id, extension, supported): the id is the content's digest. Files without bytes give no row."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     ext = extension(F.col("path"))
     return raw.select("path", "content", F.md5("content").alias("document_id"), ext.alias("extension"), ext.isin(list(EXTENSIONS) + [".txt"]).alias("supported"))

@@ -186,3 +186,56 @@ def empty(spark, folder, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not (n[0] == "p" and n[1].isdigit())))
 def test_empty_tables(spark, empty, name):
     assert entry.queries()[name](spark, empty).count() <= 4  # aggregates give a row
+
+
+def test_flow(spark):
+    from docloom.operators import flow
+
+    assert flow.planned("how many orders").task_type == "quantitative"
+
+    class Web(Provider):
+        def plan(self, query):
+            return {"task_type": "web"}
+
+    assert flow.planned("the annual report", Web()).task_type == "document"
+    plan = flow.planned("a question")
+    one_row = spark.range(1)
+
+    def broken(p, needs):
+        raise ValueError("down")
+
+    done = flow.execute(plan, {"domain_search": lambda p, n: one_row, "document_search": broken, "node_search": lambda p, n: one_row})
+    assert list(done) == ["s1"] and [s.status for s in plan.steps] == ["done", "failed", "pending"]
+    calls = []
+    got = flow.answered("alpha beta", lambda q: calls.append(q) or ["nothing"], rewrite=lambda q, i: q + "!")
+    assert len(calls) == flow.MAX_SEARCHES + 1 and not got["complete"] and got["events"][-1]["type"] == "error"
+    assert flow.answered("alpha beta", lambda q: ["alpha beta gamma"])["complete"]
+
+
+def test_ledger_stream(spark, folder, tmp_path):
+    from docloom.streaming import ledger as stream_ledger
+
+    log = spark.read.parquet(f"{folder}/parser_job_steps.parquet")
+    log.repartition(3).write.parquet(str(tmp_path / "log"))
+    s = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    q = stream_ledger.latest_status(s).writeStream.format("memory").queryName("ledger_now").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    key = lambda df: sorted((r.job_id, r.step_name, r.status) for r in df.collect())
+    assert key(spark.table("ledger_now")) == key(ledger.latest_steps(log))
+
+
+def test_files(spark, tmp_path):
+    import zipfile
+
+    from docloom.sources import files
+
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>v</t></is></c></row><row r="2"><c r="A2"><v>7</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "x.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>k</t></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    (tmp_path / "n.txt").write_bytes(b"\xff\xfe plain")
+    (tmp_path / "e.md").write_text("")
+    (tmp_path / "z.exe").write_text("no")
+    got = {r.source_path.rsplit("/", 1)[-1]: r for r in files.blocks(files.files(spark, str(tmp_path))).collect()}
+    assert set(got) == {"x.xlsx", "n.txt"}  # Spark reads no file without bytes
+    assert got["x.xlsx"].content == "| k | v |\n| --- | --- |\n| 7 |  |" and got["x.xlsx"].sheet_name == "sheet1"
