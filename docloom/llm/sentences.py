@@ -29,7 +29,8 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,7 @@ LATIN_WORDS = {
     "de": {"der", "die", "und", "in", "wurde", "wurden", "im", "von", "zu", "den", "ist", "hat", "nach", "gilt", "lag", "bei", "durch", "für", "gemäß", "laut", "seit", "wer", "am", "mit"},
     "fr": {"le", "la", "de", "et", "du", "des", "les", "à", "en", "un", "une", "sur", "est", "par", "pour", "dans", "selon", "qui", "après", "avec"},
 }
+ANY_LATIN = frozenset().union(*LATIN_WORDS.values())
 # The ranges of letters that tell the other scripts; Han last, as Japanese has it too.
 SCRIPTS = [
     ("ko", re.compile(r"[ᄀ-ᇿ가-힣]+")),
@@ -70,17 +72,16 @@ SCRIPTS = [
 OTHER_SCRIPT = re.compile(r"[\u0370-\u1fff\u2c00-\ud7ff\uf900-\ufdff]")
 
 
-def language(block: str, base: str = "en") -> str:
+def language(block: str, base: Callable[[], str] = lambda: "en") -> str:
     """The language of a block by its script; Latin script by frequent words, ``base`` where these don't tell."""
     if OTHER_SCRIPT.search(block):
         least = 0.12 * len(block)
         for lang, pattern in SCRIPTS:
             if pattern.search(block) and sum(map(len, pattern.findall(block))) > least:
                 return lang
-    words = block.lower().split()
-    count = words.count if len(words) < 60 else Counter(words).__getitem__
-    scores = sorted(((sum(map(count, w)), lang) for lang, w in LATIN_WORDS.items()), reverse=True)
-    return scores[0][1] if scores[0][0] > scores[1][0] else base
+    words = [w for w in block.lower().split() if w in ANY_LATIN]
+    scores = sorted(((sum(w in known for w in words), lang) for lang, known in LATIN_WORDS.items()), reverse=True)
+    return scores[0][1] if scores[0][0] > scores[1][0] else base()
 
 
 def base_language(text: str) -> str:
@@ -151,7 +152,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            base = base_language(text)
+            base = partial(base_language, text)
             for s, e in blocks_of(text):
                 block = text[s:e]
                 lang = language(block, base)
@@ -322,7 +323,7 @@ class Classifier:
 
     def units(self, text: str) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
-        base = base_language(text)
+        base = partial(base_language, text)
         for bs, be in blocks_of(text):
             block = text[bs:be]
             lang = language(block, base)
