@@ -8,6 +8,7 @@ QUERIES = {
     "p1_found": neardup.p1_found,
     "p1_groups": neardup.p1_groups,
     "p2_found": scanrepair.p2_found,
+    "p2_paragraphs": scanrepair.p2_paragraphs,
     "p3_found": subjects.p3_found,
     "p3_shares": subjects.p3_shares,
     "p4_found": vectors.p4_found,

@@ -294,3 +294,18 @@ def test_units_hold_all_characters(spark, folder):
             rest += t[at:a]
             at = b
         assert not (rest + (t or "")[at:]).strip()
+
+
+def test_paragraphs(spark):
+    clean = [("c", 100 + i, i % 3, 9, "text", "The vaccine figures were reported again. The records of the vaccine were kept under review.") for i in range(30)]
+    top = "Vaccine scope for Zed"
+    one = f"{top}\n  The vaccine figures were re-\nported again. The rec0rds of the vac-\ncine were kept iinder\nreview. The records of the\nvaccine were kept under review.\nThe figures were reported\nagain. The vaccine\n- 4 -"
+    two = f"{top}\nfigures were kept.\n\n  The records were kept.\nThe vaccine figures were\nreported again.\nThe records of\nthe vaccine\nwere kept.\n- 5 -"
+    rows = clean + [("s", 1, 0, 1, "text", one), ("s", 2, 1, 1, "text", two), ("s", 2, 1, 1, "text", two)]
+    b = spark.createDataFrame(rows, "document_id string, id bigint, page int, section_id bigint, block_type string, content string")
+    sections_ = spark.createDataFrame([("s", "Other title"), ("s", None)], "document_id string, title string")
+    titles = spark.createDataFrame([("s", top), ("c", "x")], "document_id string, title string")
+    found = {(r.block_id, r.line_no, r.kind, r.word) for r in scanrepair.damaged_lines(b, sections_, titles).collect()}
+    assert {(1, 0, "running_header", ""), (2, 0, "running_header", ""), (1, 8, "page_number", ""), (2, 9, "page_number", ""), (1, 1, "broken_word", "reported"), (1, 2, "broken_word", "vaccine"), (1, 2, "misread", "records"), (1, 3, "misread", "under")} == found
+    got = [r.text for r in scanrepair.paragraphs(b, sections_, titles).orderBy("para_no").collect()]
+    assert got[0].startswith("The vaccine figures were reported again. The records of the vaccine were kept under review.") and got[0].endswith("again. The vaccine figures were kept.") and len(got) == 2
