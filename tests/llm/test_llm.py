@@ -68,6 +68,19 @@ def test_near_pairs_equal_brute_force(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_near_pairs_at_the_threshold(spark):
+    rows, n = [], 400
+    for i in range(n):
+        both, own = ((28, 6), (24, 5), (35, 7), (29, 5))[i % 4]  # similarities 0.700, 0.706, 0.714, 0.744
+        word = lambda k: f"t{i}x{k}"  # noqa: B023, E731
+        common = [word(k) for k in range(both)]
+        rows.append((2 * i, " ".join(common + [word(f"a{k}") for k in range(own)])))
+        rows.append((2 * i + 1, " ".join(common + [word(f"b{k}") for k in range(own)])))
+    df = spark.createDataFrame(rows, "id bigint, text string").withColumn("tbl", F.lit("a"))
+    got = {(r.id_a, r.id_b) for r in neardup.near_pairs(df).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(n)} and len(got) >= 0.97 * n
+
+
 def test_groups(spark):
     base = " ".join(WORDS[:40])
     rows = [(1, base), (2, base + " x"), (3, base + " x y"), (4, base), (9, "lonely words here")]
