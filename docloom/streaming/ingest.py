@@ -24,7 +24,11 @@ def hourly(stream: DataFrame, at: str, kind: str) -> DataFrame:
 
 
 def hourly_events(spark: SparkSession, path: str) -> DataFrame:
-    """Run the event folder through the stream once and give the table that it wrote."""
+    """Run the event folder through the stream once and give the table that it wrote.
+
+    Every batch writes the hours that it changed, those still open included; the
+    row of the last batch counts. A batch that is repeated replaces its own rows.
+    """
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
     # a folder source also takes the one file of a table
@@ -32,9 +36,13 @@ def hourly_events(spark: SparkSession, path: str) -> DataFrame:
     events = raw.withColumn("ts", F.col("ts").cast("timestamp"))
     agg = hourly(deduplicated(events, "event_id", "ts", "2 days"), "ts", "event_type")
     out = _checkpoint(spark)
-    q = agg.select(F.col("w.start").alias("hour"), "event_type", "n", F.round("value", 6).alias("value")).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").option("path", f"{out}/table").trigger(availableNow=True).start()
+    columns = "hour timestamp, event_type string, n bigint, value double"
+    spark.createDataFrame([], columns).write.parquet(f"{out}/table/epoch=-1")  # a stream without a file runs no batch
+    changed = agg.select(F.col("w.start").alias("hour"), "event_type", "n", F.round("value", 6).alias("value"))
+    q = changed.writeStream.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/table/epoch={epoch}")).outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("hour timestamp, event_type string, n bigint, value double").parquet(f"{out}/table")
+    written = spark.read.schema(f"{columns}, epoch bigint").parquet(f"{out}/table")
+    return written.groupBy("hour", "event_type").agg(F.max_by(F.struct("n", "value"), "epoch").alias("t")).select("hour", "event_type", "t.n", "t.value")
 
 
 def upsert_by_content(spark: SparkSession, target: str, files: DataFrame, epoch: int) -> None:

@@ -175,6 +175,22 @@ def test_stream_upsert(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def test_hourly_events_equal_batch(spark, folder, tmp_path):
+    from docloom.streaming import ingest
+
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    path = str(tmp_path / "events.parquet")
+    events.unionByName(events.filter("event_id % 3 = 0")).coalesce(1).write.parquet(path)
+    (part,) = tmp_path.glob("events.parquet/*.parquet")
+    got = {(str(r.hour), r.event_type): (r.n, round(r.value, 4)) for r in ingest.hourly_events(spark, str(part)).collect()}
+    want = {}
+    for e in {e.event_id: e for e in events.collect()}.values():
+        key = (str(e.ts.replace(minute=0, second=0, microsecond=0)), e.event_type)
+        n, value = want.get(key, (0, 0.0))
+        want[key] = (n + 1, value + e.value)
+    assert got == {k: (n, round(v, 4)) for k, (n, v) in want.items()}
+
+
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
