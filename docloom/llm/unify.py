@@ -4,11 +4,11 @@ Method: compatibility normalisation in composed form (NFKC), full case folding,
 white space of every kind mapped to the ordinary space, and removal of
 default-ignorable characters that the word's own script does not need; letters
 of another script that stand for Latin ones inside a word become Latin. Only
-texts that hold a suspicious character reach Python, each distinct text once.
+texts that hold a character that a rule may change reach Python, each distinct text once.
 
-Scale: the search for suspicious characters is a JVM regular expression in the
-scan; the distinct suspicious texts are a shuffle of a few hundredths of the
-data, and a text repeated in a third of all rows is handled once.
+Scale: the search for characters is a JVM regular expression in the scan, a
+narrow one for the kinds and a wide one for the form; the distinct texts that
+pass it are shuffled, and a text repeated in a third of all rows is handled once.
 """
 
 from __future__ import annotations
@@ -59,10 +59,23 @@ SUSPICIOUS = (
 UNUSUAL = r"[^\x00-\x7E가-힣À-ɏ一-鿿ぁ-ゖァ-ヿ–—‘’“”„«»…、。「」（）：]"
 
 
+# Java: a character outside those that ``plain_form`` brings into the one form as ``canonical`` does, whatever stands beside them.
+CHANGEABLE = (
+    r"[^\x00-\x7E\x85\u00A1-\u00A7\u00A9\u00AB\u00AC\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u012F\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u01CD-\u01F0\u01F4-\u024F"
+    r"\u0621-\u063A\u0641-\u064A\u1E9E\u2010\u2012-\u2016\u2018-\u2023\u20AC\u2190-\u21FF\u3001-\u301F\u3041-\u3096\u30A1-\u30FE\u4E00-\u9FFF\uAC00-\uD7A3]"
+)
+
+
 def suspicious(text: Column) -> Column:
+    """Whether one of the kinds may occur."""
     return text.rlike(UNUSUAL) & text.rlike(SUSPICIOUS)
 
 
+def changeable(text: Column) -> Column:
+    """Whether ``plain_form`` may not be the one form."""
+    return text.rlike(CHANGEABLE)
+
+
 def strip_invisible(text: str) -> str:
     """Without default-ignorable characters, but for those that their script needs."""
     if not INVISIBLE.search(text):
@@ -136,14 +149,14 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def plain_form(text: Column) -> Column:
-    """The form of a text without suspicious characters: case folding and white space need no Python."""
+    """The form of a text without changeable characters: case folding and white space need no Python."""
     return F.lower(F.regexp_replace(F.regexp_replace(text, "ß|ẞ", "ss"), r"[\t\x{0B}\f\x{85}]", " "))
 
 
-def unified(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``texts`` (tbl, id, text), and (text, form, kinds) of its distinct suspicious texts."""
+def unified(texts: DataFrame, gate=changeable) -> tuple[DataFrame, DataFrame]:
+    """``texts`` (tbl, id, text), and (text, form, kinds) of its distinct texts that pass the gate."""
     texts = texts.select("tbl", "id", "text").filter("text is not null")
-    odd = texts.filter(suspicious(F.col("text"))).select("text").distinct()
+    odd = texts.filter(gate(F.col("text"))).select("text").distinct()
     return texts, odd.mapInArrow(_each, "text string, form string, kinds array<string>")
 
 
@@ -153,7 +166,7 @@ def found_kinds(texts: DataFrame) -> DataFrame:
     Null ids and texts give no row; repeated rows count once; of several texts
     under one id all kinds are given.
     """
-    rows, forms = unified(texts)
+    rows, forms = unified(texts, suspicious)
     odd = rows.filter("id is not null").filter(suspicious(F.col("text")))
     hit = odd.join(forms.filter(F.size("kinds") > 0).select("text", "kinds"), "text")
     return hit.select(F.col("tbl").alias("table_name"), F.col("id").alias("record_id"), F.explode("kinds").alias("kind")).distinct()
@@ -162,7 +175,7 @@ def found_kinds(texts: DataFrame) -> DataFrame:
 def one_form(texts: DataFrame) -> DataFrame:
     """(table_name, record_id, form): every distinct record with a text, in its one form."""
     rows, forms = unified(texts)
-    odd = suspicious(F.col("text"))
+    odd = changeable(F.col("text"))
     easy = rows.filter(~odd).select("tbl", "id", plain_form(F.col("text")).alias("form"))
     hard = rows.filter(odd).join(forms.select("text", "form"), "text").select("tbl", "id", "form")
     return easy.unionByName(hard).select(F.col("tbl").alias("table_name"), F.col("id").alias("record_id"), "form").distinct()

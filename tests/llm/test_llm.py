@@ -219,6 +219,21 @@ def test_one_form(spark):
     assert {(r.record_id, r.form) for r in unify.one_form(df).collect()} == {(1, "a b"), (3, "strasse"), (4, ""), (None, "a")}
 
 
+def test_plain_form_of_every_character(spark):
+    texts = [t for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 for t in (f"A{chr(c)}가", f"{chr(c)}が" if c % 2 else f"é{chr(c)}")]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    easy = df.filter(~unify.changeable(F.col("text"))).select("text", unify.plain_form(F.col("text")).alias("form")).collect()
+    assert len(easy) > 60000
+    assert [(r.text, r.form) for r in easy if r.form != unify.canonical(r.text)] == []
+
+
+def test_forms_of_clean_copies(spark):
+    rows = [(i, t) for i, t in enumerate(["方法：30", "方\u200b法：30", "40 m²", "40\u200b m²", "（全…角）", "（全\u200b…角）"])]
+    df = spark.createDataFrame(rows, "id bigint, text string").withColumn("tbl", F.lit("a"))
+    forms = {r.record_id: r.form for r in unify.one_form(df).collect()}
+    assert forms[0] == forms[1] == "方法:30" and forms[2] == forms[3] == "40 m2" and forms[4] == forms[5] == "(全...角)"
+
+
 # --- p6, p7
 
 
