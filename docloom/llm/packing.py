@@ -1,36 +1,156 @@
 """Filling fixed-capacity containers with texts.
 
-Method: lexical retrieval packing. The texts are dealt to shards; each shard has
-a BM25 inverted index over the tokens of its whole texts. The longest unused
-text is the seed of a container, its unused neighbours follow in the order of
-their score as long as they fit, and what gap is left takes the largest unused
-texts that fit. A text longer than the capacity is cut into full containers and
-a rest that is packed like a text of its own.
+Method: lexical retrieval packing. The texts are dealt to shards of lexically
+close texts; each shard has a BM25 index over the tokens of its whole texts, with
+the document frequencies and the mean length of all texts. The longest unused
+text is the seed of a container, all unused texts of the shard that share a token
+with it follow in the order of their score as long as they fit, and what gap is
+left takes the largest unused texts that fit. A text longer than the capacity is
+cut into full containers and a rest that is packed like a text of its own.
+
+Shards: BM25 weights, randomly projected to ``DIMS`` numbers, go down a tree of
+two-means splits fitted on at most ``SAMPLE`` texts; where its sample is used up,
+the tree goes on with random directions. A leaf far beyond ``shard_texts`` is
+split by the hash of the id.
 
 Scale: a shard holds about ``shard_texts`` texts whatever the size of the
-collection, so the work is in proportion and no task sees more; a source or
-kind of text that makes up a third of all rows is spread over all shards by the
-hash of the id. Each shard leaves at most one container far from full.
+collection, so the work is in proportion and no task sees more. Document
+frequencies are one row a token of the tokenizer's vocabulary. Each shard leaves
+at most one container far from full.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, spread
 from .tokens import TOKENIZER, encoding
 
 SHARD_TEXTS = 1024
-NEIGHBOURS = 64
+DIMS, SAMPLE = 128, 16384
 K1, B = 1.2, 0.75
+_turns: dict[int, np.ndarray] = {}
+
+
+def _counter(path: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, df, n, total = encoding(path), np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for t in enc.encode_ordinary_batch(batch.column("text").to_pylist(), num_threads=1):
+                u = np.unique(np.array(t, np.int64))
+                if len(u):
+                    if u[-1] >= len(df):
+                        df = np.pad(df, (0, int(u[-1]) + 1 - len(df)))
+                    df[u] += 1
+                    n, total = n + 1, total + len(t)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[df[at], n, total])], names=["token", "n"])
+
+    return count
+
+
+def statistics(rows: DataFrame, path: str = TOKENIZER) -> tuple[np.ndarray, int, float]:
+    """Document frequency by token, number of texts with a token, and their mean length; one collected row a token."""
+    got = rows.select("text").mapInArrow(_counter(path), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    by = dict(zip(got.token.tolist(), got.n.tolist()))
+    n, total = by.pop(-1, 0), by.pop(-2, 0)
+    df = np.zeros(max(by, default=0) + 1, np.int64)
+    df[list(by)] = list(by.values())
+    return df, n, total / max(1, n)
+
+
+def _vectors(texts: list[str], stats: tuple[np.ndarray, int, float], path: str) -> np.ndarray:
+    """Projected BM25 weights of unit length; a text without a token is zero."""
+    df, n, mean = stats
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    if len(df) not in _turns:
+        _turns[len(df)] = np.random.default_rng(7).standard_normal((len(df), DIMS), np.float32)
+    turn = _turns[len(df)]
+    enc, out = encoding(path), np.zeros((len(texts), DIMS), np.float32)
+    for i, t in enumerate(enc.encode_ordinary_batch(texts, num_threads=1)):
+        u, tf = np.unique(np.array(t, np.int64), return_counts=True)
+        if len(u):
+            out[i] = (idf[u] * tf / (tf + K1 * (1 - B + B * len(t) / max(1.0, mean)))).astype(np.float32) @ turn[u]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def fit_tree(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions, cuts and children of a tree; a child below zero is the leaf -1 - child. Leaves get equal parts of the sample."""
+    rng = np.random.default_rng(8)
+    axes, cuts, kids, todo, last = [], [], [], [(np.arange(len(sample)), leaves, -1, 0)], 0
+    while todo:
+        at, k, parent, side = todo.pop()
+        if k == 1:
+            me, last = -1 - last, last + 1
+        else:
+            me, x = len(axes), sample[at]
+            axis, cut = rng.standard_normal(DIMS).astype(np.float32), 0.0
+            if len(at) >= 16:
+                two = x[rng.choice(len(x), 2, replace=False)]
+                for _ in range(8):
+                    near = (x @ (two[1] - two[0])) > (two[1] - two[0]) @ (two[0] + two[1]) / 2
+                    if near.all() or not near.any():
+                        break
+                    two = np.stack([x[~near].mean(0), x[near].mean(0)])
+                axis = two[1] - two[0] if np.abs(two[1] - two[0]).max() > 1e-6 else axis
+                cut = float(np.quantile(x @ axis, (k // 2) / k))
+            right = x @ axis > cut
+            axes.append(axis), cuts.append(cut), kids.append([0, 0])
+            todo += [(at[right], k - k // 2, me, 1), (at[~right], k // 2, me, 0)]
+        if parent >= 0:
+            kids[parent][side] = me
+    return np.array(axes, np.float32).reshape(-1, DIMS), np.array(cuts, np.float32), np.array(kids, np.int64).reshape(-1, 2)
 
 
-def bm25_scores(texts: list[np.ndarray], dense_from: int = 32) -> np.ndarray:
-    """Score of every text (column) for every text as a query (row); the query counts each of its terms once."""
+def leaf_of(vectors: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    axes, cuts, kids = tree
+    node = np.full(len(vectors), 0 if len(axes) else -1, np.int64)
+    while (going := np.flatnonzero(node >= 0)).size:
+        at = node[going]
+        node[going] = kids[at, ((vectors[going] * axes[at]).sum(1) > cuts[at]).astype(np.int64)]
+    return -1 - node
+
+
+def dealt(rows: DataFrame, stats: tuple[np.ndarray, int, float], path: str = TOKENIZER, shard_texts: int = SHARD_TEXTS) -> DataFrame:
+    """``rows`` (doc_id, text) with the shard of lexically close texts that each belongs to."""
+    context = rows.sparkSession.sparkContext
+    shared, leaves = context.broadcast(stats), max(1, -(-stats[1] // shard_texts))
+    tree = (np.zeros((0, DIMS), np.float32), np.zeros(0, np.float32), np.zeros((0, 2), np.int64))
+    if leaves > 1:
+
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = _vectors(batch.column("text").to_pylist(), shared.value, path)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in v], pa.binary())], names=["doc_id", "vec"])
+
+        some = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < min(1 << 30, int(SAMPLE / stats[1] * (1 << 30))))
+        got = sorted((r.doc_id, bytes(r.vec)) for r in some.mapInArrow(project, "doc_id bigint, vec binary").limit(2 * SAMPLE).collect())
+        tree = fit_tree(np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMS), leaves)
+    sent = context.broadcast(tree)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            leaf = leaf_of(_vectors(texts, shared.value, path), sent.value) if len(sent.value[0]) else np.zeros(len(texts), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(leaf)], names=["doc_id", "text", "leaf"])
+
+    placed = materialize(rows.mapInArrow(deal, "doc_id bigint, text string, leaf bigint"))
+    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (1.5 * shard_texts)).alias("parts"))
+    piece = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    return placed.join(parts, "leaf").select("doc_id", "text", (F.col("leaf") * F.lit(1 << 31) + piece).alias("shard"))
+
+
+def bm25_scores(texts: list[np.ndarray], dense_from: int = 32, stats: tuple[np.ndarray, int, float] | None = None) -> np.ndarray:
+    """Score of every text (column) for every text as a query (row); the query counts each of its terms once.
+
+    ``stats`` are those of the whole collection; without them the texts are the collection.
+    """
     n = len(texts)
     sizes = np.array([len(t) for t in texts])
     doc = np.repeat(np.arange(n), sizes)
@@ -38,8 +158,9 @@ def bm25_scores(texts: list[np.ndarray], dense_from: int = 32) -> np.ndarray:
     cell, tf = np.unique(doc.astype(np.int64) << 32 | flat, return_counts=True)
     doc, term = cell >> 32, cell & 0xFFFFFFFF
     terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    length = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if n else 1.0))
+    all_df, all_n, mean = (stats[0][terms], stats[1], stats[2]) if stats else (df, n, sizes.mean() if n else 1.0)
+    idf = np.log(1 + (all_n - all_df + 0.5) / (all_df + 0.5))
+    length = K1 * (1 - B + B * sizes / max(1.0, mean))
     weight = (idf[at] * tf * (K1 + 1) / (tf + length[doc])).astype(np.float32)
     scores = np.zeros((n, n), np.float32)
     often = df >= dense_from
@@ -62,7 +183,7 @@ def bm25_scores(texts: list[np.ndarray], dense_from: int = 32) -> np.ndarray:
     return scores
 
 
-def fill(sizes: list[int], near: np.ndarray, capacity: int) -> list[list[int]]:
+def fill(sizes: list[int], near: list[list[int]], capacity: int) -> list[list[int]]:
     """Containers as lists of items. ``near`` has each item's neighbours, nearest first."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     free = sorted((sizes[i], -i) for i in order)  # by size, so that a gap finds its largest item
@@ -83,7 +204,7 @@ def fill(sizes: list[int], near: np.ndarray, capacity: int) -> list[list[int]]:
                 break
             if not used[i] and sizes[i] <= room:
                 take(i)
-                box.append(int(i))
+                box.append(i)
                 room -= sizes[i]
         while room > 0 and free and free[0][0] <= room:
             i = -free[bisect_right(free, (room, 1)) - 1][1]
@@ -94,17 +215,15 @@ def fill(sizes: list[int], near: np.ndarray, capacity: int) -> list[list[int]]:
     return out
 
 
-def _pack(plans: list[tuple[str, int]], path: str):
+def _pack(plans: list[tuple[str, int]], path: str, shared):
     def pack(table: pa.Table) -> pa.Table:
         enc = encoding(path)
         table = table.sort_by("doc_id")
         ids, shard = table.column("doc_id").to_pylist(), table.column("shard")[0].as_py() if len(table) else 0
         tokens = [np.array(enc.encode_ordinary(t), np.int64) for t in table.column("text").to_pylist()]
         full = [i for i, t in enumerate(tokens) if len(t)]
-        scores = bm25_scores([tokens[i] for i in full])
-        k = min(NEIGHBOURS, len(full))
-        near = np.argpartition(-scores, k - 1, axis=1)[:, :k] if k else np.zeros((0, 0), np.int64)
-        ranked = np.take_along_axis(near, np.argsort(-np.take_along_axis(scores, near, 1), axis=1, kind="stable"), 1) if k else near
+        scores = bm25_scores([tokens[i] for i in full], stats=shared.value)
+        ranked = [np.argsort(-row, kind="stable")[: int((row > 0).sum())].tolist() for row in scores]
         rows = []
         for name, capacity in plans:
             box = 0
@@ -139,9 +258,10 @@ def containers(texts: DataFrame, plans: DataFrame, path: str = TOKENIZER, shard_
     """
     sizes = [(r.plan_name, r.capacity_tokens) for r in plans.filter("plan_name is not null and capacity_tokens > 0").distinct().orderBy("plan_name", "capacity_tokens").limit(1000).collect()]
     rows = texts.select("doc_id", "text").filter("doc_id is not null and text <> ''")
-    shards = max(1, -(-rows.count() // shard_texts))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(_pack(sizes, path), "plan_name string, capacity_tokens int, container_id string, doc_id bigint, part_no int, start_token bigint, n_tokens int, position int")
+    rows = spread(rows, "doc_id")
+    stats = statistics(rows, path)
+    shared = rows.sparkSession.sparkContext.broadcast(stats)
+    return dealt(rows, stats, path, shard_texts).groupBy("shard").applyInArrow(_pack(sizes, path, shared), "plan_name string, capacity_tokens int, container_id string, doc_id bigint, part_no int, start_token bigint, n_tokens int, position int")
 
 
 def p6_containers(spark, sf_dir: str) -> DataFrame:

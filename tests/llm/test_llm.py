@@ -256,6 +256,17 @@ def test_containers(spark):
         assert g.n_tokens.sum() / (g.container_id.nunique() * cap) > 0.9
 
 
+def test_shards_hold_close_texts(spark):
+    rng = random.Random(3)
+    topics = [[f"{chr(97 + k)}{rng.randrange(10**6)}" for _ in range(60)] for k in range(8)]
+    rows = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(40))) for i in range(1600)]
+    plans = spark.createDataFrame([("l", 4096)], "plan_name string, capacity_tokens int")
+    got = packing.containers(spark.createDataFrame(rows, "doc_id bigint, text string"), plans, shard_texts=200).toPandas()
+    assert sorted(got.doc_id) == list(range(1600))
+    same = got.assign(topic=got.doc_id % 8).groupby("container_id").topic.agg(lambda t: t.value_counts().iloc[0] / len(t))
+    assert same.mean() > 0.8
+
+
 def test_bm25_scores_match_formula():
     docs = [np.array([1, 1, 2]), np.array([2, 3]), np.array([4])]
     for dense in (1, 99):
