@@ -42,20 +42,36 @@ def _sizer(path: str):
     return size
 
 
-def sized(texts: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens) of every distinct text of a named source; a text under several ids counts under the least."""
+def listed(targets: DataFrame) -> DataFrame:
+    """(source, target_pct, max_repeats), one row a source.
+
+    Of repeated rows of a source the largest target counts. Null and negative
+    targets count as zero, null and negative repeat caps as no use.
+    """
+    return targets.filter("source is not null").groupBy("source").agg(F.max(F.greatest(F.coalesce("target_pct", F.lit(0.0)), F.lit(0.0))).alias("target_pct"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
+
+
+def sized(texts: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """(doc_id, source, n_tokens) of every distinct text of a listed source.
+
+    A text of several listed sources goes to the scarcest of them (the one whose
+    tokens allow the smallest total), sources out of use last; of its ids there
+    the least counts.
+    """
     rows = spread(texts.select("doc_id", "source", "text").filter("doc_id is not null and source is not null and text <> ''"), "doc_id")
+    t = listed(targets)
+    rows = rows.join(F.broadcast(t.select("source")), "source", "left_semi")  # one row a source
     one = rows.mapInArrow(_sizer(path), "doc_id bigint, source string, n_tokens bigint, digest binary").filter("n_tokens > 0")
-    return one.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("t")).select("t.*")
+    each = materialize(one.groupBy("digest", "source").agg(F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens")))
+    most = F.when((F.col("target_pct") > 0) & (F.col("max_repeats") > 0), F.sum("n_tokens") * F.col("max_repeats") / F.col("target_pct"))
+    scarce = each.join(F.broadcast(t), "source").groupBy("source", "target_pct", "max_repeats").agg(F.coalesce(most, F.lit(float("inf"))).alias("most")).select("source", "most")
+    best = each.join(F.broadcast(scarce), "source").groupBy("digest").agg(F.min(F.struct("most", "source", "doc_id", "n_tokens")).alias("t"))
+    return best.select("t.doc_id", "t.source", "t.n_tokens")
 
 
 def budget(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """Per listed source: target, tokens at hand, tokens to use and tilt; one row a source.
-
-    Of repeated rows of a source the largest target counts. Null and negative
-    targets count as zero, null and negative repeat caps as no use.
-    """
-    t = targets.filter("source is not null").groupBy("source").agg(F.max(F.greatest(F.coalesce("target_pct", F.lit(0.0)), F.lit(0.0))).alias("target_pct"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
+    """Per listed source: target, tokens at hand, tokens to use and tilt; one row a source."""
+    t = listed(targets)
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("texts"))
     s = t.join(have, "source", "left").na.fill(0, ["tokens", "texts"])
     usable = (F.col("tokens") > 0) & (F.col("max_repeats") > 0) & (F.col("target_pct") > 0)
@@ -76,7 +92,7 @@ def budget(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None
 
 def mixed(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The chosen texts (doc_id, source, repeat_no, n_tokens, position), range-sorted by position, and the budget."""
-    sizes = materialize(sized(texts, path))
+    sizes = materialize(sized(texts, targets, path))
     plan = materialize(budget(sizes, targets, total_tokens))
     use = plan.filter("usable").select("source", "tokens", "max_repeats", "demand", "tilt")
     h = F.xxhash64("doc_id", F.lit(11))

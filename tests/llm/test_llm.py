@@ -294,6 +294,15 @@ def test_mix(spark):
     assert tilt["rare"] > tilt["big"] and late["rare"] > late["big"]
 
 
+def test_mix_keeps_shared_texts(spark):
+    rows = [(1, "unlisted", "shared one"), (2, "a", "shared one"), (3, "b", "shared two"), (4, "a", "shared two"), (5, "off", "shared three"), (6, "a", "shared three")]
+    rows += [(10 + i, "b", f"text number {i} of the larger source") for i in range(50)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 50.0, 2), ("b", 50.0, 2), ("off", 0.0, 2)], "source string, target_pct double, max_repeats int")
+    got = {(r.doc_id, r.source) for r in mixing.sized(texts, targets).collect()}
+    assert got == {(2, "a"), (4, "a"), (6, "a")} | {(10 + i, "b") for i in range(50)}
+
+
 # --- p8
 
 
