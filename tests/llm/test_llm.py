@@ -132,6 +132,23 @@ def test_scanned_pages_ignore_others(spark):
     assert sorted(r.id for r in scanrepair.scanned_pages(df).collect()) == [0, 1, 2, 3]
 
 
+def test_scanned_pages_with_null_pages(spark):
+    body = "\n".join(["a line of text"] * 12)
+    rows = [("s", i, i if i > 1 else None, 1, "text", body) for i in range(6)] + [("p", 10 + i, 1, 1, "text", body) for i in range(4)]
+    df = spark.createDataFrame(rows, "document_id string, id bigint, page int, section_id bigint, block_type string, content string")
+    assert sorted(r.id for r in scanrepair.scanned_pages(df).collect()) == list(range(6))
+
+
+def test_returning_header_between_other_lines(spark):
+    header = "Ministry of Public Health"
+    tops = ["Ministry aaaaaaaaaaaaaaaaaaaaaaa of lic Health", "Ministry zzzzzzzzzzzzzzzzzzzzzzz of lic Health", header, header, header]
+    rows = [("d", i, i + 1, 1, "\n".join([top, *(f"body {chr(97 + i) * 9} {chr(97 + k) * 9} text" for k in range(8))])) for i, top in enumerate(tops)]
+    pages = spark.createDataFrame(rows, "document_id string, id bigint, page int, section_id bigint, content string")
+    none = spark.createDataFrame([], "document_id string, title string")
+    got = {(r.id, r.line_no) for r in scanrepair.furniture(pages, none, none).filter("header").collect()}
+    assert {(2, 0), (3, 0), (4, 0)} <= got and not {(0, 0), (1, 0)} & got
+
+
 # --- p3
 
 
