@@ -8,15 +8,17 @@ round; a bin keeps its least value. The first rounds place by hash, the last
 ones fill bin after bin with every element, so all coordinates fill, and two
 sketches agree in a coordinate with the probability of the similarity,
 concentrated as for independent choices. ``BANDS`` bands of ``ROWS`` coordinates
-are then joined on equality, pairs that agree in less than ``CHECK_AGREE`` of one
-bit of 128 coordinates are dropped, and every pair left is verified exactly on its
-words.
+are then joined on equality. Pairs that agree in less than ``CHECK_AGREE`` of one
+bit of 128 coordinates, or whose sizes alone forbid the similarity, are dropped in
+the join, of the others those below ``FULL_AGREE`` of all ``BINS`` bits, and every
+pair left is verified exactly on its words.
 
 Scale: texts with the same words are one class, so copies meet once; the band
-join moves 25 bytes a class and band, texts are read for candidate pairs only.
-A band shared by many different texts is split by Spark's skew join.
-A pair at similarity 0.70 shares a band with probability 0.993, at 0.72 with 0.997,
-at 0.75 with 0.9996; the bit test rejects 1 in 1 000 of those at 0.70.
+join moves about 22 bytes a class and band, keyed by one number, texts are read
+for pairs that passed both tests only. A band shared by many different texts is
+split by Spark's skew join.
+A pair at similarity 0.70 shares a band with probability 0.992, at 0.72 with 0.996,
+at 0.75 with 0.999; the two bit tests reject 2 in 1 000 of those at 0.70.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, spread
 
-BINS, ROWS, BANDS = 240, 6, 40
-CHECK_AGREE = 96
+BINS, ROWS, BANDS = 192, 5, 26
+CHECK_AGREE, FULL_AGREE = 96, 148
+SIGNS = [f"chk{i}" for i in range(BINS // 64)]
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
@@ -83,7 +86,16 @@ def sketches(elems: np.ndarray, owner: np.ndarray, n: int, bins: int = BINS) ->
     return out
 
 
+def signatures(elems: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums a text: equal for texts with the same words, whatever their order."""
+    sums = np.zeros((2, n), np.uint64)
+    np.add.at(sums[0], owner, _mix(elems))
+    np.add.at(sums[1], owner, _mix(elems ^ _U(0xD6E8FEB86659FD93)))
+    return sums[0].view(np.int64), sums[1].view(np.int64)
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seeds = (np.arange(ROWS, dtype=np.uint64) * _U(2) + _U(1)) * _U(0x9E3779B97F4A7C15)
     for batch in batches:
         for s in range(0, batch.num_rows, 2000):
             part = batch.slice(s, 2000)
@@ -92,24 +104,27 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             n = len(having)
             if not n:
                 continue
-            sig1, sig2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            np.add.at(sig1, owner, _mix(elems))
-            np.add.at(sig2, owner, _mix(elems ^ _U(0xD6E8FEB86659FD93)))
-            sk = sketches(elems, owner, n)
-            mixed = _mix(sk)
-            bands = mixed[:, : ROWS * BANDS].reshape(n, BANDS, ROWS)
-            seeds = (np.arange(ROWS, dtype=np.uint64) * _U(2) + _U(1)) * _U(0x9E3779B97F4A7C15)
-            keys = (_mix((bands * seeds).sum(2)) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32).reshape(n, BANDS)
-            bits = (mixed[:, :128] >> _U(7) & _U(1)).reshape(n, 2, 64) << np.arange(64, dtype=np.uint64)
+            sig1, sig2 = signatures(elems, owner, n)
+            mixed = _mix(sketches(elems, owner, n))
+            keys = (_mix((mixed[:, : ROWS * BANDS].reshape(n, BANDS, ROWS) * seeds).sum(2)) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            bits = (mixed >> _U(7) & _U(1)).reshape(n, len(SIGNS), 64) << np.arange(64, dtype=np.uint64)
             check = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
-            take = pa.array(having)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("tbl").take(take), part.column("id").take(take), pa.array(sig1.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(check[:, 0]), pa.array(check[:, 1]), *[pa.array(keys[:, b]) for b in range(BANDS)]],
-                names=["tbl", "id", "sig1", "sig2", "chk1", "chk2", *[f"b{b}" for b in range(BANDS)]],
+                [part.column("tbl").take(pa.array(having)), part.column("id").take(pa.array(having)), pa.array(sig1), pa.array(sig2), pa.array(np.bincount(owner, minlength=n).astype(np.int32)), *[pa.array(check[:, i]) for i in range(len(SIGNS))], bands],
+                names=["tbl", "id", "sig1", "sig2", "words", *SIGNS, "bands"],
             )
 
 
-_SKETCH = "tbl string, id bigint, sig1 bigint, sig2 bigint, chk1 bigint, chk2 bigint, " + ", ".join(f"b{b} int" for b in range(BANDS))
+_SKETCH = "tbl string, id bigint, sig1 bigint, sig2 bigint, words int, " + ", ".join(f"{c} bigint" for c in SIGNS) + ", bands array<int>"
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        elems, owner = elements(texts)
+        sig1, sig2 = signatures(elems, owner, len(texts))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("tbl", "id", "text")], pa.array(sig1), pa.array(sig2)], names=["tbl", "id", "text", "sig1", "sig2"])
 
 
 def in_common(a: str, b: str) -> tuple[int, int]:
@@ -127,46 +142,57 @@ def _verifier(threshold: float):
                 both, either = in_common(a, b)
                 good.append(both >= threshold * either - 1e-9)
             mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("tbl", "id_a", "id_b")], names=["tbl", "id_a", "id_b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("tbl", "class_a", "class_b")], names=["tbl", "class_a", "class_b"])
 
     return verify
 
 
 def classes_and_pairs(texts: DataFrame, threshold: float = 0.70) -> tuple[DataFrame, DataFrame]:
-    """Members (tbl, rep, id) of the classes of several ids with the same words, and near pairs (tbl, id_a, id_b) of representatives.
+    """Members (tbl, class, id) of all classes of texts with the same words, and near pairs (tbl, class_a, class_b) of different classes.
 
     ``texts`` has (tbl, id, text). Rows with a null id or text and texts without
     a letter or digit are left out. Repeated rows count once; an id with several
-    contents belongs to the class of each and is verified by the smallest.
+    contents belongs to the class of each. A class is named by a 64-bit digest of
+    its words; should two share it, both are verified and both linked.
     """
-    rows = spread(texts.select("tbl", "id", "text").filter("id is not null and text is not null"), "id")
-    sk = materialize(rows.mapInArrow(_sketch_batches, _SKETCH))
-    key = ["tbl", "sig1", "sig2"]
-    reps = sk.groupBy(*key).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("chk1", "chk2", *(f"b{b}" for b in range(BANDS)))])
-    copied = sk.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("top")).filter("rep <> top").drop("top")
-    members = sk.select(*key, "id").join(copied, key).select("tbl", "rep", "id").distinct()
-    bands = reps.select("tbl", F.col("rep").alias("id"), "chk1", "chk2", F.posexplode(F.array(*[F.col(f"b{b}") for b in range(BANDS)])).alias("band", "h"))
-    bands = bands.select("tbl", ((F.col("band").cast("bigint") * F.lit(1 << 32)) + F.col("h").cast("bigint")).alias("h"), "id", "chk1", "chk2")
-    agree = F.lit(128) - F.bit_count(F.col("a.chk1").bitwiseXOR(F.col("b.chk1"))) - F.bit_count(F.col("a.chk2").bitwiseXOR(F.col("b.chk2")))
-    meet = (F.col("a.tbl") == F.col("b.tbl")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (agree >= CHECK_AGREE)
-    cand = bands.alias("a").join(bands.alias("b"), meet).select(F.col("a.tbl").alias("tbl"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    cand = materialize(cand)
-    wanted = cand.select("tbl", F.col("id_a").alias("id")).union(cand.select("tbl", F.col("id_b").alias("id"))).distinct()
     source = texts.select("tbl", "id", "text").filter("id is not null and text is not null")
-    content = source.join(wanted, ["tbl", "id"], "left_semi").groupBy("tbl", "id").agg(F.min("text").alias("text"))
-    side = lambda s: content.select("tbl", F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}"))
-    both = cand.join(side("a"), ["tbl", "id_a"]).join(side("b"), ["tbl", "id_b"])
-    near = both.select("tbl", "id_a", "id_b", "text_a", "text_b").mapInArrow(_verifier(threshold), "tbl string, id_a bigint, id_b bigint")
-    return members, near
+    sk = materialize(spread(source, "id").mapInArrow(_sketch_batches, _SKETCH))
+    name = F.xxhash64("tbl", "sig1", "sig2")
+    members = sk.select("tbl", name.alias("class"), "id").distinct()
+    # copies have equal sketches
+    reps = sk.groupBy("tbl", "sig1", "sig2").agg(*[F.first(c).alias(c) for c in ("words", *SIGNS, "bands")]).withColumn("class", name)
+    bands = reps.select("tbl", "class", "words", "chk0", "chk1", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("tbl", "band", "h").alias("h"), "tbl", "class", "words", "chk0", "chk1")
+    agree = lambda *signs: F.lit(64 * len(signs)) - sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in signs), F.lit(0))
+    near_size = F.least("a.words", "b.words") >= threshold * F.greatest("a.words", "b.words") - 1e-9
+    meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class")) & near_size & (agree("chk0", "chk1") >= CHECK_AGREE) & (F.col("a.tbl") == F.col("b.tbl"))
+    cand = materialize(bands.alias("a").join(bands.alias("b"), meet).select(F.col("a.tbl").alias("tbl"), F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct())
+    signs = sk.select(name.alias("class"), *SIGNS)
+    side = lambda df, s: df.select(F.col("class").alias(f"class_{s}"), F.struct(*df.drop("class").columns).alias(s))
+    ends = lambda df: df.select("tbl", F.col("class_a").alias("class")).union(df.select("tbl", F.col("class_b").alias("class"))).distinct()
+    wanted = signs.join(ends(cand).select("class"), "class", "left_semi").distinct()
+    cand = materialize(cand.join(side(wanted, "a"), "class_a").join(side(wanted, "b"), "class_b").filter(agree(*SIGNS) >= FULL_AGREE).select("tbl", "class_a", "class_b"))
+    # the text of one member of each class, told from the id's other texts by its signatures
+    one = sk.select("tbl", name.alias("class"), "sig1", "sig2", "id").join(ends(cand), ["tbl", "class"], "left_semi").groupBy("tbl", "class", "sig1", "sig2").agg(F.min("id").alias("id"))
+    one = materialize(one)
+    signed = source.join(one.select("tbl", "id").distinct(), ["tbl", "id"], "left_semi").mapInArrow(_sign, "tbl string, id bigint, text string, sig1 bigint, sig2 bigint")
+    content = signed.join(one, ["tbl", "id", "sig1", "sig2"]).groupBy("class", "sig1", "sig2").agg(F.min("text").alias("text")).select("class", "text")
+    both = cand.join(side(content, "a"), "class_a").join(side(content, "b"), "class_b").select("tbl", "class_a", "class_b", F.col("a.text").alias("text_a"), F.col("b.text").alias("text_b"))
+    return members, both.mapInArrow(_verifier(threshold), "tbl string, class_a bigint, class_b bigint").distinct()
 
 
 def near_pairs(texts: DataFrame, threshold: float = 0.70) -> DataFrame:
-    """(tbl, id_a, id_b), id_a < id_b: all pairs of ids whose texts reach the threshold, copies included."""
+    """(tbl, id_a, id_b), id_a < id_b: all pairs of ids whose texts reach the threshold, copies included.
+
+    Its size is that of the pairs; ``near_groups`` gives the same links without expanding copies.
+    """
     members, near = classes_and_pairs(texts, threshold)
-    members = materialize(members)
-    side = lambda s: members.select("tbl", F.col("rep").alias(f"id_{s}"), F.col("id").alias(s))
-    across = near.join(side("a"), ["tbl", "id_a"], "left").join(side("b"), ["tbl", "id_b"], "left").select("tbl", F.coalesce("a", "id_a").alias("a"), F.coalesce("b", "id_b").alias("b"))
-    within = members.select("tbl", "rep", F.col("id").alias("a")).join(members.select("tbl", "rep", F.col("id").alias("b")), ["tbl", "rep"]).filter("a < b").select("tbl", "a", "b")
+    near = materialize(near)
+    copied = members.groupBy("tbl", "class").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("tbl", "class")
+    linked = near.select("tbl", F.col("class_a").alias("class")).union(near.select("tbl", F.col("class_b").alias("class"))).union(copied).distinct()
+    members = materialize(members.join(linked, ["tbl", "class"], "left_semi"))
+    side = lambda s: members.select("tbl", F.col("class").alias(f"class_{s}"), F.col("id").alias(s))
+    across = near.join(side("a"), ["tbl", "class_a"]).join(side("b"), ["tbl", "class_b"]).select("tbl", "a", "b")
+    within = members.select("tbl", "class", F.col("id").alias("a")).join(members.select("tbl", "class", F.col("id").alias("b")), ["tbl", "class"]).filter("a < b").select("tbl", "a", "b")
     pairs = across.unionByName(within).filter("a <> b")
     return pairs.select("tbl", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
 
@@ -189,20 +215,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(texts: DataFrame, threshold: float = 0.70) -> DataFrame:
     """(table_name, id, class_id, group_id, links): every record that has a near-copy.
 
-    ``class_id`` is the least id with the same words, ``group_id`` the least id
-    of all records reachable by near pairs, ``links`` the near pairs between the
-    record's class and other classes. Copies are not expanded into pairs.
+    ``class_id`` is the least id with the same words, ``group_id`` the least
+    ``class_id`` of all records reachable by near pairs, ``links`` the near pairs
+    between the record's class and other classes. Copies are not expanded into
+    pairs; an id with several contents has a row for the class of each.
     """
     members, near = classes_and_pairs(texts, threshold)
-    members, near = materialize(members), materialize(near)
-    group = components(near).withColumnRenamed("id", "rep")
-    ends = near.select("tbl", F.col("id_a").alias("rep")).unionByName(near.select("tbl", F.col("id_b").alias("rep")))
-    links = ends.groupBy("tbl", "rep").agg(F.count(F.lit(1)).alias("links"))
-    linked = group.join(links, ["tbl", "rep"])
-    alone = linked.join(members.select("tbl", "rep").distinct(), ["tbl", "rep"], "left_anti").withColumn("id", F.col("rep"))
-    copied = members.join(linked, ["tbl", "rep"], "left")
-    out = alone.unionByName(copied.select(*alone.columns))
-    return out.select(F.col("tbl").alias("table_name"), "id", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    near = materialize(near)
+    size = members.groupBy("tbl", "class").agg(F.min("id").alias("class_id"), F.max("id").alias("high"))
+    both = near.select("tbl", F.col("class_a").alias("class")).unionByName(near.select("tbl", F.col("class_b").alias("class")))
+    links = both.groupBy("tbl", "class").agg(F.count(F.lit(1)).alias("links"))
+    kept = materialize(size.join(links, ["tbl", "class"], "left").filter("links is not null or class_id < high").select("tbl", "class", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links")))
+    group = components(near.select("tbl", F.col("class_a").alias("id_a"), F.col("class_b").alias("id_b"))).select("tbl", F.col("id").alias("class"), "group_id")
+    named = kept.join(group, ["tbl", "class"], "left").withColumn("group", F.coalesce("group_id", "class")).drop("group_id")
+    least = named.groupBy("tbl", "group").agg(F.min("class_id").alias("group_id"))
+    out = members.join(named.join(least, ["tbl", "group"]).drop("group"), ["tbl", "class"])
+    return out.select(F.col("tbl").alias("table_name"), "id", "class_id", "group_id", "links").distinct()
 
 
 def catalogue_texts(spark, sf_dir: str) -> DataFrame:
