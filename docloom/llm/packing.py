@@ -4,8 +4,8 @@ Method: lexical retrieval packing. The texts are dealt to shards of lexically
 close texts; each shard has a BM25 index over the tokens of its whole texts, with
 the document frequencies and the mean length of all texts. The longest unused
 text is the seed of a container, all unused texts of the shard that share a token
-with it follow in the order of their score as long as they fit, and what gap is
-left takes the largest unused texts that fit. A text longer than the capacity is
+with it follow in the order of their score as long as they fit, and the last part
+of the room takes the largest of them that fit. A text longer than the capacity is
 cut into full containers and a rest that is packed like a text of its own.
 
 Shards: BM25 weights, randomly projected to ``DIMS`` numbers, go down a tree of
@@ -13,7 +13,7 @@ two-means splits fitted on at most ``SAMPLE`` texts; where its sample is used up
 the tree goes on with random directions. A leaf far beyond ``shard_texts`` is
 split by the hash of the id.
 
-Scale: a shard holds about ``shard_texts`` texts whatever the size of the
+Scale: every text is tokenised once, all else reads its tokens. A shard holds about ``shard_texts`` texts whatever the size of the
 collection, so the work is in proportion and no task sees more. Document
 frequencies are one row a token of the tokenizer's vocabulary. Each shard leaves
 at most one container far from full.
@@ -21,7 +21,6 @@ at most one container far from full.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,32 +31,49 @@ from pyspark.sql import functions as F
 from .common import materialize, spread
 from .tokens import TOKENIZER, encoding
 
-SHARD_TEXTS = 1024
+SHARD_TEXTS, MAX_PLANS, LAST = 1024, 1000, 0.1
 DIMS, SAMPLE = 128, 16384
 K1, B = 1.2, 0.75
 _turns: dict[int, np.ndarray] = {}
 
 
-def _counter(path: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, df, n, total = encoding(path), np.zeros(0, np.int64), 0, 0
+def _reader(path: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path)
         for batch in batches:
-            for t in enc.encode_ordinary_batch(batch.column("text").to_pylist(), num_threads=1):
-                u = np.unique(np.array(t, np.int64))
-                if len(u):
-                    if u[-1] >= len(df):
-                        df = np.pad(df, (0, int(u[-1]) + 1 - len(df)))
-                    df[u] += 1
-                    n, total = n + 1, total + len(t)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[df[at], n, total])], names=["token", "n"])
-
-    return count
-
-
-def statistics(rows: DataFrame, path: str = TOKENIZER) -> tuple[np.ndarray, int, float]:
-    """Document frequency by token, number of texts with a token, and their mean length; one collected row a token."""
-    got = rows.select("text").mapInArrow(_counter(path), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+            tokens = [np.array(t, np.uint32).tobytes() for t in enc.encode_ordinary_batch(batch.column("text").to_pylist(), num_threads=1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
+
+    return read
+
+
+def tokenised(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """(doc_id, tokens) of the texts with a token; every text meets the tokenizer once."""
+    return materialize(rows.select("doc_id", "text").mapInArrow(_reader(path), "doc_id bigint, tokens binary").filter(F.length("tokens") > 0))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, token and count of each different token of a row, and the rows' sizes."""
+    raw = batch.column("tokens").to_pylist()
+    sizes = np.array([len(x) // 4 for x in raw], np.int64)
+    cell, tf = np.unique(np.repeat(np.arange(len(raw)), sizes) << 32 | np.frombuffer(b"".join(raw), np.uint32).astype(np.int64), return_counts=True)
+    return cell >> 32, cell & 0xFFFFFFFF, tf, sizes
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df, n, total = np.zeros(0, np.int64), 0, 0
+    for batch in batches:
+        _, token, _, sizes = _flat(batch)
+        more = np.bincount(token, minlength=len(df))
+        more[: len(df)] += df
+        df, n, total = more, n + len(sizes), total + int(sizes.sum())
+    at = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[df[at], n, total])], names=["token", "n"])
+
+
+def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Document frequency by token, number of texts, and their mean length; one collected row a token of the tokenizer's vocabulary."""
+    got = tokens.select("tokens").mapInArrow(_count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     by = dict(zip(got.token.tolist(), got.n.tolist()))
     n, total = by.pop(-1, 0), by.pop(-2, 0)
     df = np.zeros(max(by, default=0) + 1, np.int64)
@@ -65,18 +81,17 @@ def statistics(rows: DataFrame, path: str = TOKENIZER) -> tuple[np.ndarray, int,
     return df, n, total / max(1, n)
 
 
-def _vectors(texts: list[str], stats: tuple[np.ndarray, int, float], path: str) -> np.ndarray:
-    """Projected BM25 weights of unit length; a text without a token is zero."""
+def _vectors(batch: pa.RecordBatch, stats: tuple[np.ndarray, int, float]) -> np.ndarray:
+    """Projected BM25 weights of unit length."""
     df, n, mean = stats
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
     if len(df) not in _turns:
         _turns[len(df)] = np.random.default_rng(7).standard_normal((len(df), DIMS), np.float32)
-    turn = _turns[len(df)]
-    enc, out = encoding(path), np.zeros((len(texts), DIMS), np.float32)
-    for i, t in enumerate(enc.encode_ordinary_batch(texts, num_threads=1)):
-        u, tf = np.unique(np.array(t, np.int64), return_counts=True)
-        if len(u):
-            out[i] = (idf[u] * tf / (tf + K1 * (1 - B + B * len(t) / max(1.0, mean)))).astype(np.float32) @ turn[u]
+    turn, (row, token, tf, sizes) = _turns[len(df)], _flat(batch)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    weight = (idf[token] * tf / (tf + K1 * (1 - B + B * sizes[row] / max(1.0, mean)))).astype(np.float32)
+    ends, out = np.searchsorted(row, np.arange(len(sizes) + 1)), np.zeros((len(sizes), DIMS), np.float32)
+    for i, (s, e) in enumerate(zip(ends, ends[1:])):
+        out[i] = weight[s:e] @ turn[token[s:e]]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -117,33 +132,34 @@ def leaf_of(vectors: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]
     return -1 - node
 
 
-def dealt(rows: DataFrame, stats: tuple[np.ndarray, int, float], path: str = TOKENIZER, shard_texts: int = SHARD_TEXTS) -> DataFrame:
-    """``rows`` (doc_id, text) with the shard of lexically close texts that each belongs to."""
-    context = rows.sparkSession.sparkContext
-    shared, leaves = context.broadcast(stats), max(1, -(-stats[1] // shard_texts))
+def dealt(tokens: DataFrame, stats: tuple[np.ndarray, int, float], shard_texts: int = SHARD_TEXTS) -> DataFrame:
+    """``tokens`` (doc_id, tokens) with the shard of lexically close texts that each belongs to."""
+    context = tokens.sparkSession.sparkContext
+    leaves = max(1, -(-stats[1] // shard_texts))
+    shared = context.broadcast(stats)
     tree = (np.zeros((0, DIMS), np.float32), np.zeros(0, np.float32), np.zeros((0, 2), np.int64))
     if leaves > 1:
 
         def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = _vectors(batch.column("text").to_pylist(), shared.value, path)
+                v = _vectors(batch, shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in v], pa.binary())], names=["doc_id", "vec"])
 
-        some = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < min(1 << 30, int(SAMPLE / stats[1] * (1 << 30))))
+        some = tokens.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < min(1 << 30, int(SAMPLE / stats[1] * (1 << 30))))
         got = sorted((r.doc_id, bytes(r.vec)) for r in some.mapInArrow(project, "doc_id bigint, vec binary").limit(2 * SAMPLE).collect())
         tree = fit_tree(np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMS), leaves)
     sent = context.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            leaf = leaf_of(_vectors(texts, shared.value, path), sent.value) if len(sent.value[0]) else np.zeros(len(texts), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(leaf)], names=["doc_id", "text", "leaf"])
+            leaf = leaf_of(_vectors(batch, shared.value), sent.value) if len(sent.value[0]) else np.zeros(batch.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tokens"), pa.array(leaf)], names=["doc_id", "tokens", "leaf"])
 
-    placed = materialize(rows.mapInArrow(deal, "doc_id bigint, text string, leaf bigint"))
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (1.5 * shard_texts)).alias("parts"))
-    piece = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    return placed.join(parts, "leaf").select("doc_id", "text", (F.col("leaf") * F.lit(1 << 31) + piece).alias("shard"))
+    placed = materialize(tokens.mapInArrow(deal, "doc_id bigint, tokens binary, leaf bigint"))
+    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (1.5 * shard_texts)).alias("parts")).filter("parts > 1")
+    # leaves that hold too many texts are few
+    piece = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0))
+    return placed.join(parts, "leaf", "left").select("doc_id", "tokens", (F.col("leaf") * F.lit(1 << 31) + piece).alias("shard"))
 
 
 def bm25_scores(texts: list[np.ndarray], dense_from: int = 32, stats: tuple[np.ndarray, int, float] | None = None) -> np.ndarray:
@@ -183,85 +199,91 @@ def bm25_scores(texts: list[np.ndarray], dense_from: int = 32, stats: tuple[np.n
     return scores
 
 
-def fill(sizes: list[int], near: list[list[int]], capacity: int) -> list[list[int]]:
-    """Containers as lists of items. ``near`` has each item's neighbours, nearest first."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    free = sorted((sizes[i], -i) for i in order)  # by size, so that a gap finds its largest item
-    used = [False] * len(sizes)
-    out = []
-
-    def take(i: int) -> None:
-        used[i] = True
-        free.pop(bisect_right(free, (sizes[i], -i)) - 1)
+def fill(sizes: np.ndarray, scores: np.ndarray, capacity: int) -> list[list[tuple[int, bool]]]:
+    """Containers as lists of (item, was it retrieved), the seed first.
 
+    A seed asks for its unused neighbours, nearest first, and takes those that
+    fit; once room for ``LAST`` of the capacity is left, the largest of its
+    unused neighbours that fits. What shares no token with the seed comes only
+    when no neighbour fits any more.
+    """
+    order, out = np.lexsort((np.arange(len(sizes)), -sizes)), []
+    free = np.ones(len(sizes), bool)
     for seed in order:
-        if used[seed]:
+        if not free[seed]:
             continue
-        take(seed)
-        box, room = [seed], capacity - sizes[seed]
-        for i in near[seed]:
-            if room <= 0:
-                break
-            if not used[i] and sizes[i] <= room:
-                take(i)
-                box.append(i)
-                room -= sizes[i]
-        while room > 0 and free and free[0][0] <= room:
-            i = -free[bisect_right(free, (room, 1)) - 1][1]
-            take(i)
-            box.append(i)
-            room -= sizes[i]
+        free[seed] = False
+        box, room = [(int(seed), False)], capacity - int(sizes[seed])
+        fits = np.flatnonzero(free & (sizes <= room))
+        near = fits[scores[seed, fits] > 0]
+        near = near[np.argsort(-scores[seed, near], kind="stable")]
+        far = fits[scores[seed, fits] <= 0]
+        while len(near) and room > LAST * capacity:
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[near]), room - LAST * capacity, "right")))
+            box += [(int(i), True) for i in near[:n]]
+            free[near[:n]] = False
+            room -= int(sizes[near[:n]].sum())
+            near = near[n:][sizes[near[n:]] <= room]
+        for nearest in (True, False):
+            found = near if nearest else far[sizes[far] <= room]
+            while len(found):
+                i = int(found[np.argmax(sizes[found])])
+                box.append((i, nearest))
+                free[i] = False
+                room -= int(sizes[i])
+                found = found[(found != i) & (sizes[found] <= room)]
         out.append(box)
     return out
 
 
-def _pack(plans: list[tuple[str, int]], path: str, shared):
+def _pack(plans: list[tuple[str, int]], shared):
     def pack(table: pa.Table) -> pa.Table:
-        enc = encoding(path)
         table = table.sort_by("doc_id")
-        ids, shard = table.column("doc_id").to_pylist(), table.column("shard")[0].as_py() if len(table) else 0
-        tokens = [np.array(enc.encode_ordinary(t), np.int64) for t in table.column("text").to_pylist()]
-        full = [i for i, t in enumerate(tokens) if len(t)]
-        scores = bm25_scores([tokens[i] for i in full], stats=shared.value)
-        ranked = [np.argsort(-row, kind="stable")[: int((row > 0).sum())].tolist() for row in scores]
+        ids, shard = table.column("doc_id").to_numpy(), table.column("shard")[0].as_py() if len(table) else 0
+        tokens = [np.frombuffer(t, np.uint32) for t in table.column("tokens").to_pylist()]
+        scores, lengths = bm25_scores(tokens, stats=shared.value), np.array([len(t) for t in tokens], np.int64)
         rows = []
         for name, capacity in plans:
+            # full containers of the texts beyond the capacity, and what is left of each
+            whole = (lengths - 1) // capacity
+            rest = lengths - whole * capacity
             box = 0
-            rest = []
-            for i in full:
-                pieces, size = divmod(len(tokens[i]), capacity)
-                if pieces and not size:
-                    pieces, size = pieces - 1, capacity
-                for p in range(pieces):
-                    rows.append((name, capacity, f"{name}-{shard}-{box}", ids[i], p, p * capacity, capacity, 0))
+            for i in np.flatnonzero(whole):
+                for p in range(int(whole[i])):
+                    rows.append((name, capacity, f"{name}-{shard}-{box}", int(ids[i]), p, p * capacity, capacity, 0, "seed", None))
                     box += 1
-                rest.append((pieces, size))
-            for items in fill([s for _, s in rest], ranked, capacity):
-                for position, j in enumerate(items):
-                    part, size = rest[j]
-                    rows.append((name, capacity, f"{name}-{shard}-{box}", ids[full[j]], part, part * capacity, size, position))
+            for items in fill(rest, scores, capacity):
+                seed = items[0][0]
+                for position, (j, near) in enumerate(items):
+                    part = int(whole[j])
+                    rows.append((name, capacity, f"{name}-{shard}-{box}", int(ids[j]), part, part * capacity, int(rest[j]), position, "seed" if not position else "neighbour" if near else "size", float(scores[seed, j]) if position else None))
                 box += 1
-        cols = list(zip(*rows)) if rows else [[] for _ in range(8)]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["plan_name", "capacity_tokens", "container_id", "doc_id", "part_no", "start_token", "n_tokens", "position"])
+        cols = list(zip(*rows)) if rows else [[] for _ in range(10)]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
+        return pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["plan_name", "capacity_tokens", "container_id", "doc_id", "part_no", "start_token", "n_tokens", "position", "placed_as", "score"])
 
     return pack
 
 
 def containers(texts: DataFrame, plans: DataFrame, path: str = TOKENIZER, shard_texts: int = SHARD_TEXTS) -> DataFrame:
-    """(plan_name, capacity_tokens, container_id, doc_id, part_no, start_token, n_tokens, position)
+    """(plan_name, capacity_tokens, container_id, doc_id, part_no, start_token, n_tokens, position, placed_as, score)
 
     ``texts`` has (doc_id, text), ``plans`` a few rows (plan_name, capacity_tokens).
     One row per plan and text, more for texts longer than the capacity: parts in
-    the order of their first token. Texts without a token, null texts and null
-    ids need no container; plans without a positive capacity are left out.
+    the order of their first token. ``placed_as`` is ``seed``, ``neighbour`` (retrieved,
+    with its score for the seed) or ``size`` (shares no token with the seed). Texts
+    without a token, null texts and null ids need no container; plans without a
+    positive capacity are left out; more than ``MAX_PLANS`` plans are an error.
     """
-    sizes = [(r.plan_name, r.capacity_tokens) for r in plans.filter("plan_name is not null and capacity_tokens > 0").distinct().orderBy("plan_name", "capacity_tokens").limit(1000).collect()]
-    rows = texts.select("doc_id", "text").filter("doc_id is not null and text <> ''")
-    rows = spread(rows, "doc_id")
-    stats = statistics(rows, path)
-    shared = rows.sparkSession.sparkContext.broadcast(stats)
-    return dealt(rows, stats, path, shard_texts).groupBy("shard").applyInArrow(_pack(sizes, path, shared), "plan_name string, capacity_tokens int, container_id string, doc_id bigint, part_no int, start_token bigint, n_tokens int, position int")
+    few = plans.filter("plan_name is not null and capacity_tokens > 0").distinct().orderBy("plan_name", "capacity_tokens").limit(MAX_PLANS + 1).collect()
+    if len(few) > MAX_PLANS:
+        raise ValueError(f"more than {MAX_PLANS} plans")
+    tokens = tokenised(spread(texts.select("doc_id", "text").filter("doc_id is not null and text <> ''"), "doc_id"), path)
+    stats = statistics(tokens)
+    shared = tokens.sparkSession.sparkContext.broadcast(stats)
+    shards = dealt(tokens, stats, shard_texts).groupBy("shard")
+    columns = "plan_name string, capacity_tokens int, container_id string, doc_id bigint, part_no int, start_token bigint, n_tokens int, position int, placed_as string, score double"
+    return shards.applyInArrow(_pack([(r.plan_name, r.capacity_tokens) for r in few], shared), columns)
 
 
 def p6_containers(spark, sf_dir: str) -> DataFrame:
@@ -269,7 +291,13 @@ def p6_containers(spark, sf_dir: str) -> DataFrame:
 
 
 def p6_fill(spark, sf_dir: str) -> DataFrame:
-    """Per plan: containers, texts, tokens, and the share of the capacity in use."""
+    """Per plan: containers, pieces, tokens, the share of the capacity in use, and the share of the placed pieces that were retrieved, with their mean score."""
     packed = p6_containers(spark, sf_dir)
-    each = packed.groupBy("plan_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("pieces"))
-    return each.groupBy("plan_name", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("used").alias("tokens"), F.round(F.sum("used") / (F.count(F.lit(1)) * F.col("capacity_tokens")), 4).alias("filled"))
+    near, other = F.count_if(F.col("placed_as") == "neighbour"), F.count_if(F.col("placed_as") == "size")
+    each = packed.groupBy("plan_name", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("pieces"), near.alias("near"), other.alias("other"), F.sum("score").alias("score"))
+    each = each.groupBy("plan_name", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), *[F.sum(c).alias(c) for c in ("pieces", "used", "near", "other", "score")])
+    placed = F.col("near") + F.col("other")
+    return each.select(
+        "plan_name", "capacity_tokens", "containers", "pieces", F.col("used").alias("tokens"), F.round(F.col("used") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("filled"),
+        F.round(F.try_divide("near", placed), 4).alias("retrieved"), F.round(F.try_divide("score", placed), 4).alias("mean_score"),
+    )
