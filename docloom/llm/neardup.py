@@ -9,8 +9,8 @@ ones fill bin after bin with every element, so all coordinates fill, and two
 sketches agree in a coordinate with the probability of the similarity,
 concentrated as for independent choices. ``BANDS`` bands of ``ROWS`` coordinates
 are then joined on equality. Pairs that agree in less than ``CHECK_AGREE`` of one
-bit of 128 coordinates, or whose sizes alone forbid the similarity, are dropped in
-the join, of the others those below ``FULL_AGREE`` of all ``BINS`` bits, and every
+bit of 128 coordinates are dropped in the join, of the others those below
+``FULL_AGREE`` of all ``BINS`` bits and those whose sizes forbid the similarity; every
 pair left is verified exactly on its words.
 
 Scale: texts with the same words are one class, so copies meet once; the band
@@ -18,7 +18,7 @@ join moves about 22 bytes a class and band, keyed by one number, texts are read
 for pairs that passed both tests only. A band shared by many different texts is
 split by Spark's skew join.
 A pair at similarity 0.70 shares a band with probability 0.992, at 0.72 with 0.996,
-at 0.75 with 0.999; the two bit tests reject 2 in 1 000 of those at 0.70.
+at 0.75 with 0.999; the two bit tests reject 5 in 1 000 of those at 0.70.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import materialize, spread
 
 BINS, ROWS, BANDS = 192, 5, 26
-CHECK_AGREE, FULL_AGREE = 96, 148
+CHECK_AGREE, FULL_AGREE = 98, 148
 SIGNS = [f"chk{i}" for i in range(BINS // 64)]
 WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -161,18 +161,19 @@ def classes_and_pairs(texts: DataFrame, threshold: float = 0.70) -> tuple[DataFr
     members = sk.select("tbl", name.alias("class"), "id").distinct()
     # copies have equal sketches
     reps = sk.groupBy("tbl", "sig1", "sig2").agg(*[F.first(c).alias(c) for c in ("words", *SIGNS, "bands")]).withColumn("class", name)
-    bands = reps.select("tbl", "class", "words", "chk0", "chk1", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("tbl", "band", "h").alias("h"), "tbl", "class", "words", "chk0", "chk1")
+    # 48 bits of a key are enough to tell bands apart; what meets by chance fails the tests below
+    bands = reps.select("tbl", "class", "chk0", "chk1", F.posexplode("bands").alias("band", "h")).select(F.shiftright(F.xxhash64("tbl", "band", "h"), 16).alias("h"), "class", "chk0", "chk1")
     agree = lambda *signs: F.lit(64 * len(signs)) - sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in signs), F.lit(0))
-    near_size = F.least("a.words", "b.words") >= threshold * F.greatest("a.words", "b.words") - 1e-9
-    meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class")) & near_size & (agree("chk0", "chk1") >= CHECK_AGREE) & (F.col("a.tbl") == F.col("b.tbl"))
-    cand = materialize(bands.alias("a").join(bands.alias("b"), meet).select(F.col("a.tbl").alias("tbl"), F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct())
-    signs = sk.select(name.alias("class"), *SIGNS)
+    meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.class") < F.col("b.class")) & (agree("chk0", "chk1") >= CHECK_AGREE)
+    cand = materialize(bands.alias("a").join(bands.alias("b"), meet).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct())
     side = lambda df, s: df.select(F.col("class").alias(f"class_{s}"), F.struct(*df.drop("class").columns).alias(s))
-    ends = lambda df: df.select("tbl", F.col("class_a").alias("class")).union(df.select("tbl", F.col("class_b").alias("class"))).distinct()
-    wanted = signs.join(ends(cand).select("class"), "class", "left_semi").distinct()
-    cand = materialize(cand.join(side(wanted, "a"), "class_a").join(side(wanted, "b"), "class_b").filter(agree(*SIGNS) >= FULL_AGREE).select("tbl", "class_a", "class_b"))
+    ends = lambda df: df.select(F.col("class_a").alias("class")).union(df.select(F.col("class_b").alias("class"))).distinct()
+    wanted = sk.select(name.alias("class"), "tbl", "words", *SIGNS).join(ends(cand), "class", "left_semi").distinct()
+    near_size = F.least("a.words", "b.words") >= threshold * F.greatest("a.words", "b.words") - 1e-9
+    cand = cand.join(side(wanted, "a"), "class_a").join(side(wanted, "b"), "class_b").filter((F.col("a.tbl") == F.col("b.tbl")) & near_size & (agree(*SIGNS) >= FULL_AGREE))
+    cand = materialize(cand.select(F.col("a.tbl").alias("tbl"), "class_a", "class_b"))
     # the text of one member of each class, told from the id's other texts by its signatures
-    one = sk.select("tbl", name.alias("class"), "sig1", "sig2", "id").join(ends(cand), ["tbl", "class"], "left_semi").groupBy("tbl", "class", "sig1", "sig2").agg(F.min("id").alias("id"))
+    one = sk.select("tbl", name.alias("class"), "sig1", "sig2", "id").join(ends(cand), "class", "left_semi").groupBy("tbl", "class", "sig1", "sig2").agg(F.min("id").alias("id"))
     one = materialize(one)
     signed = source.join(one.select("tbl", "id").distinct(), ["tbl", "id"], "left_semi").mapInArrow(_sign, "tbl string, id bigint, text string, sig1 bigint, sig2 bigint")
     content = signed.join(one, ["tbl", "id", "sig1", "sig2"]).groupBy("class", "sig1", "sig2").agg(F.min("text").alias("text")).select("class", "text")
