@@ -37,26 +37,32 @@ K1, B = 1.2, 0.75
 _turns: dict[int, np.ndarray] = {}
 
 
-def _reader(path: str):
+def _reader(path: str, code: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for batch in batches:
-            tokens = [np.array(t, np.uint32).tobytes() for t in enc.encode_ordinary_batch(batch.column("text").to_pylist(), num_threads=1)]
+            tokens = [np.array(t, code).tobytes() for t in enc.encode_ordinary_batch(batch.column("text").to_pylist(), num_threads=1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
 
     return read
 
 
 def tokenised(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens) of the texts with a token; every text meets the tokenizer once."""
-    return materialize(rows.select("doc_id", "text").mapInArrow(_reader(path), "doc_id bigint, tokens binary").filter(F.length("tokens") > 0))
+    """(doc_id, tokens, width) of the texts with a token, of 2 or 4 bytes each; every text meets the tokenizer once."""
+    width = 2 if encoding(path).max_token_value < 1 << 16 else 4
+    return materialize(rows.select("doc_id", "text").mapInArrow(_reader(path, f"<u{width}"), "doc_id bigint, tokens binary").filter(F.length("tokens") > 0).withColumn("width", F.lit(width)))
+
+
+def _read(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    width = batch.column("width")[0].as_py() if len(batch) else 4
+    return [np.frombuffer(x, f"<u{width}").astype(np.int64) for x in batch.column("tokens").to_pylist()]
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, token and count of each different token of a row, and the rows' sizes."""
-    raw = batch.column("tokens").to_pylist()
-    sizes = np.array([len(x) // 4 for x in raw], np.int64)
-    cell, tf = np.unique(np.repeat(np.arange(len(raw)), sizes) << 32 | np.frombuffer(b"".join(raw), np.uint32).astype(np.int64), return_counts=True)
+    tokens = _read(batch)
+    sizes = np.array([len(x) for x in tokens], np.int64)
+    cell, tf = np.unique(np.repeat(np.arange(len(tokens)), sizes) << 32 | np.concatenate([*tokens, np.zeros(0, np.int64)]), return_counts=True)
     return cell >> 32, cell & 0xFFFFFFFF, tf, sizes
 
 
@@ -73,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     """Document frequency by token, number of texts, and their mean length; one collected row a token of the tokenizer's vocabulary."""
-    got = tokens.select("tokens").mapInArrow(_count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    got = tokens.select("tokens", "width").mapInArrow(_count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     by = dict(zip(got.token.tolist(), got.n.tolist()))
     n, total = by.pop(-1, 0), by.pop(-2, 0)
     df = np.zeros(max(by, default=0) + 1, np.int64)
@@ -153,13 +159,13 @@ def dealt(tokens: DataFrame, stats: tuple[np.ndarray, int, float], shard_texts:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaf = leaf_of(_vectors(batch, shared.value), sent.value) if len(sent.value[0]) else np.zeros(batch.num_rows, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tokens"), pa.array(leaf)], names=["doc_id", "tokens", "leaf"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "tokens", "width")], pa.array(leaf)], names=["doc_id", "tokens", "width", "leaf"])
 
-    placed = materialize(tokens.mapInArrow(deal, "doc_id bigint, tokens binary, leaf bigint"))
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (1.5 * shard_texts)).alias("parts")).filter("parts > 1")
-    # leaves that hold too many texts are few
+    placed = materialize(tokens.mapInArrow(deal, "doc_id bigint, tokens binary, width int, leaf bigint"))
+    # leaves that hold too many texts are few; written first, so that the tokens are shuffled once
+    parts = materialize(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (1.5 * shard_texts)).alias("parts")).filter("parts > 1"))
     piece = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0))
-    return placed.join(parts, "leaf", "left").select("doc_id", "tokens", (F.col("leaf") * F.lit(1 << 31) + piece).alias("shard"))
+    return placed.join(parts, "leaf", "left").select("doc_id", "tokens", "width", (F.col("leaf") * F.lit(1 << 31) + piece).alias("shard"))
 
 
 def bm25_scores(texts: list[np.ndarray], dense_from: int = 32, stats: tuple[np.ndarray, int, float] | None = None) -> np.ndarray:
@@ -240,7 +246,7 @@ def _pack(plans: list[tuple[str, int]], shared):
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
         ids, shard = table.column("doc_id").to_numpy(), table.column("shard")[0].as_py() if len(table) else 0
-        tokens = [np.frombuffer(t, np.uint32) for t in table.column("tokens").to_pylist()]
+        tokens = _read(table)
         scores, lengths = bm25_scores(tokens, stats=shared.value), np.array([len(t) for t in tokens], np.int64)
         rows = []
         for name, capacity in plans:
