@@ -1,7 +1,8 @@
 """Sentence units of texts in many languages and scripts.
 
-Method: unsupervised statistics per language by log-likelihood ratios. One pass
-counts every token of all texts: how often it occurs, with a final period, first
+Method: unsupervised statistics per language by log-likelihood ratios. The language
+of a block comes from its script, of Latin script from the words that texts of each
+language label hold more often than others do. One pass counts every token of all texts: how often it occurs, with a final period, first
 in a paragraph, last in a paragraph, and which tokens follow it after a period.
 From these come, per language,
 
@@ -10,18 +11,25 @@ From these come, per language,
   than other periods are (ratio test);
 * collocations: pairs (abbreviation or number, next token) that occur together
   more often than chance;
+* numbers: the languages in which a period behind a number is followed by what
+  starts sentences as often as other periods are; elsewhere it marks an ordinal;
+* closers: last characters of words whose words take a sentence sign or end a
+  paragraph more often than not, in scripts without capitals;
 * sentence starters and enders: the log-ratio of a token's rate at paragraph
   starts (ends) to its rate anywhere; tokens too rare for a rate of their own
   share that of their shape.
 
 A second pass over the texts then classifies each period, and each line break
 after which no sign says whether the sentence goes on. Scripts without spaces or
-periods are cut at their own signs, Thai at those of its spaces that look like
-the ends and starts of its lines.
-
-Scale: both passes are maps over rows; only token counts are shuffled. The model
-keeps tokens of a share of at least 1e-6 of a language, so that its size is
-bounded for any corpus; it is broadcast.
+periods are cut at their own signs, there the characters that start sentences
+decide behind quotations; Thai is cut at those of its spaces that look like the
+ends and starts of its lines.
+
+Scale: the passes are maps over rows; only token counts are shuffled. The model
+keeps tokens of a share of at least ``MIN_SHARE`` of a language, at most 1e5 a
+language, so that its size is bounded for any corpus; it is broadcast. What stands
+around a sign is looked at within ``REACH`` characters, so that cutting takes time
+in proportion to the text, also where a text has no white space.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +47,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, spread
 
-MIN_COUNT, MIN_SHARE = 8, 1e-6
-ABBREVIATION_CHARS = 8
+MIN_COUNT, MIN_SHARE, REACH = 8, 1e-5, 256
+ODDS = 2.0
 
 BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 MARK = re.compile(r"[^\S\n]*(?:#{1,6}|[-*•‣–]|\d{1,3}(?:\.\d{1,3})*[.)]|\d{1,2}(?:\.\d{1,2})+)[^\S\n]+")
@@ -49,18 +57,21 @@ SPAN = re.compile(
     r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「(?:[^「」]|「[^「」]*」)*」|『[^『』]*』|(?<!\w)‘[^‘’]*’(?![A-Za-zÀ-ɏ])|(?<![^\s(（])\"[^\"]*\"|\((?:[^()]|\([^()]*\))*\)|（[^（）]*）|\[[^\[\]]*\]"
 )
 SIGN = re.compile(r"[.!?]+|[。！？｡]+|…+|[।॥]+|\n")
+# What follows a sentence sign or begins a block, in scripts without spaces.
+STARTS = re.compile(r"(?:^|[。！？])[\s「『（“‘]*([^\s「『（“‘])")
 THAI_SPACE = re.compile(r"(?<=\S)[^\S\n]+(?=\S)")
 INNER_END = re.compile(r"[.!?。！？｡।…][\s”“»」』’\")）\]]*$")
 STRIP = "“”„\"«»「」『』‘’'()（）[]{}.,;:!?…。，、；：！？।॥"
 NUMBER = re.compile(r"^[\d.,:/-]*\d[\d.,:/-]*$")
 
-# A few frequent words that tell Latin-script languages apart.
+# A few frequent words that tell Latin-script languages apart, for texts without a language label.
 LATIN_WORDS = {
     "en": {"the", "of", "and", "in", "were", "was", "by", "to", "for", "is", "at", "that", "with", "as", "on", "after", "who", "before"},
     "de": {"der", "die", "und", "in", "wurde", "wurden", "im", "von", "zu", "den", "ist", "hat", "nach", "gilt", "lag", "bei", "durch", "für", "gemäß", "laut", "seit", "wer", "am", "mit"},
     "fr": {"le", "la", "de", "et", "du", "des", "les", "à", "en", "un", "une", "sur", "est", "par", "pour", "dans", "selon", "qui", "après", "avec"},
 }
-ANY_LATIN = frozenset().union(*LATIN_WORDS.values())
+LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
+LABEL = re.compile(r"^[a-z]{2,3}$")
 # The ranges of letters that tell the other scripts; Han last, as Japanese has it too.
 SCRIPTS = [
     ("ko", re.compile(r"[ᄀ-ᇿ가-힣]+")),
@@ -72,22 +83,80 @@ SCRIPTS = [
 OTHER_SCRIPT = re.compile(r"[\u0370-\u1fff\u2c00-\ud7ff\uf900-\ufdff]")
 
 
-def language(block: str, base: Callable[[], str] = lambda: "en") -> str:
-    """The language of a block by its script; Latin script by frequent words, ``base`` where these don't tell."""
-    if OTHER_SCRIPT.search(block):
-        least = 0.12 * len(block)
-        for lang, pattern in SCRIPTS:
-            if pattern.search(block) and sum(map(len, pattern.findall(block))) > least:
-                return lang
-    words = [w for w in block.lower().split() if w in ANY_LATIN]
-    scores = sorted(((sum(w in known for w in words), lang) for lang, known in LATIN_WORDS.items()), reverse=True)
-    return scores[0][1] if scores[0][0] > scores[1][0] else base()
+class Languages:
+    """Tells the language of a block by its script, of Latin script by its words (word -> log odds of each language)."""
+
+    def __init__(self, names: list[str], words: dict[str, tuple[float, ...]]) -> None:
+        self.names, self.words = names, words
+
+    @staticmethod
+    def seeds() -> Languages:
+        names = sorted(LATIN_WORDS)
+        return Languages(names, {w: tuple(ODDS * (w in LATIN_WORDS[n]) for n in names) for w in set().union(*LATIN_WORDS.values())})
 
+    def of(self, block: str, base: Callable[[], str] | None = None) -> str:
+        if OTHER_SCRIPT.search(block):
+            least = 0.12 * len(block)
+            for lang, pattern in SCRIPTS:
+                if pattern.search(block) and sum(map(len, pattern.findall(block))) > least:
+                    return lang
+        known = [self.words[w] for w in LATIN_WORD.findall(block.lower()) if w in self.words]
+        if known and len(self.names) > 1:
+            sums = [sum(x) for x in zip(*known)]
+            best, second = sorted(sums, reverse=True)[:2]
+            if best - second >= 1:
+                return self.names[sums.index(best)]
+        return base() if base else self.names[0] if self.names else "en"
 
-def base_language(text: str) -> str:
-    """The Latin-script language of a whole text, for blocks too short to tell."""
-    lang = language(text)
-    return lang if lang in LATIN_WORDS else "en"
+    def latin(self, text: str) -> str:
+        """The Latin-script language of a whole text, for blocks too short to tell."""
+        lang = self.of(text)
+        return lang if lang in self.names else self.names[0] if self.names else "en"
+
+
+def _label_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Latin words of the texts of each label; the empty word counts all letters, ``~`` the Latin ones."""
+    counts: dict = defaultdict(Counter)
+
+    def flush() -> pa.RecordBatch:
+        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            words = LATIN_WORD.findall(text.lower())
+            counts[lang].update(words)
+            counts[lang][""] += len(text)
+            counts[lang]["~"] += sum(map(len, words))
+        if sum(map(len, counts.values())) > 500_000:
+            yield flush()
+    yield flush()
+
+
+def learn_languages(texts: DataFrame) -> Languages:
+    """The Latin-script languages among the labels (lang, text), most frequent first, and the words that tell them apart.
+
+    Labels are unreliable: they count in lower case up to a hyphen, as codes of two
+    or three letters, if most letters of their texts are Latin and they hold a
+    thousandth of all Latin letters. Without such labels a few seed words serve.
+    """
+    label = F.lower(F.regexp_extract("lang", "^([A-Za-z]+)", 1))
+    rows = texts.select(label.alias("lang"), "text").filter(f"lang rlike '{LABEL.pattern}' and lang <> 'und' and text is not null")
+    counts = materialize(rows.mapInArrow(_label_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    sizes = counts.filter("word in ('', '~')").groupBy("lang").agg(F.sum(F.when(F.col("word") == "", F.col("n"))).alias("chars"), F.sum(F.when(F.col("word") == "~", F.col("n"))).alias("latin"))
+    rows = sizes.filter("latin * 2 > chars").orderBy(F.desc("latin"), "lang").limit(1000).collect()  # two or three letters: 18 252 labels at most
+    names = [r.lang for r in rows if r.latin * 1000 >= sum(x.latin for x in rows)]
+    if len(names) < 2:
+        return Languages.seeds()
+    mine = counts.filter(F.col("lang").isin(names) & (F.col("word") != "") & (F.col("word") != "~"))
+    total = {r.lang: r.n for r in mine.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    wide = mine.groupBy("word").agg(F.sum("n").alias("all"), *[F.coalesce(F.sum(F.when(F.col("lang") == n, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, n in enumerate(names)])
+    rate = [F.log((F.col(f"n{i}") + 0.5) / (total[n] + 1.0)) for i, n in enumerate(names)]
+    mean = sum(rate[1:], rate[0]) / len(names)
+    odds = wide.filter((F.col("all") >= MIN_COUNT) & (F.col("all") >= MIN_SHARE * sum(total.values()))).select("word", F.array(*[r - mean for r in rate]).alias("odds"))
+    telling = odds.filter(F.array_max("odds") - F.array_min("odds") >= ODDS)
+    return Languages(names, {r.word: tuple(r.odds) for r in telling.collect()})  # at most 1 / MIN_SHARE words
 
 
 def core(token: str) -> str:
@@ -121,7 +190,7 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(languages: Languages, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token and pair counts of the partition."""
     tokens, first, last, pairs = (defaultdict(Counter) for _ in range(4))
 
@@ -152,11 +221,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            base = partial(base_language, text)
+            base = cache(partial(languages.latin, text))
             for s, e in blocks_of(text):
                 block = text[s:e]
-                lang = language(block, base)
+                lang = languages.of(block, base)
                 if lang in ("zh", "ja"):
+                    tokens[lang].update("s:" + c for c in block if not c.isspace())
+                    first[lang].update("s:" + m.group(1) for m in STARTS.finditer(block))
+                    size += len(block)
                     continue
                 if lang == "th":
                     for line in block.split("\n"):
@@ -176,7 +248,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not m:
                     first[lang][words[0]] += 1
                 last[lang][words[-1]] += 1
-                pairs[lang].update((a, b) for a, b in zip(words, words[1:]) if a[-1] == "." and a[-2:] != ".." and len(a) <= ABBREVIATION_CHARS + 1)
+                pairs[lang].update((a, b) for a, b in zip(words, words[1:]) if a[-1] == "." and a[-2:] != "..")
         if size > 2_000_000:
             yield flush()
             size = 0
@@ -191,14 +263,16 @@ def _llr(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
 
 
 def learn(texts: DataFrame) -> dict:
-    """The model of all languages: ``start`` and ``end`` log-ratios, ``abbreviations`` and ``collocations``.
+    """The model of all languages: ``start`` and ``end`` log-ratios, ``abbreviations``, ``collocations``, ``numbers`` and ``closers``.
 
-    ``texts`` has (text). Every text is counted.
+    ``texts`` has (text), and (lang) where texts have labels. Every text is counted.
     """
-    counted = spread(texts.select("text").filter("text is not null"), "text").mapInArrow(_count, "lang string, token string, next string, shape string, n bigint, dot bigint, first bigint, last bigint")
+    languages = learn_languages(texts) if "lang" in texts.columns else Languages.seeds()
+    shared = texts.sparkSession.sparkContext.broadcast(pickle.dumps((languages.names, languages.words)))
+    counted = spread(texts.select("text").filter("text is not null"), "text").mapInArrow(lambda batches: _count(Languages(*pickle.loads(shared.value)), batches), "lang string, token string, next string, shape string, n bigint, dot bigint, first bigint, last bigint")
     counts = materialize(counted.groupBy("lang", "token", "next", "shape").agg(*[F.sum(c).alias(c) for c in ("n", "dot", "first", "last")]))
     types = counts.filter("next = ''").drop("next")
-    pairs = counts.filter("next <> '' and lang <> 'th'").select("lang", "token", "next", "shape", "n")
+    pairs = counts.filter("next <> '' and lang not in ('th', 'zh', 'ja')").select("lang", "token", "next", "shape", "n")
     total = types.groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum("dot").alias("all_dot"), F.sum("first").alias("all_first"), F.sum("last").alias("all_last"))
     total = materialize(total)  # a row a language
     own = (F.col("n") >= MIN_COUNT) & (F.col("n") >= F.col("all_n") * MIN_SHARE)
@@ -207,10 +281,11 @@ def learn(texts: DataFrame) -> dict:
     rates = joined.withColumn("key", F.when(own, F.col("token")).otherwise(F.col("shape"))).groupBy("lang", "key", "all_n", "all_first", "all_last").agg(*[F.sum(c).alias(c) for c in ("n", "dot", "first", "last")])
     anywhere = F.log((F.col("n") + 1.0) / (F.col("all_n") + 2.0))
     rates = materialize(rates.withColumn("start", F.log((F.col("first") + 0.5) / (F.col("all_first") + 1.0)) - anywhere).withColumn("end", F.log((F.col("last") + 0.5) / (F.col("all_last") + 1.0)) - anywhere))
-    model: dict = {"start": defaultdict(dict), "end": defaultdict(dict), "abbreviations": defaultdict(set), "collocations": defaultdict(set)}
+    model: dict = {"start": defaultdict(dict), "end": defaultdict(dict), "abbreviations": defaultdict(set), "collocations": defaultdict(set), "closers": defaultdict(set), "numbers": set(), "languages": (languages.names, languages.words)}
     for r in rates.select("lang", "key", "start", "end").collect():  # at most 1 / MIN_SHARE rows a language
         model["start"][r.lang][r.key] = r.start
         model["end"][r.lang][r.key] = r.end
+    d = lambda c: F.col(c).cast("double")
     # what follows a type's periods, as far as it looks like a start
     scores = rates.select("lang", "key", "start")
     # at most 1 / MIN_SHARE tokens a language
@@ -218,12 +293,22 @@ def learn(texts: DataFrame) -> dict:
     follow = pairs.join(F.broadcast(known), ["lang", "next"], "left").withColumn("key", F.when(F.col("own"), F.col("next")).otherwise(F.col("shape"))).join(F.broadcast(scores), ["lang", "key"], "left")
     after = follow.groupBy("lang", "token").agg(F.sum("n").alias("followed"), F.coalesce(F.sum(F.when(F.col("start") > 0, F.col("n"))), F.lit(0)).alias("starts"))
     base = after.groupBy("lang").agg(F.sum("followed").alias("all_followed"), F.sum("starts").alias("all_starts"))
-    cand = types.filter(f"dot >= 3 and dot * 2 > n and length(token) <= {ABBREVIATION_CHARS}").join(after, ["lang", "token"], "left").join(F.broadcast(total), "lang").join(F.broadcast(base), "lang").na.fill(0)
+    numbers = after.filter("token = '##'").join(F.broadcast(base), "lang").join(F.broadcast(total), "lang")
+    fewer = _llr(d("starts"), d("followed"), d("all_starts") - d("starts") + 0.5, d("all_followed") - d("followed") + 1.0)
+    for r in numbers.filter((F.col("followed") >= MIN_COUNT) & ((fewer <= 7.88) | (F.col("starts") * d("all_followed") >= F.col("followed") * d("all_starts")))).select("lang").collect():
+        model["numbers"].add(r.lang)
+    # one row a character: scripts without capitals have some thousands
+    last = types.filter("token <> '' and lang not in ('th', 'zh', 'ja') and shape not in ('~upper', '~lower', '~mixed', '~digit')").withColumn("c", F.substring("token", -1, 1)).groupBy("lang", "c").agg(F.sum("n").alias("n"), F.greatest(F.sum("dot"), F.sum("last")).alias("dot"))
+    last = last.join(F.broadcast(total), "lang").filter((F.col("dot") >= MIN_COUNT) & (F.col("dot") * 2 > F.col("n")))
+    for r in last.filter(_llr(d("dot"), F.greatest(d("n"), d("dot")), d("all_dot") - d("dot"), d("all_n") - d("n")) > 7.88).select("lang", "c").collect():
+        model["closers"][r.lang].add(r.c)
+    cand = types.filter("dot >= 3 and dot * 2 > n").join(after, ["lang", "token"], "left").join(F.broadcast(total), "lang").join(F.broadcast(base), "lang").na.fill(0)
     cand = cand.withColumn("ended", F.greatest(F.col("dot") - F.col("followed"), F.lit(0)) + F.col("starts"))
-    d = lambda c: F.col(c).cast("double")
     takes = _llr(d("dot"), F.greatest(d("n"), d("dot")), d("all_dot") - d("dot"), d("all_n") - d("n"))
+    # the longer a word, the more evidence it takes
+    longer = F.exp(-F.greatest(F.length("token") - 8, F.lit(0)) / 2.0)
     ends = _llr(d("ended"), d("dot"), d("all_starts") + 0.5, d("all_followed") + 1.0)
-    abbr = cand.filter((F.col("dot") * 2 > F.col("n")) & (takes > 7.88) & (F.col("ended") < 0.4 * F.col("dot")) & ((ends > 7.88) | (F.col("dot") < MIN_COUNT)) & (F.col("dot") >= 3) & (F.length("token") <= ABBREVIATION_CHARS))
+    abbr = cand.filter((F.col("dot") * 2 > F.col("n")) & (takes * longer > 7.88) & (F.col("ended") < 0.4 * F.col("dot")) & ((ends * longer > 7.88) | ((F.col("dot") < MIN_COUNT) & (longer == 1))) & (F.col("dot") >= 3))
     for r in abbr.filter(F.col("dot") >= F.col("all_dot") * MIN_SHARE).select("lang", "token").collect():
         model["abbreviations"][r.lang].add(r.token)
     # collocations after numbers and abbreviations, as a day and its month
@@ -233,7 +318,7 @@ def learn(texts: DataFrame) -> dict:
     together = _llr(d("n"), F.greatest(d("dot"), d("n")), F.greatest(d("n2") - d("n"), F.lit(0.0)), d("all_n") - d("dot"))
     for r in pair.filter((together > 7.88) & (F.col("n") * d("all_n") > d("dot") * d("n2")) & (F.col("n") >= F.col("all_dot") * MIN_SHARE)).select("lang", "token", "next").collect():
         model["collocations"][r.lang].add((r.token, r.next))
-    return {k: dict(v) for k, v in model.items()}
+    return {k: dict(v) if isinstance(v, defaultdict) else v for k, v in model.items()}
 
 
 class Classifier:
@@ -242,7 +327,8 @@ class Classifier:
     LINE_PRIOR = -2.0
 
     def __init__(self, model: dict) -> None:
-        self.model = model
+        self.model, self.languages = model, Languages(*model["languages"])
+        self.cased = {*self.languages.names, "en"}
 
     def start(self, lang: str, token: str) -> float:
         table = self.model["start"].get(lang, {})
@@ -256,12 +342,12 @@ class Classifier:
 
     def _period(self, block: str, lang: str, s: int, e: int) -> bool:
         """Does the sign block[s:e], of periods alone, end a sentence?"""
-        after = block[e : e + 60]
+        after = block[e : e + REACH]
         if not after.strip():
             return False
         nxt = after.split(None, 1)[0]
-        left = block[max(0, s - 40) : s]
-        word = left.split()[-1] if left and not left[-1].isspace() and left.split() else ""
+        left = block[max(0, s - REACH) : s]
+        word = left.rsplit(None, 1)[-1] if left and not left[-1].isspace() else ""
         if e - s > 1:
             return bool(after[:1].isspace() and lang in self.model["start"] and lang != "ko" and nxt[:1].isupper() and self.start(lang, nxt) > 0)
         c = core(word)
@@ -285,8 +371,8 @@ class Classifier:
             if lower or (core(word), core(nxt)) in self.model["collocations"].get(lang, ()) and self.start(lang, nxt) <= 0:
                 return False
             if clean[:1].isdigit():
-                return lang in ("en", "fr") and not nxt.endswith((".", ")")) and len(word.strip(STRIP)) > 2
-            return lang in ("en", "fr") or self.start(lang, nxt) > 0
+                return lang in self.model["numbers"] and not nxt.endswith((".", ")")) and len(word.strip(STRIP)) > 2
+            return lang in self.model["numbers"] or self.start(lang, nxt) > 0
         if len(c) == 1 and c.isupper() and len(clean.rstrip(STRIP)) == 1:
             return False  # initials in a row
         if c in abbreviations or (len(c) == 1 and c.isupper()) or (re.fullmatch(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}", c) is not None):
@@ -297,23 +383,24 @@ class Classifier:
 
     def _line(self, block: str, lang: str, start: int, at: int, marked: bool) -> bool:
         """Does the line break at ``at`` end the unit that began at ``start``?"""
-        after = block[at + 1 : at + 200]
+        after = block[at + 1 : at + REACH]
         if marked or lang in ("zh", "ja", "th") or after[:1].isspace() or MARK.match(after):
             return True
-        before = block[max(start, at - 60) : at].split()
+        before = block[max(start, at - REACH) : at].rsplit(None, 1)
         nxt = after.split(None, 1)[0] if after.strip() else ""
         if not before or not nxt:
             return True
         word = before[-1]
         if word[-1] in ",;:–-(" or nxt[0] in ";,:)–":
             return False
-        if lang in ("en", "de", "fr"):
+        if lang in self.cased:
             clean = nxt.lstrip(STRIP)
             if clean[:1].islower() and not any(x.isupper() for x in clean):
                 return False
         a, b = self.end(lang, word), self.start(lang, nxt)
         if lang == "ko":
-            return a > 0 and core(word).endswith(("다", "요", "까", "함", "음", "됨")) and b > -4
+            # a heading's last word, or that of a sentence
+            return b > -4 and (a > -self.LINE_PRIOR or a > 0 and core(word)[-1:] in self.model["closers"].get(lang, ()) or a > 1.5 and b > 0)
         if lang == "hi":
             return a > 0.5 and b > -2 and a + b + self.LINE_PRIOR > -2
         return b > 0 and a + b + self.LINE_PRIOR > 0
@@ -323,10 +410,10 @@ class Classifier:
 
     def units(self, text: str) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
-        base = partial(base_language, text)
+        base = cache(partial(self.languages.latin, text))
         for bs, be in blocks_of(text):
             block = text[bs:be]
-            lang = language(block, base)
+            lang = self.languages.of(block, base)
             cuts = self._cuts(block, lang)
             at = 0
             for cut in [*cuts, len(block)]:
@@ -368,11 +455,11 @@ class Classifier:
                     if self._period(block, lang, s, e):
                         cut = e
                 elif c == "…":
-                    rest = block[e : e + 40]
-                    if rest[:1].isspace() and lang in ("en", "fr", "de") and rest.strip()[:1].isupper() and self.start(lang, rest.split()[0]) > 0:
+                    rest = block[e : e + REACH]
+                    if rest[:1].isspace() and lang in self.cased and rest.strip()[:1].isupper() and self.start(lang, rest.split()[0]) > 0:
                         cut = e
                 elif c in "!?":
-                    rest = block[e : e + 40].lstrip()
+                    rest = block[e : e + REACH].lstrip()
                     if not (rest[:1].islower() or rest[:1] in ",;:)]”»’"):
                         cut = e
                 else:
@@ -390,19 +477,18 @@ class Classifier:
         """Does a quotation or bracket that holds a sentence end also end the unit around it?"""
         if block[s] in "([（" and block[unit:s].strip():
             return False
-        rest = block[e : e + 60]
+        rest = block[e : e + REACH]
         if not rest.strip():
             return False
         nxt = rest.split(None, 1)[0]
         if not rest[0].isspace():
-            if lang == "zh":
-                return rest[0] not in "，、；：。！？,.;:!?的”）"
-            if lang == "ja" and block[s] in "（(":
-                return rest[0] not in "、。，はがをにのとでもへ"
+            if lang == "zh" or lang == "ja" and block[s] in "（(":
+                clean = rest.lstrip("“「『‘（(")
+                return clean[:1] not in STRIP and self.model["start"].get(lang, {}).get("s:" + clean[:1], 0.0) > -3
             return False
         if rest.lstrip()[0] in ",;:.!?–-":
             return False
-        if lang in ("en", "de", "fr"):
+        if lang in self.cased:
             clean = nxt.lstrip(STRIP)
             return not (clean[:1].islower() and not any(x.isupper() for x in clean))
         if lang == "hi":
@@ -410,7 +496,8 @@ class Classifier:
         return True
 
     def _thai(self, block: str, s: int, e: int) -> bool:
-        before, after = block[:s].split()[-1] if block[:s].split() else "", block[e:].split(None, 1)[0]
+        # four characters on either side are all that the model knows
+        before, after = block[max(0, s - 4) : s].split()[-1], block[e : e + 4].split(None, 1)[0]
         if before[-1:] in "”»":
             return after[:1] not in ",;:"
         a = self.model["end"].get("th", {}).get("e:" + before[-4:], -3.0)
@@ -426,11 +513,12 @@ def unicode_letter(c: str) -> bool:
 def sentence_units(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start_pos, end_pos) of every sentence unit, in code points.
 
-    ``texts`` has (key, text). Null, empty and blank texts have no unit. Rows with
-    the same key and text count once. All units of a text together hold all its
-    characters that are not white space.
+    ``texts`` has (key, text) and may have (lang), a label that need not be right.
+    Null, empty and blank texts have no unit. Repeated rows give their units once;
+    of several texts under one key all units are given. All units of a text together
+    hold all its characters that are not white space.
     """
-    rows = spread(texts.select(key, "text").filter(F.col("text").isNotNull() & F.col(key).isNotNull()), key)
+    rows = spread(texts.select(key, "text", *[c for c in ("lang",) if c in texts.columns and c != key]).filter(F.col("text").isNotNull() & F.col(key).isNotNull()), key)
     shared = texts.sparkSession.sparkContext.broadcast(pickle.dumps(learn(rows)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,9 +530,8 @@ def sentence_units(texts: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=[key, "start_pos", "end_pos"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.mapInArrow(cut, f"{key} {kind}, start_pos bigint, end_pos bigint")
+    return rows.select(key, "text").mapInArrow(cut, f"{key} {kind}, start_pos bigint, end_pos bigint").distinct()
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
-    # doc_id is unique in documents, so no row repeats
     return sentence_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
