@@ -16,7 +16,8 @@ pair left is verified exactly on its words.
 Scale: texts with the same words are one class, so copies meet once; the band
 join moves about 22 bytes a class and band, keyed by one number, texts are read
 for pairs that passed both tests only. A band shared by many different texts is
-split by Spark's skew join.
+split by Spark's skew join. Sides of joins that grow with the data are never
+broadcast, so that the plan is the same at every size.
 A pair at similarity 0.70 shares a band with probability 0.992, at 0.72 with 0.996,
 at 0.75 with 0.999; the two bit tests reject 5 in 1 000 of those at 0.70.
 """
@@ -168,16 +169,16 @@ def classes_and_pairs(texts: DataFrame, threshold: float = 0.70) -> tuple[DataFr
     cand = materialize(bands.alias("a").join(bands.alias("b"), meet).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct())
     side = lambda df, s: df.select(F.col("class").alias(f"class_{s}"), F.struct(*df.drop("class").columns).alias(s))
     ends = lambda df: df.select(F.col("class_a").alias("class")).union(df.select(F.col("class_b").alias("class"))).distinct()
-    wanted = sk.select(name.alias("class"), "tbl", "words", *SIGNS).join(ends(cand), "class", "left_semi").distinct()
+    wanted = sk.select(name.alias("class"), "tbl", "words", *SIGNS).join(ends(cand).hint("merge"), "class", "left_semi").distinct()
     near_size = F.least("a.words", "b.words") >= threshold * F.greatest("a.words", "b.words") - 1e-9
-    cand = cand.join(side(wanted, "a"), "class_a").join(side(wanted, "b"), "class_b").filter((F.col("a.tbl") == F.col("b.tbl")) & near_size & (agree(*SIGNS) >= FULL_AGREE))
+    cand = cand.join(side(wanted, "a").hint("merge"), "class_a").join(side(wanted, "b").hint("merge"), "class_b").filter((F.col("a.tbl") == F.col("b.tbl")) & near_size & (agree(*SIGNS) >= FULL_AGREE))
     cand = materialize(cand.select(F.col("a.tbl").alias("tbl"), "class_a", "class_b"))
     # the text of one member of each class, told from the id's other texts by its signatures
-    one = sk.select("tbl", name.alias("class"), "sig1", "sig2", "id").join(ends(cand), "class", "left_semi").groupBy("tbl", "class", "sig1", "sig2").agg(F.min("id").alias("id"))
+    one = sk.select("tbl", name.alias("class"), "sig1", "sig2", "id").join(ends(cand).hint("merge"), "class", "left_semi").groupBy("tbl", "class", "sig1", "sig2").agg(F.min("id").alias("id"))
     one = materialize(one)
-    signed = source.join(one.select("tbl", "id").distinct(), ["tbl", "id"], "left_semi").mapInArrow(_sign, "tbl string, id bigint, text string, sig1 bigint, sig2 bigint")
-    content = signed.join(one, ["tbl", "id", "sig1", "sig2"]).groupBy("class", "sig1", "sig2").agg(F.min("text").alias("text")).select("class", "text")
-    both = cand.join(side(content, "a"), "class_a").join(side(content, "b"), "class_b").select("tbl", "class_a", "class_b", F.col("a.text").alias("text_a"), F.col("b.text").alias("text_b"))
+    signed = source.join(one.select("tbl", "id").distinct().hint("merge"), ["tbl", "id"], "left_semi").mapInArrow(_sign, "tbl string, id bigint, text string, sig1 bigint, sig2 bigint")
+    content = signed.join(one.hint("merge"), ["tbl", "id", "sig1", "sig2"]).groupBy("class", "sig1", "sig2").agg(F.min("text").alias("text")).select("class", "text")
+    both = cand.join(side(content, "a").hint("merge"), "class_a").join(side(content, "b").hint("merge"), "class_b").select("tbl", "class_a", "class_b", F.col("a.text").alias("text_a"), F.col("b.text").alias("text_b"))
     return members, both.mapInArrow(_verifier(threshold), "tbl string, class_a bigint, class_b bigint").distinct()
 
 
@@ -190,9 +191,9 @@ def near_pairs(texts: DataFrame, threshold: float = 0.70) -> DataFrame:
     near = materialize(near)
     copied = members.groupBy("tbl", "class").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("tbl", "class")
     linked = near.select("tbl", F.col("class_a").alias("class")).union(near.select("tbl", F.col("class_b").alias("class"))).union(copied).distinct()
-    members = materialize(members.join(linked, ["tbl", "class"], "left_semi"))
+    members = materialize(members.join(linked.hint("merge"), ["tbl", "class"], "left_semi"))
     side = lambda s: members.select("tbl", F.col("class").alias(f"class_{s}"), F.col("id").alias(s))
-    across = near.join(side("a"), ["tbl", "class_a"]).join(side("b"), ["tbl", "class_b"]).select("tbl", "a", "b")
+    across = near.join(side("a").hint("merge"), ["tbl", "class_a"]).join(side("b").hint("merge"), ["tbl", "class_b"]).select("tbl", "a", "b")
     within = members.select("tbl", "class", F.col("id").alias("a")).join(members.select("tbl", "class", F.col("id").alias("b")), ["tbl", "class"]).filter("a < b").select("tbl", "a", "b")
     pairs = across.unionByName(within).filter("a <> b")
     return pairs.select("tbl", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
