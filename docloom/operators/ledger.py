@@ -10,7 +10,7 @@ STEPS = ["convert", "parse", "outline", "structure", "integrate"]
 TEMPLATES = {
     "document": [("s1", "domain_search", []), ("s2", "document_search", ["s1"]), ("s3", "node_search", ["s2"])],
     "web": [("s1", "web_search", [])],
-    "quantitative": [("s1", "quantitative_search", []), ("s2", "document_search", ["s1"])],
+    "quantitative": [("s1", "domain_search", []), ("s2", "quantitative_search", ["s1"])],
     "mixed": [("s1", "domain_search", []), ("s2", "document_search", ["s1"]), ("s3", "node_search", ["s2"]), ("s4", "web_search", [])],
 }
 NEVER = "1970-01-01"

@@ -1,11 +1,23 @@
-"""Vector search, BM25, rank fusion and the expansion of hits."""
+"""Vector search, BM25, rank fusion and the expansion of hits.
+
+One question: its vector and terms are literals of the plan, the index is scanned
+without a shuffle of vectors or texts, and only the best rows leave the tasks.
+Many questions: they are rows; vectors meet the index in blocks of matrix
+products, terms meet the postings in a join. Rows may repeat; each counts once.
+"""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom.functions.text import analyze
 from docloom.functions.vector import dot
@@ -26,16 +38,30 @@ def cosine_to(vector: Column, query: list[float]) -> Column:
 
 
 def ranked(df: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:
-    """The ``k`` best rows with their rank from 1; only they reach the single ranking task."""
+    """The ``k`` best rows of distinct rows with their rank from 1; only they reach the single ranking task."""
     top = df.orderBy(F.desc(score), key).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)).cast("bigint"))
 
 
+def best_distinct(df: DataFrame, k: int) -> DataFrame:
+    """``ranked`` of rows that may repeat: the best ``4 k`` rows usually hold ``k`` different ones; where they don't, repeats are removed by a shuffle."""
+    rows = df.orderBy(F.desc("score"), "id").limit(4 * k).collect()
+    few = list(dict.fromkeys(rows))
+    if len(few) < k and len(rows) == 4 * k:
+        return ranked(df.distinct(), k)
+    schema = StructType([*df.schema.fields, StructField("rank", LongType())])
+    return df.sparkSession.createDataFrame([(*r, i + 1) for i, r in enumerate(few[:k])], schema)
+
+
 def knn(nodes: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
-    """Exact search by ``v``: the filter holds before the ranking, so up to ``k`` rows match it."""
+    """Exact search by ``v``: the filter holds before the ranking, so up to ``k`` rows match it.
+
+    Gives the columns of ``nodes`` but for the vector, ``score`` and ``rank``. Repeated
+    rows count once, without a shuffle of the index.
+    """
     kept = nodes.filter(usable(F.col("v")))
     kept = kept if where is None else kept.filter(where)
-    return ranked(kept.withColumn("score", cosine_to(F.col("v"), query)), k)
+    return best_distinct(kept.withColumn("score", cosine_to(F.col("v"), query)).drop("v"), k)
 
 
 def knn_then_filter(nodes: DataFrame, query: list[float], k: int, where: Column) -> DataFrame:
@@ -43,21 +69,126 @@ def knn_then_filter(nodes: DataFrame, query: list[float], k: int, where: Column)
     return knn(nodes, query, k).filter(where)
 
 
+def part_of(tf: Column, dl: Column, df: Column, total: Column, mean: Column) -> Column:
+    """What one term adds to a row's BM25 score."""
+    idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+
 def bm25(nodes: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """(id, score) of rows with a query term. Statistics are those of all rows; filters come after.
 
-    Only query terms are exploded, counts are summed per row first.
+    Texts are tokenised once, in the scan; a shuffle of (id, length, counts of the
+    terms) removes repeated rows and serves both the statistics and the scores.
     """
-    docs = nodes.filter(F.col(text).isNotNull()).select("id", analyze(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    stats = docs.agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("mean"))
-    wanted = F.array(*[F.lit(w) for w in terms]) if terms else F.array().cast("array<string>")
-    tf = docs.select("id", "dl", F.explode(F.filter("t", lambda w: F.array_contains(wanted, w))).alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # one row a query term, and one row of statistics
-    hit = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return hit.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+    t = F.col("t")
+    times = lambda term: F.size(F.filter(t, lambda w: w == term))
+    counts = F.array(*[times(x) for x in terms]) if terms else F.array().cast("array<int>")
+    docs = nodes.filter(F.col(text).isNotNull()).select("id", analyze(F.col(text)).alias("t")).select("id", F.size("t").alias("dl"), counts.alias("tf")).distinct()
+    stats = docs.agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("mean"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))])
+    hit = docs.filter(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
+    parts = [part_of(F.get("tf", F.lit(i)), F.col("dl"), F.col(f"df{i}"), F.col("total"), F.col("mean")) for i in range(len(terms))]
+    return hit.groupBy("id").agg(F.round(F.sum(sum(parts, F.lit(0.0))), 6).alias("score"))
+
+
+def postings(nodes: DataFrame, text: str = "text") -> DataFrame:
+    """(term, id, dl, tf) of every distinct row: the index that many questions read; write it partitioned or bucketed by term."""
+    docs = nodes.filter(F.col(text).isNotNull()).select("id", analyze(F.col(text)).alias("t"))
+    lists = docs.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    per = lists.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("n"))
+    # a repeated row repeats all its terms
+    again = docs.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    return per.join(again, "id").select("term", "id", "dl", F.ceil(F.col("n") / F.col("copies")).cast("int").alias("tf"))
+
+
+def bm25_batch(index: DataFrame, sizes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the ``k`` best rows of each question.
+
+    ``index`` is that of ``postings``, ``sizes`` one row (total, mean), ``questions`` has
+    (qid, term), each term once. A frequent term's postings are split by the skew
+    join; scores are summed on the map side, and each task keeps ``k`` rows a question.
+    """
+    wanted = index.join(questions.select("term").distinct(), "term", "left_semi")
+    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hit = questions.select("qid", "term").distinct().join(df, "term").join(wanted, "term").crossJoin(F.broadcast(sizes))  # one row of sizes
+    part = part_of(F.col("tf"), F.col("dl"), F.col("df"), F.col("total"), F.col("mean"))
+    scored = hit.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    return top_of_each(scored, k)
+
+
+def top_of_each(scored: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+
+
+QUESTIONS = 4096
+
+
+def knn_batch(nodes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the ``k`` most similar rows of each question, exactly.
+
+    ``nodes`` has (id, v), ``questions`` (qid, v), one row each. Questions go out in
+    blocks of at most ``QUESTIONS``; each task multiplies its part of the index with
+    the block and sends ``k`` rows a question. Null, all-zero and vectors of another length
+    than the questions' are left out.
+    """
+    spark = nodes.sparkSession
+    asked = questions.filter(usable(F.col("v"))).select("qid", F.col("v").cast("array<double>").alias("v"))
+    kept = nodes.filter(usable(F.col("v"))).select("id", F.col("v").cast("array<double>").alias("v"))
+    kind = dict(kept.dtypes)["id"]
+    qkind = dict(asked.dtypes)["qid"]
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q = pickle.loads(shared.value)
+            best: list[dict] = [{} for _ in qids]
+            for batch in batches:
+                sizes = np.array(batch.column("v").value_lengths())
+                rows = np.flatnonzero(sizes == q.shape[1])
+                if not len(rows):
+                    continue
+                part = batch.take(pa.array(rows))
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                ids = part.column("id").to_pylist()
+                sims = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 6)
+                for j in range(len(qids)):
+                    col, have = sims[:, j], best[j]
+                    least = min(have.values()) if len(have) >= k else -2.0
+                    for i in np.flatnonzero(col >= least):
+                        have[ids[i]] = col[i]
+                    if len(have) > 4 * k:
+                        best[j] = dict(sorted(have.items(), key=lambda e: (-e[1], e[0]))[:k])
+            out = [(qid, i, s) for qid, have in zip(qids, best) for i, s in sorted(have.items(), key=lambda e: (-e[1], e[0]))[:k]]
+            cols = list(zip(*out)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), schema[0]), pa.array(list(cols[1]), schema[1]), pa.array(list(cols[2]), pa.float64())], names=["qid", "id", "score"])
+
+        return run
+
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    schema = (kinds[qkind], kinds[kind])
+    found, block = None, []
+
+    def ask(rows: list) -> DataFrame:
+        q = np.array([r.v for r in rows], np.float64)
+        shared = spark.sparkContext.broadcast(pickle.dumps(([r.qid for r in rows], q / np.linalg.norm(q, axis=1, keepdims=True))))
+        return kept.mapInArrow(search(shared), f"qid {qkind}, id {kind}, score double")
+
+    for r in asked.toLocalIterator():  # one block at a time on the driver
+        block.append(r)
+        if len(block) == QUESTIONS:
+            found, block = ask(block) if found is None else found.unionByName(ask(block)), []
+    if block or found is None:
+        part = ask(block) if block else spark.createDataFrame([], f"qid {qkind}, id {kind}, score double")
+        found = part if found is None else found.unionByName(part)
+    return top_of_each(found.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
+
+
+def rrf_batch(*lists: DataFrame, k: int, c: int = RRF_K) -> DataFrame:
+    """(qid, id, score, rank): ranked lists of many questions fused; ties keep the first list's order."""
+    both = reduce(lambda a, b: a.unionByName(b), [x.select("qid", "id", "rank", F.lit(i).alias("arm")) for i, x in enumerate(lists)])
+    g = both.groupBy("qid", "id").agg(F.round(F.sum(1.0 / (c + F.col("rank"))), 9).alias("score"), F.min(F.struct("arm", "rank")).alias("f"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "f", "id")
+    return g.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k).drop("f")
 
 
 def bm25_best_field(nodes: DataFrame, terms: list[str], boosts: dict[str, float]) -> DataFrame:
@@ -84,7 +215,7 @@ def hybrid(nodes: DataFrame, query: list[float], terms: list[str], k: int, depth
     depth = depth or 2 * k
     text = bm25(nodes, terms)
     if where is not None:
-        text = text.join(nodes.filter(where).select("id"), "id", "left_semi")
+        text = text.join(nodes.filter(where).select("id").distinct(), "id", "left_semi")
     return fused(k, knn(nodes, query, depth, where), ranked(text, depth))
 
 
@@ -95,14 +226,42 @@ def small_to_big(hits: DataFrame, texts: DataFrame, pages: DataFrame) -> DataFra
     """
     h = hits.filter("section_id is not null")
     best = h.groupBy("section_id").agg(F.max("score").alias("score"), F.min("rank").alias("position"), F.max_by("text", F.struct("score", -F.col("rank"))).alias("text"))
-    t = texts.withColumnRenamed("text", "full")
+    # the hits' few sections select the texts, so that no other text is shuffled
+    mine = F.broadcast(best.select("section_id"))
+    t, pages = texts.withColumnRenamed("text", "full").join(mine, "section_id", "left_semi"), pages.join(mine, "section_id", "left_semi")
     return best.join(t, "section_id", "left").join(pages, "section_id", "left").select("section_id", "score", "position", "first_page", "last_page", F.coalesce("full", "text").alias("content"))
 
 
 def auto_merge(hits: DataFrame, nodes: DataFrame, most: int = 50) -> DataFrame:
     """(id, section_id, position, merged): parents hit twice or more give all their children at their first hit's place."""
     parents = hits.filter("section_id is not null").groupBy("section_id").agg(F.min("rank").alias("position"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
-    children = nodes.select("id", "section_id").join(parents, "section_id")
+    children = nodes.select("id", "section_id").join(F.broadcast(parents), "section_id").distinct()  # fewer parents than hits
     children = children.withColumn("_n", F.row_number().over(Window.partitionBy("section_id").orderBy("id"))).filter(F.col("_n") <= most).drop("_n")
     single = hits.join(parents, "section_id", "left_anti").select("id", "section_id", F.col("rank").alias("position"))
     return children.select("id", "section_id", "position", F.lit(True).alias("merged")).unionByName(single.withColumn("merged", F.lit(False)))
+
+
+def widened(search, k: int, valid) -> DataFrame:
+    """``search(k)``, and once more for twice as many where the result is not valid and not already that large."""
+    hits = search(k)
+    return hits if valid(hits) or hits.count() >= 2 * k else search(2 * k)
+
+
+def with_fallback(search, nodes: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """``search()``; where it fails, the first ``k`` rows that match the filter, without a score."""
+    try:
+        return search()
+    except Exception:
+        kept = nodes if where is None else nodes.filter(where)
+        few = kept.drop("v").dropDuplicates(["id"]).orderBy("id").limit(k)
+        return few.withColumn("score", F.lit(None).cast("double")).withColumn("rank", F.row_number().over(Window.orderBy("id")).cast("bigint"))
+
+
+def first_images(hits: DataFrame, images: DataFrame, most: int = 5) -> DataFrame:
+    """(id, section_id, position): the first images of the hits' sections, in the order of the hits, then of the images.
+
+    ``hits`` has (section_id, rank), a few rows; ``images`` (id, section_id, seq).
+    """
+    best = hits.filter("section_id is not null").groupBy("section_id").agg(F.min("rank").alias("rank"))
+    mine = images.join(F.broadcast(best), "section_id").distinct().orderBy("rank", "seq", "id").limit(most)
+    return mine.select("id", "section_id", F.row_number().over(Window.orderBy("rank", "seq", "id")).cast("bigint").alias("position"))

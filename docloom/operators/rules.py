@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +36,34 @@ def valid_type(task_type: Column) -> Column:
     return F.when(task_type.isin(TASK_TYPES), task_type).otherwise(F.lit("document"))
 
 
+# Functions that call any static method of the JVM.
+CALLS = re.compile(r"(?i)\b(try_)?(reflect|java_method)`?\s*\(")
+# Names of the logical plans of queries; everything else, commands and scripts above all, is refused.
+QUERY_PLANS = frozenset(
+    "Project Filter Aggregate Sort Distinct Deduplicate Join LateralJoin AsOfJoin Union Intersect Except Window WindowGroupLimit Generate Expand Sample Pivot Unpivot Offset Tail "
+    "GlobalLimit LocalLimit SubqueryAlias View UnresolvedRelation UnresolvedInlineTable UnresolvedHaving UnresolvedSubqueryColumnAliases UnresolvedWith UnresolvedTableValuedFunction UnresolvedTVFAliases "
+    "UnresolvedHint UnresolvedWindow WithWindowDefinition OneRowRelation LocalRelation Range ResolvedInlineTable WithCTE CTERelationDef CTERelationRef RepartitionByExpression Repartition UnresolvedOrdinal".split()
+)
+
+
+def _plans(plan, found: set[str]) -> set[str]:
+    """Class names of a parsed plan with all its inner plans: children, named subqueries, subqueries of expressions."""
+    found.add(plan.getClass().getSimpleName())
+    for inner in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        at = inner.iterator()
+        while at.hasNext():
+            node = at.next()
+            if node.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical") or "Unresolved" in node.getClass().getSimpleName():
+                _plans(node, found)
+    return found
+
+
 def is_select(spark: SparkSession, sql: str) -> bool:
-    """Does Spark's own parser read the text as a query, not as a command?"""
+    """Does Spark's own parser read the text as one query? Commands, scripts, ``EXECUTE IMMEDIATE`` and ``CALL`` are none."""
+    if CALLS.search(sql):
+        return False
     try:
-        name = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).getClass().getSimpleName()
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        return _plans(plan, set()) <= QUERY_PLANS
     except Exception:
         return False
-    return not any(word in name for word in ("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "Replace", "Command", "Set"))

@@ -79,3 +79,16 @@ def expand_merged(grid: DataFrame, merges: DataFrame) -> DataFrame:
     corner = grid.select("block_id", F.col("row").alias("row_from"), F.col("col").alias("col_from"), F.col("value").alias("corner"))
     cell = cell.withColumn("row_from", F.col("m.row_from")).withColumn("col_from", F.col("m.col_from"))
     return cell.join(corner, ["block_id", "row_from", "col_from"], "left").select("block_id", "row", "col", F.coalesce("corner", "value").alias("value"))
+
+
+def cell_search(tables: DataFrame, sheet: Column, header: str) -> DataFrame:
+    """(block_id, sheet_name, row_index, header, value) of the columns whose header contains ``header`` in any case.
+
+    ``tables`` has (block_id, sheet_name, rows); the headers are those of the first
+    row. Tables are told by sheet and headers before their rows are opened.
+    """
+    wanted = F.filter(headers(F.col("rows")), lambda h: h.ilike(f"%{header}%"))
+    kept = tables.filter(sheet).withColumn("wanted", wanted).filter(F.size("wanted") > 0)
+    rows = kept.select("block_id", "sheet_name", "wanted", F.posexplode("rows").alias("row_index", "row"))
+    cells = rows.select("block_id", "sheet_name", "row_index", "row", F.explode("wanted").alias("header"))
+    return cells.filter(F.map_contains_key("row", F.col("header"))).select("block_id", "sheet_name", "row_index", "header", F.col("row")[F.col("header")].alias("value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as t
 from docloom.functions import vector
-from docloom.operators import catalog, sheets
+from docloom.operators import catalog, retrieval, sections, sheets
 from docloom.registry import Registry
 
 R = Registry()
@@ -48,27 +48,35 @@ def scan_rows_as_maps(x):
     return x.orders.select("o_orderkey", F.to_json(row).alias("row_data"))
 
 
-@query()
+@query(
+    """with l as (select doc_id, i - 1 as pos, ls[i] as line from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)),
+    h as (select doc_id, pos, nullif(regexp_extract(trim(line), '^##\\s+(.+)', 1), '') as head, nullif(regexp_extract(trim(line), '^###\\s+(.+)', 1), '') as entry from l),
+    f as (select *, last_value(head ignore nulls) over (partition by doc_id order by pos) as category from h) select doc_id, cast(pos as integer) as pos, category, coalesce(entry, head) as entry, entry is not null as below from f where coalesce(entry, head) is not null"""
+)
 def taxonomy_scan(x):
-    """(doc_id, pos, category, entry): second-level headings under the first-level heading above them."""
-    lines = x.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.trim("line").rlike(r"^#{1,2}\s"))
-    head = F.regexp_extract(F.trim("line"), r"^#\s+(.+)", 1)
+    """(doc_id, pos, category, entry, below): second-level headings are categories, third-level ones entries below the category above them."""
+    lines = x.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.trim("line").rlike(r"^#{2,3}\s"))
+    title = lambda mark: F.nullif(F.regexp_extract(F.trim("line"), rf"^{mark}\s+(.+)", 1), F.lit(""))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    filled = lines.withColumn("category", F.last(F.when(head != "", head), ignorenulls=True).over(w))
-    return filled.select("doc_id", "pos", "category", F.nullif(F.regexp_extract(F.trim("line"), r"^##\s+(.+)", 1), F.lit("")).alias("entry")).filter("entry is not null")
+    filled = lines.withColumn("entry", title("###")).withColumn("head", title("##")).withColumn("category", F.last("head", ignorenulls=True).over(w))
+    return filled.select("doc_id", "pos", "category", F.coalesce("entry", "head").alias("entry"), F.col("entry").isNotNull().alias("below")).filter("entry is not null")
+
+
+_ASK = "qt as (select distinct unnest(regexp_extract_all(lower(translate(proposition, 'Σ', 'σ')), '[\\p{L}\\p{N}]+')) as term from (select proposition from chunk_index where proposition is not null order by chunk_id, proposition limit 1))"
 
 
 @query(
-    """with h as (select doc_id, len(list_intersect(regexp_extract_all(lower(text), '[a-z]+'), ['energy', 'grid', 'battery', 'turbine', 'reactor'])) as score from documents),
-    r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from h where score > 0) select doc_id, rank, round(1.0 / rank, 6) as score from r where rank <= 5"""
+    f"""with {_ASK}, b_t as (select doc_id as id, regexp_extract_all(lower(translate(text, 'Σ', 'σ')), '[\\p{{L}}\\p{{N}}]+') as t from documents where text is not null), b_s as (select count(*) as total, avg(len(t)) as mean from b_t),
+    b_f as (select id, dl, term, count(*) as tf from (select id, len(t) as dl, unnest(t) as term from b_t) where term in (select term from qt) group by 1, 2, 3), b_d as (select term, count(*) as df from b_f group by 1),
+    b as (select id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) as score from b_f join b_d using (term), b_s group by 1),
+    r as (select id, row_number() over (order by score desc, id) as rank from b) select id as doc_id, rank, round(1.0 / rank, 6) as score from r where rank <= 5"""
 )
 def web_search_rank_score(x):
-    """The first five pages for a query, scored by one over their rank."""
-    words = F.array(*[F.lit(w) for w in ("energy", "grid", "battery", "turbine", "reactor")])
-    found = F.size(F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), words))
-    top = x.documents.select("doc_id", found.alias("score")).filter("score > 0").orderBy(F.desc("score"), "doc_id").limit(5)
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))  # five rows
-    return top.withColumn("rank", rank).select("doc_id", F.col("rank").cast("bigint").alias("rank"), F.round(1.0 / F.col("rank"), 6).alias("score"))
+    """The first five pages for a question (the first chunk's words), ranked by BM25, scored by one over their rank."""
+    first = x.chunk_index.filter("proposition is not null").select("chunk_id", "proposition", t.analyze(F.col("proposition")).alias("t")).orderBy("chunk_id", "proposition").first()
+    pages = x.documents.select(F.col("doc_id").alias("id"), "text")
+    top = retrieval.ranked(retrieval.bm25(pages, sorted(set(first.t)) if first else []), 5)
+    return top.select(F.col("id").alias("doc_id"), "rank", F.round(1.0 / F.col("rank"), 6).alias("score"))
 
 
 _MIME = "case lower(regexp_extract(minio_key, '\\.([^.]+)$', 1)) when 'jpg' then 'image/jpeg' when 'jpeg' then 'image/jpeg' when 'webp' then 'image/webp' else 'image/png' end"
@@ -257,16 +265,30 @@ def dedupe_first(x):
 
 
 @query(
-    """with e as (select vec_id, label, embedding::double[] as v, vec_id // 10 as g from embeddings), p as (select a.label = b.label as same, list_cosine_similarity(a.v, b.v) as c from e a join e b on a.g = b.g and a.vec_id < b.vec_id)
+    """with e as (select vec_id, label, embedding::double[] as v from embeddings where list_sum(list_transform(embedding, lambda x: abs(x))) > 0), p as (select a.label = b.label as same, list_cosine_similarity(a.v, b.v) as c from e a join e b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
     select same, count(*) as pairs, round(avg(c), 4) as mean from p group by 1"""
 )
 def pairwise_intra_inter(x):
-    """Mean cosine of pairs with equal and with different labels inside groups of ten; a group is bounded."""
-    e = x.embeddings.select("vec_id", "label", "embedding", F.floor(F.col("vec_id") / 10).alias("g"))
-    a, b = e.alias("a"), e.alias("b")
-    p = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    p = p.select((F.col("a.label") == F.col("b.label")).alias("same"), vector.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("c"))
-    return p.groupBy("same").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("c"), 4).alias("mean"))
+    """Mean cosine of pairs with equal and with different labels: every vector whose id is divisible by 20 against all others.
+
+    The mean over all pairs of two sets is a product of sums of unit vectors, so that no pair is formed.
+    """
+    e = x.embeddings.filter("embedding is not null and exists(embedding, v -> v <> 0)").select("vec_id", "label", F.col("embedding").alias("v"))
+    unit = e.select("vec_id", "label", F.transform("v", lambda a: a.cast("double") / F.sqrt(vector.dot(F.col("v"), F.col("v")))).alias("u"))
+    asked = F.col("vec_id") % 20 == 0
+    flat = unit.select("label", asked.alias("asked"), F.posexplode("u").alias("i", "x"))
+    sums = flat.groupBy("label", "i").agg(F.sum("x").alias("every"), F.coalesce(F.sum(F.when(F.col("asked"), F.col("x"))), F.lit(0.0)).alias("some"))
+    n = unit.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("m"))
+    inside = sums.groupBy("label").agg(F.sum(F.col("every") * F.col("some")).alias("dot")).join(n, "label")
+    # a vector with itself is no pair
+    own = inside.agg(F.sum(F.col("dot") - F.col("m")).alias("s"), F.sum(F.col("m") * (F.col("n") - 1)).cast("bigint").alias("c"))
+    allsum = sums.groupBy("i").agg((F.sum("every") * F.sum("some")).alias("d")).agg(F.sum("d").alias("d"))
+    total = allsum.crossJoin(n.agg(F.sum("m").alias("m"), F.sum("n").alias("n"))).crossJoin(own)  # one row each
+    mean = lambda s, c: F.round(s / c, 4).alias("mean")
+    same = total.select(F.lit(True).alias("same"), F.col("c").alias("pairs"), mean(F.col("s"), F.col("c")))
+    others = F.col("m") * (F.col("n") - 1) - F.col("c")
+    different = total.select(F.lit(False).alias("same"), others.cast("bigint").alias("pairs"), mean(F.col("d") - F.col("m") - F.col("s"), others))
+    return same.unionByName(different).filter("pairs > 0")
 
 
 @query(f"with {_B} select section_id, cast(min(page) as integer) as first_page, cast(max(page) as integer) as last_page from b where section_id is not null group by 1")
@@ -372,7 +394,9 @@ def union_distinct_ids(x):
 )
 def domain_padding(x):
     """Three candidate areas a document: the one its category names, then others in list order."""
-    codes = [r.area_code for r in x.subject_areas.select("area_code").orderBy("area_code").limit(1000).collect()]  # a fixed dimension
+    codes = [r.area_code for r in x.subject_areas.select("area_code").orderBy("area_code").limit(1001).collect()]  # a fixed dimension
+    if len(codes) > 1000:
+        raise ValueError("more than 1000 areas")
     d = x.parser_documents.groupBy("document_id").agg(F.max_by(F.lower(F.trim("domain_category")), F.coalesce("created_at", F.lit(catalog.EPOCH).cast("timestamp_ntz"))).alias("c"))
     every = F.array(*[F.lit(c) for c in codes])
     hit = F.when(F.col("c").isin(codes), F.array("c")).otherwise(F.array().cast("array<string>"))

@@ -14,7 +14,7 @@ query = R.query
 
 _AT = "coalesce(completed_at, started_at, timestamp '1970-01-01')"
 _LS = f"ls as (select job_id, step_name, arg_max(status, ({_AT}, id, status)) as status, max({_AT}) as updated_at from parser_job_steps group by 1, 2)"
-_STEPS = ", ".join(f"('{s}', {i})" for i, s in enumerate(ledger.STEPS))
+_STEPS = "('convert', 0), ('parse', 1), ('outline', 2), ('structure', 3), ('integrate', 4)"
 
 
 @query(f"with {_LS} select job_id, step_name, status, updated_at from ls")
@@ -30,7 +30,7 @@ def steps_to_run(x):
     return ledger.to_run(ledger.latest_steps(x.parser_job_steps))
 
 
-@query(f"with {_LS}, st(step_name, step_no) as (values {_STEPS}) select job_id, step_name, status from ls join st using (step_name) where step_no < {ledger.STEPS.index('outline')}")
+@query(f"with {_LS}, st(step_name, step_no) as (values {_STEPS}) select job_id, step_name, status from ls join st using (step_name) where step_no < 2")
 def steps_after_reset(x):
     return ledger.reset(ledger.latest_steps(x.parser_job_steps), "outline").select("job_id", "step_name", "status")
 
@@ -50,7 +50,8 @@ def job_status_counts(x):
     return ledger.latest_steps(x.parser_job_steps).groupBy("step_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "completed").alias("completed"), F.count_if(s == "running").alias("running"), F.count_if(s == "failed").alias("failed"))
 
 
-_TPL = ", ".join(f"('{k}', '{i}', '{t}', '{','.join(d)}')" for k, steps in ledger.TEMPLATES.items() for i, t, d in steps)
+_TPL = """('document', 's1', 'domain_search', ''), ('document', 's2', 'document_search', 's1'), ('document', 's3', 'node_search', 's2'), ('web', 's1', 'web_search', ''), ('quantitative', 's1', 'domain_search', ''), ('quantitative', 's2', 'quantitative_search', 's1'),
+    ('mixed', 's1', 'domain_search', ''), ('mixed', 's2', 'document_search', 's1'), ('mixed', 's3', 'node_search', 's2'), ('mixed', 's4', 'web_search', '')"""
 
 
 @query(
@@ -66,16 +67,19 @@ def task_template_steps(x):
     return x.documents.select("doc_id", kind.alias("task_type")).join(F.broadcast(tp), "task_type").select("doc_id", "step_id", "step_type", "needs")
 
 
-@query()
+@query(
+    """select distinct job_id, id, case when status = 'failed' then 'error' when status = 'completed' and step_name = 'integrate' then 'done' else 'progress' end as type,
+    concat_ws(' ', step_name, status) as message, started_at from parser_job_steps where started_at is not null"""
+)
 def progress_events(x):
     """The step log as progress, done and error messages, in order."""
     s = F.col("status")
     kind = F.when(s == "failed", "error").when((s == "completed") & (F.col("step_name") == ledger.STEPS[-1]), "done").otherwise("progress")
-    e = x.parser_job_steps.filter("started_at is not null").distinct()
-    return e.select("job_id", "id", kind.alias("type"), F.concat_ws(" ", "step_name", "status").alias("message"), "started_at")
+    e = x.parser_job_steps.filter("started_at is not null")
+    return e.select("job_id", "id", kind.alias("type"), F.concat_ws(" ", "step_name", "status").alias("message"), "started_at").distinct()
 
 
-@query()
+@query("with e as (select event_id, any_value(date_trunc('hour', ts)) as hour, any_value(event_type) as event_type, any_value(value) as value from events group by 1) select hour, event_type, count(*) as n, round(sum(value), 6) as value from e group by 1, 2")
 def stream_ingest_dedupe(x):
     """The event log read as a stream, repeated events dropped within a watermark, counted per hour and type."""
     return ingest.hourly_events(x.spark, f"{x.folder}/events.parquet")

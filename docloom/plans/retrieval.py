@@ -13,6 +13,7 @@ from docloom.registry import Registry
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
 query = R.query
+MAX_CENTROIDS = 1000
 
 _TOK = "regexp_extract_all(lower(translate({0}, 'Σ', 'σ')), '[\\p{{L}}\\p{{N}}]+')"
 _OK = "v is not null and list_sum(list_transform(v, lambda x: abs(x))) > 0"
@@ -41,8 +42,9 @@ def _rrf(name: str, a: str, b: str, k: int) -> str:
 
 
 def nodes(x):
+    """Rows may repeat; the operators count each once."""
     c = x.chunk_index.select(F.col("chunk_id").alias("id"), "document_id", F.col("parent_section_id").alias("section_id"), "section_name", "section_depth", F.col("proposition").alias("text"), F.array_join("keywords", " ").alias("words"), F.col("proposition_embedding").alias("v"))
-    return c.distinct()
+    return c
 
 
 def asked(n) -> tuple[list[float], list[str]]:
@@ -108,9 +110,9 @@ _PAGES = "pg as (select cast(section_id as varchar) as section_id, min(page) as
 def small_to_big(x):
     n = nodes(x)
     hits = retrieval.knn(n, asked(n)[0], 15)
-    blocks = x.parser_blocks.select("id", F.col("section_id").cast("string").alias("section_id"), "content", "seq", "block_type", "page").distinct()
+    blocks = x.parser_blocks.select("id", F.col("section_id").cast("string").alias("section_id"), "content", "seq", "block_type", "page")
     # the hits' few sections select the blocks, so that no other text is gathered
-    mine = blocks.join(F.broadcast(hits.select("section_id").distinct()), "section_id", "left_semi")
+    mine = blocks.join(F.broadcast(hits.select("section_id").distinct()), "section_id", "left_semi").distinct()
     out = retrieval.small_to_big(hits, catalog.section_texts(mine), catalog.page_ranges(mine))
     return out.select("section_id", "score", "position", "first_page", "last_page", F.md5("content").alias("digest"))
 
@@ -130,7 +132,7 @@ _DOCS = "d as (select distinct document_id as id, domain_category, doc_type, sum
 
 
 def documents(x):
-    return x.doc_index.select(F.col("document_id").alias("id"), "domain_category", "doc_type", F.col("summary").alias("text"), F.col("summary_embedding").alias("v")).distinct()
+    return x.doc_index.select(F.col("document_id").alias("id"), "domain_category", "doc_type", F.col("summary").alias("text"), F.col("summary_embedding").alias("v"))
 
 
 _DSIM = f"ds as (select d.id, d.domain_category, d.doc_type, round(list_cosine_similarity(d.v, q.v), 6) as score from d, q where d.{_OK.replace('(v,', '(d.v,')})"
@@ -151,7 +153,7 @@ _SECT = "se as (select distinct parent_section_id as id, document_id, section_su
 
 
 def sections(x):
-    return x.chunk_index.filter("parent_section_id is not null").select(F.col("parent_section_id").alias("id"), "document_id", F.col("section_summary_embedding").alias("v")).distinct()
+    return x.chunk_index.filter("parent_section_id is not null").select(F.col("parent_section_id").alias("id"), "document_id", F.col("section_summary_embedding").alias("v"))
 
 
 @query(
@@ -172,33 +174,117 @@ def track_a(x):
     return retrieval.auto_merge(retrieval.knn(within(n, "section_id", best), v, 10), n)
 
 
+_B3 = f"q3 as (select n.id as qid, n.v, lower(trim(d.domain_category)) as domain from n left join (select id, min(domain_category) as domain_category from d group by 1) d on d.id = n.document_id where n.{_OK.replace('(v,', '(n.v,')} and n.text is not null order by n.id limit 3)"
+
+
 @query(
-    f"""with {_N}, {_Q}, {_SIM}, {_SECT}, q3 as (select id as qid, v from n where {_OK} and text is not null order by id limit 3),
-    sq as (select q3.qid, se.id, round(list_cosine_similarity(se.v, q3.v), 6) as score from se, q3 where se.{_OK.replace('(v,', '(se.v,')}), r as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from sq),
-    {_top('k', 's', 10, 'section_id in (select id from r where rank <= 5)')} select id, section_id, score, rank from k"""
+    f"""with {_N}, {_Q}, {_SIM}, {_DOCS}, {_SECT}, {_B3}, dq as (select q3.qid, d.id, lower(trim(d.domain_category)) = q3.domain as same, round(list_cosine_similarity(d.v, q3.v), 6) as score from d, q3 where d.{_OK.replace('(v,', '(d.v,')}),
+    df as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from dq where same), da as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from dq),
+    dd as (select qid, id from df where rank <= 5 union all select qid, id from da where rank <= 5 and qid not in (select qid from df)),
+    sq as (select q3.qid, se.id, round(list_cosine_similarity(se.v, q3.v), 6) as score from q3 join dd using (qid) join se on se.document_id = dd.id where se.{_OK.replace('(v,', '(se.v,')}),
+    r as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from (select distinct * from sq)),
+    {_top('k', 's', 10, 'case when exists (select 1 from r) then section_id in (select id from r where rank <= 5) else document_id in (select id from dd) end')}, {_MERGE}"""
 )
 def track_b(x):
-    """Three sub-queries find sections each; the original query searches the chunks of their union."""
-    n = nodes(x)
-    subs = n.filter(retrieval.usable(F.col("v")) & F.col("text").isNotNull()).orderBy("id").select("v").limit(3).collect()
+    """Three sub-queries find documents of their own domain (of any, where it has none) and sections of these; the original query searches the chunks of their union, merged."""
+    n, d, s = nodes(x), documents(x), sections(x)
+    domains = d.groupBy("id").agg(F.lower(F.trim(F.min("domain_category"))).alias("domain"))
+    asked3 = n.filter(retrieval.usable(F.col("v")) & F.col("text").isNotNull()).select("id", "document_id", "v").orderBy("id").limit(12).distinct()  # the first rows, as often as they repeat
+    subs = asked3.join(domains, F.col("document_id") == domains.id, "left").select(asked3.id, "v", "domain").orderBy(asked3.id).limit(3).collect()
     if not subs:
-        return n.limit(0).select("id", "section_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rank"))
-    s = sections(x)
-    found = None
+        return n.limit(0).select("id", "section_id", F.lit(0).cast("bigint").alias("position"), F.lit(False).alias("merged"))
+    docs, secs = set(), set()
     for r in subs:
-        top = retrieval.knn(s, list(r.v), 5).select("id")
-        found = top if found is None else found.union(top)
-    inside = n.join(F.broadcast(found.distinct().withColumnRenamed("id", "section_id")), "section_id", "left_semi")  # fifteen rows at most
-    return retrieval.knn(inside, list(subs[0].v), 10).select("id", "section_id", "score", "rank")
+        v = list(r.v)
+        found = retrieval.knn(d, v, 5, F.lower(F.trim("domain_category")) == r.domain) if r.domain else None
+        ids = {h.id for h in found.select("id").collect()} if found is not None else set()
+        ids = ids or {h.id for h in retrieval.knn(d, v, 5).select("id").collect()}
+        docs |= ids
+        secs |= {h.id for h in retrieval.knn(s, v, 5, F.col("document_id").isin(sorted(ids))).select("id").collect()}  # five a sub-query
+    where = F.col("section_id").isin(sorted(secs)) if secs else F.col("document_id").isin(sorted(docs))
+    return retrieval.auto_merge(retrieval.knn(n, list(subs[0].v), 10, where), n)
 
 
-_IMG = "im as (select distinct id, content as text from parser_blocks where block_type = 'image' and content is not null)"
+_IMG = "im as (select distinct b.id, b.content as text, s.v from parser_blocks b left join (select parent_section_id, any_value(section_summary_embedding)::double[] as v from chunk_index where section_summary_embedding is not null group by 1) s on s.parent_section_id = cast(b.section_id as varchar) where b.block_type = 'image' and b.content is not null)"
+_IMGSIM = f"ims as (select im.id, round(list_cosine_similarity(im.v, q.v), 6) as score from im, q where im.{_OK.replace('(v,', '(im.v,')})"
 
 
-@query(f"with {_IMG}, q as (select 'tunnel cargo 담보대출 vaccine' as text), {_QT}, {_bm('b', 'text', 'im')}, {_top('k', 'b', 5)} select id, score, rank from k")
+@query(f"with {_N}, {_Q}, {_QT}, {_IMG}, {_IMGSIM}, {_bm('b', 'text', 'im')}, {_top('a', 'ims', 10)}, {_top('c', 'b', 10)}, {_rrf('r', 'a', 'c', 5)} select id, score, rank from r")
 def image_search(x):
-    im = x.parser_blocks.filter("block_type = 'image' and content is not null").select("id", F.col("content").alias("text")).distinct()
-    return retrieval.ranked(retrieval.bm25(im, ["tunnel", "cargo", "담보대출", "vaccine"]), 5)
+    """Images by their captions and by the summary vector of their section, fused."""
+    vectors = x.chunk_index.filter("section_summary_embedding is not null").groupBy(F.col("parent_section_id").alias("section_id")).agg(F.first("section_summary_embedding").alias("v"))
+    im = x.parser_blocks.filter("block_type = 'image' and content is not null").select("id", F.col("content").alias("text"), F.col("section_id").cast("string").alias("section_id"))
+    im = im.join(vectors, "section_id", "left").select("id", "text", "v")
+    return retrieval.hybrid(im, *asked(nodes(x)), 5)
+
+
+@query(f"with {_N}, {_Q}, {_SIM}, {_top('k', 's', 15)}, g as (select section_id, min(rank) as rank from k where section_id is not null group by 1), im as (select distinct id, cast(section_id as varchar) as section_id, seq from parser_blocks where block_type = 'image' and minio_key is not null), p as (select im.id, section_id, row_number() over (order by g.rank, im.seq, im.id) as position from im join g using (section_id)) select id, section_id, position from p where position <= 5")
+def image_collection(x):
+    """The first five images of the sections that were found."""
+    n = nodes(x)
+    images = x.parser_blocks.filter("block_type = 'image' and minio_key is not null").select("id", F.col("section_id").cast("string").alias("section_id"), "seq")
+    return retrieval.first_images(retrieval.knn(n, asked(n)[0], 15), images)
+
+
+@query(f"with {_N}, f as (select distinct id from n where section_depth = 1 order by id limit 10) select id, row_number() over (order by id) as rank from f")
+def chunk_fallback(x):
+    """A search that fails gives the first chunks that match the filter."""
+    n = nodes(x)
+
+    def broken():
+        raise RuntimeError("no vector index")
+
+    return retrieval.with_fallback(broken, n, 10, F.col("section_depth") == 1).select("id", "rank")
+
+
+@query(f"with {_N}, {_Q}, {_SIM}, {_top('k', 's', 20)} select id, score, rank from k")
+def knn_widened(x):
+    """Twice as many results where those of the first search don't do."""
+    n = nodes(x)
+    v = asked(n)[0]
+    return retrieval.widened(lambda k: retrieval.knn(n, v, k), 10, lambda hits: False).select("id", "score", "rank")
+
+
+_QB = f"qb as (select cast(section_id as bigint) as qid, arg_min(v, id) as v, arg_min(text, id) as text from n where section_id is not null and text is not null and {_OK} and cast(section_id as bigint) % 20 = 0 group by 1)"
+_KB = "kb as (select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from (select distinct qb.qid, n.id, round(list_cosine_similarity(n.v, qb.v), 6) as score from n, qb where {ok}) qualify rank <= {k})"
+_BB = f"""bt as (select id, {_TOK.format('text')} as t from (select distinct id, text from n where text is not null)), bs as (select count(*) as total, avg(len(t)) as mean from bt), bq as (select distinct qid, unnest({_TOK.format('text')}) as term from qb),
+    bf as (select id, dl, term, count(*) as tf from (select id, len(t) as dl, unnest(t) as term from bt) group by 1, 2, 3), bd as (select term, count(*) as df from bf group by 1),
+    bb as (select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from (select qid, id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) as score from bq join bd using (term) join bf using (term), bs group by 1, 2) qualify rank <= 20)"""
+
+
+def questions(x):
+    """(qid, v, text): the first chunk of every section whose id is divisible by 20."""
+    n = nodes(x).filter(retrieval.usable(F.col("v")) & F.col("text").isNotNull() & (F.col("section_id").cast("bigint") % 20 == 0))
+    return n.groupBy(F.col("section_id").cast("bigint").alias("qid")).agg(F.min_by("v", "id").alias("v"), F.min_by("text", "id").alias("text"))
+
+
+@query(f"with {_N}, {_QB}, {_KB.format(ok='n.' + _OK.replace('(v,', '(n.v,'), k=10)} select qid, id, score, rank from kb")
+def knn_batch(x):
+    """The ten nearest chunks of every question."""
+    return retrieval.knn_batch(nodes(x).select("id", "v"), questions(x).select("qid", "v"), 10)
+
+
+def text_batch(x, q):
+    n = nodes(x).select("id", "text")
+    index = retrieval.postings(n)
+    sizes = index.groupBy("id", "dl").agg(F.lit(1)).agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("mean"))
+    empty = n.filter("text is not null").filter(F.size(t.analyze(F.col("text"))) == 0).select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
+    # texts without a word have no posting but count in the mean
+    sizes = sizes.crossJoin(empty).select((F.col("total") + F.col("n")).alias("total"), (F.col("mean") * F.col("total") / (F.col("total") + F.col("n"))).alias("mean"))
+    return retrieval.bm25_batch(index, sizes, q.select("qid", F.explode(t.analyze(F.col("text"))).alias("term")).distinct(), 20)
+
+
+@query(f"with {_N}, {_QB}, {_BB} select qid, id, score, rank from bb")
+def bm25_batch(x):
+    """The twenty best chunks of every question by its words, through a postings index."""
+    return text_batch(x, questions(x))
+
+
+@query(f"with {_N}, {_QB}, {_KB.format(ok='n.' + _OK.replace('(v,', '(n.v,'), k=20)}, {_BB}, u as (select qid, id, round(sum(1.0 / (60 + rank)), 9) as score, min((arm, rank)) as f from (select qid, id, rank, 0 as arm from kb union all select qid, id, rank, 1 from bb) group by 1, 2) select qid, id, score, row_number() over (partition by qid order by score desc, f, id) as rank from u qualify rank <= 10")
+def hybrid_batch(x):
+    """Both searches of every question, fused."""
+    q = questions(x)
+    return retrieval.rrf_batch(retrieval.knn_batch(nodes(x).select("id", "v"), q.select("qid", "v"), 20), text_batch(x, q), k=10)
 
 
 _REPORT = "select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders where o_orderdate >= timestamp '1995-01-01' group by o_orderstatus"
@@ -213,10 +299,10 @@ def quantitative_search(x):
     return x.spark.sql(_REPORT)
 
 
-@query()
+@query(f"with r as ({_REPORT}) select string_agg(to_json({{'n': n, 'o_orderstatus': o_orderstatus, 'total': cast(cast(total as decimal(18, 2)) as varchar)}}), chr(10) order by to_json({{'n': n, 'o_orderstatus': o_orderstatus, 'total': cast(cast(total as decimal(18, 2)) as varchar)}})) as content, cast(1.0 as double) as score, ['o_orderstatus', 'n', 'total'] as keywords from r")
 def quant_to_result(x):
     """The rows of a report as one search result."""
-    rows = quantitative_search(x)
+    rows = quantitative_search(x).withColumn("total", F.col("total").cast("decimal(18, 2)").cast("string"))
     line = F.to_json(F.struct(*sorted(rows.columns)))
     return rows.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"), F.lit(1.0).alias("score"), F.array(*[F.lit(c) for c in rows.columns]).alias("keywords"))
 
@@ -233,6 +319,19 @@ def quant_cell_lookup(x):
     return cells.filter(F.try_to_number("value", F.lit("999999999999")) > 90000)
 
 
+@query(
+    f"""with {_TROWS}, sh as (select distinct b.id as block_id, s.title as sheet_name from parser_blocks b join parser_sections s on s.id = b.section_id where b.block_type = 'table'),
+    hd as (select block_id, unnest(json_keys(r)) as header from tr where row_index = 0) select c.block_id, c.row_index, sh.sheet_name, c.header, c.value from ce c join sh using (block_id)
+    where c.header ilike '%re%' and (c.block_id, c.header) in (select block_id, header from hd) and sh.sheet_name not ilike '%budget%'"""
+)
+def sheet_cell_search(x):
+    """Cells of the columns whose header holds a text, in the tables of the wanted sheets (here named by their section)."""
+    t_ = sheets.parsed_tables(x.parser_blocks.select("id", "document_id", "section_id", "seq", "block_type", "table_json").distinct())
+    named = t_.join(x.parser_sections.select(F.col("id").alias("section_id"), F.col("title").alias("sheet_name")), "section_id").select("block_id", "sheet_name", "rows")
+    found = sheets.cell_search(named, ~F.col("sheet_name").ilike("%budget%"), "re")
+    return found.select("block_id", F.col("row_index").cast("bigint").alias("row_index"), "sheet_name", "header", "value")
+
+
 @query(f"with {_N}, {_Q}, {_SIM}, {_top('k', 's', 30)}, u as (select section_id, id, rank, row_number() over (partition by section_id order by rank) as c from k where rank % 3 <> 0) select section_id, id, rank from u where c = 1")
 def used_refs(x):
     """Of the results that were used, the first of each section."""
@@ -259,7 +358,9 @@ def route_domain(x):
     """The nearest domain centroid of each vector, and the track by a threshold. Centroids are a row a domain."""
     e = x.embeddings
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    centroids = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")).orderBy("label").limit(1000).collect()
+    centroids = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c")).orderBy("label").limit(MAX_CENTROIDS + 1).collect()
+    if len(centroids) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} domains")
     if not centroids:
         return e.limit(0).select("vec_id", F.col("label").alias("domain"), F.lit("B").alias("track"))
     scored = [F.struct(retrieval.cosine_to(F.col("embedding"), r.c).alias("s"), F.lit(-r.label).alias("m"), F.lit(r.label).alias("domain")) for r in centroids]
@@ -267,11 +368,14 @@ def route_domain(x):
     return e.select("vec_id", best.alias("b")).select("vec_id", F.col("b.domain").alias("domain"), F.when(F.col("b.s") >= 0.5, "A").otherwise("B").alias("track"))
 
 
-@query()
+@query(
+    f"""with {_N}, {_Q}, {_DOCS}, {_DSIM.replace('d.doc_type,', 'd.doc_type, d.text,')}, {_QT}, {_top('k', 'ds', 30)}, w as (select list(term) as w from qt),
+    r as (select id, rank, len(list_intersect({_TOK.format('text')}, w.w)) as shared from k, w where text is not null) select id, cast(shared as bigint) as shared, rank from r order by shared desc, rank limit 10"""
+)
 def rerank(x):
     """The first thirty documents by vector, again by the words they share with the query."""
     n = nodes(x)
     v, words = asked(n)
     top = retrieval.knn(documents(x), v, 30).filter("text is not null")
     shared = F.size(F.array_intersect(t.analyze(F.col("text")), F.array(*[F.lit(w) for w in words])))
-    return top.withColumn("shared", shared).orderBy(F.desc("shared"), "rank").limit(10).select("id", "shared", "rank")
+    return top.withColumn("shared", shared).orderBy(F.desc("shared"), "rank").limit(10).select("id", F.col("shared").cast("bigint").alias("shared"), "rank")
