@@ -22,10 +22,12 @@ def _in(xs) -> str:
     return "(" + ", ".join(f"'{v}'" for v in xs) + ")"
 
 
+_MEDIA = """('.pdf', 'application/pdf'), ('.hwp', 'application/x-hwp'), ('.hwpx', 'application/hwp+zip'), ('.docx', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'), ('.pptx', 'application/vnd.openxmlformats-officedocument.presentationml.presentation'), ('.md', 'text/markdown'), ('.csv', 'text/csv'), ('.xlsx', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet'), ('.jpg', 'image/jpeg'), ('.jpeg', 'image/jpeg'), ('.png', 'image/png'), ('.bmp', 'image/bmp'), ('.tiff', 'image/tiff'), ('.tif', 'image/tiff'), ('.webp', 'image/webp')"""
+
+
 @query(
-    f"""select distinct document_id, {_EXT} as extension, {_EXT} in {_in(t.EXTENSIONS)} as supported, {_EXT} in {_in(k for k, v in t.EXTENSIONS.items() if v[0])} as needs_conversion,
-    {_EXT} in {_in(k for k, v in t.EXTENSIONS.items() if v[1])} as is_image, case {_EXT} {' '.join(f"when '{k}' then '{v[2]}'" for k, v in t.EXTENSIONS.items())} else 'application/octet-stream' end as mime_type
-    from parser_documents where source_path is not null"""
+    f"""with m(ext, mime) as (values {_MEDIA}), e as (select distinct document_id, {_EXT} as extension from parser_documents where source_path is not null)
+    select document_id, extension, mime is not null as supported, extension in ('.hwp', '.hwpx', '.docx') as needs_conversion, extension in ('.jpg', '.jpeg', '.png', '.bmp', '.tiff', '.tif', '.webp') as is_image, coalesce(mime, 'application/octet-stream') as mime_type from e left join m on extension = ext"""
 )
 def scan_format_detect(x):
     e = t.extension(F.col("source_path"))
@@ -118,8 +120,9 @@ def upsert_documents(x):
 def table_index_assign(x):
     b = x.parser_blocks.filter("block_type = 'table' and table_json is not null").select("id", "document_id", "section_id", "seq").distinct()
     s = x.parser_sections.select(F.col("id").alias("section_id"), F.col("seq").alias("s_seq"))
-    n = F.row_number().over(Window.partitionBy("document_id").orderBy("s_seq", "seq", "id")) - 1
-    return b.join(s, "section_id", "left").select("id", "document_id", n.cast("bigint").alias("table_index"))
+    # sections order the tables; those of a document with very many go over ranges
+    at = sections.running_sum(b.join(s, "section_id", "left").select("id", "document_id", "s_seq", "seq"), "document_id", ["s_seq", "seq", "id"], F.lit(1), "n")
+    return at.select("id", "document_id", (F.col("n") - 1).alias("table_index"))
 
 
 @query(

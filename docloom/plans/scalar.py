@@ -178,9 +178,12 @@ def sql_first_table(x):
     return x.documents.filter("text is not null").select("doc_id", rules.first_table(F.col("text")).alias("first_table"))
 
 
+_INTERNAL = r"(?i)보고서|연례 보고서|연간 보고서|요약|문서|내부 문서|제\d+회|제\d+차|백서|지침|가이드라인|매뉴얼|정책서|규정집|내규|기술 문서|설명서|공문|annual report|report|document|summary|white paper|guideline|manual|policy|regulation|bulletin"
+
+
 @query(
     f"""with q as (select doc_id, text, case doc_id % 3 when 0 then 'web' when 1 then 'document' else 'mixed' end as kind from documents where text is not null)
-    select doc_id, case when kind = 'web' and regexp_matches(text, '{rules.INTERNAL}') then 'document' else kind end as task_type from q"""
+    select doc_id, case when kind = 'web' and regexp_matches(text, '{_INTERNAL}') then 'document' else kind end as task_type from q"""
 )
 def plan_override(x):
     kind = F.when(F.col("doc_id") % 3 == 0, "web").when(F.col("doc_id") % 3 == 1, "document").otherwise("mixed")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as t
 from docloom.functions import vector
+from docloom.operators import catalog
 from docloom.operators import sections as s
 from docloom.registry import Registry
 
@@ -14,6 +15,11 @@ R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
 query = R.query
 
+# Fixed values of the SQL side, written out so that a slip on either side shows.
+_HEADING = r"(?i)^(\d+\.(?:\d+\.)*\s+\S|\d+\)\s+\S|[IVXLC]+\.\s+\S|제\s*\d+\s*[장절항편]|Chapter\s+\d|(?:Abstract|초록|요약|서론|결론|서문|부록|Appendix)$|(?:Acknowledgments?|감사의\s*글?)$|(?:References?|참고\s*문헌|Bibliography)$|(?:Introduction|Conclusions?|Methods?|Results?|Discussion|Background)$|(?:Related\s+Work|Experiments?|Evaluation|Future\s+Work)$)"
+_BIBLIOGRAPHY = r"(?i)(?:References?|참고\s*문헌|Bibliography)"
+_RESET = r"(?i)^(?:Abstract|초록|요약|서론|결론|서문|부록|Appendix|Acknowledgments?|감사의\s*글?|Introduction|Conclusions?|Methods?|Results?|Discussion|Background|Related\s+Work|Experiments?|Evaluation|Future\s+Work|제\s*\d+\s*[장절항편]|Chapter\s+\d)$"
+
 _C = "c as (select distinct chunk_id, document_id, parent_section_id, content, proposition_embedding::double[] as v from chunk_index where proposition_embedding is not null and list_sum(list_transform(proposition_embedding, lambda x: abs(x))) > 0)"
 
 
@@ -104,12 +110,12 @@ def toc_match_split(x):
     k = x.toc_nodes.filter("title is not null").select("document_id", t.normalize_title(F.col("title")).alias("k"), F.lit(1).alias("hit")).filter("k <> ''").distinct()
     first = t.normalize_title(F.substring(F.split_part("content", F.lit("\n"), F.lit(1)), 1, 100))
     m = b.join(sec, "section_id").withColumn("k", first).join(k, ["document_id", "k"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    g = s.islands(m, ["document_id"], ["s_seq", "seq", "id"], F.col("hit") == 1).withColumnRenamed("island", "part")
+    g = s.islands(m, ["document_id"], ["s_seq", "seq", "id"], F.col("hit") == 1, split=True).withColumnRenamed("island", "part")
     return g.groupBy("document_id", "part").agg(F.count(F.lit(1)).alias("blocks"), F.sum("hit").cast("bigint").alias("titled"))
 
 
 @query(
-    f"""with {_L}, h as (select doc_id, pos, line, case when regexp_matches(trim(line), '{s.HEADING}') then 1 else 0 end as h from l), ok as (select doc_id from h group by 1 having sum(h) >= 2),
+    f"""with {_L}, h as (select doc_id, pos, line, case when regexp_matches(trim(line), '{_HEADING}') then 1 else 0 end as h from l), ok as (select doc_id from h group by 1 having sum(h) >= 2),
     g as (select *, sum(h) over (partition by doc_id order by pos) as part from h where doc_id in (select doc_id from ok))
     select doc_id, cast(part as bigint) as part, coalesce(max(case when h = 1 then trim(line) end), '서두') as title, count(*) as lines from g group by 1, 2"""
 )
@@ -122,8 +128,8 @@ def heading_detect_split(x):
 
 
 @query(
-    f"""with {_L}, k as (select *, regexp_matches(trim(line), '{s.HEADING}') as heading, case when regexp_matches(trim(line), '{s.HEADING}') and regexp_matches(trim(line), '{s.RESET}') and not regexp_matches(trim(line), '{s.BIBLIOGRAPHY}') then 'reset'
-      when regexp_matches(trim(line), '{s.HEADING}') and regexp_matches(trim(line), '{s.BIBLIOGRAPHY}') then 'biblio' end as kind from l),
+    f"""with {_L}, k as (select *, regexp_matches(trim(line), '{_HEADING}') as heading, case when regexp_matches(trim(line), '{_HEADING}') and regexp_matches(trim(line), '{_RESET}') and not regexp_matches(trim(line), '{_BIBLIOGRAPHY}') then 'reset'
+      when regexp_matches(trim(line), '{_HEADING}') and regexp_matches(trim(line), '{_BIBLIOGRAPHY}') then 'biblio' end as kind from l),
     st as (select *, last_value(kind ignore nulls) over (partition by doc_id order by pos) as state from k)
     select doc_id, count(*) filter (heading) as headings, count(*) filter (heading and coalesce(state, '') = 'biblio' and coalesce(kind <> 'biblio', true)) as demoted from st group by 1"""
 )
@@ -138,11 +144,11 @@ _DB = "db as (select document_id, id, row_number() over (partition by document_i
 @query(f"with {_DB} select db.id, least(db.pos // greatest(1, db.m // ns.n), ns.n - 1) as section_no from db join ns using (document_id)")
 def proportional_split(x):
     """Blocks dealt to the sections in equal runs; the last takes the rest."""
-    b = x.parser_blocks.select("document_id", "id").distinct()
-    b = b.withColumn("pos", F.row_number().over(Window.partitionBy("document_id").orderBy("id")) - 1).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("document_id")))
+    b = s.running_sum(x.parser_blocks.select("document_id", "id").distinct(), "document_id", ["id"], F.lit(1), "at")
     n = x.parser_sections.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    m = x.parser_blocks.groupBy("document_id").agg(F.count_distinct("id").alias("m")).join(n, "document_id")
     size = F.greatest(F.lit(1), F.floor(F.col("m") / F.col("n")))
-    return b.join(n, "document_id").select("id", F.least(F.floor(F.col("pos") / size), F.col("n") - 1).cast("bigint").alias("section_no"))
+    return b.join(m, "document_id").select("id", F.least(F.floor((F.col("at") - 1) / size), F.col("n") - 1).cast("bigint").alias("section_no"))
 
 
 @query(
@@ -166,7 +172,7 @@ def tabular_split(x):
     """The i-th table of a document takes the i-th toc title."""
     order = lambda *o: F.row_number().over(Window.partitionBy("document_id").orderBy(*o)).alias("i")
     titles = toc(x).filter("title is not null").select("document_id", "title", order("ord", "node_id"))
-    tables = x.parser_blocks.filter("block_type = 'table'").select("document_id", "id").distinct().select("document_id", "id", order("id"))
+    tables = s.running_sum(x.parser_blocks.filter("block_type = 'table'").select("document_id", "id").distinct(), "document_id", ["id"], F.lit(1), "i")
     return tables.join(titles, ["document_id", "i"], "left").select("id", F.coalesce("title", F.concat(F.lit("Table "), F.col("i").cast("string"))).alias("title"))
 
 
@@ -198,7 +204,7 @@ def drop_repeated_headers(x):
     f = b.withColumn("line", F.lower(F.trim(F.split_part("content", F.lit("\n"), F.lit(1))))).drop("content")
     r = f.filter("line <> ''").groupBy("document_id", "line").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5").withColumn("again", F.lit(True)).drop("n")
     k = f.join(r, ["document_id", "line"], "left")
-    g = s.islands(k, ["document_id"], ["id"], F.col("again").isNull()).withColumnRenamed("island", "part")
+    g = s.islands(k, ["document_id"], ["id"], F.col("again").isNull(), split=True).withColumnRenamed("island", "part")
     return g.filter("part > 0").groupBy("document_id", "part").agg(F.count(F.lit(1)).alias("blocks"), F.min("id").alias("first_id"))
 
 
@@ -222,8 +228,10 @@ def chunk_by_depth(x):
 )
 def preview_pages(x):
     """Blocks before the first one of page 5 or later."""
-    b = s.islands(x.parser_blocks.select("id", "document_id", "page").distinct(), ["document_id"], ["id"], F.col("page") >= 5)
-    return b.filter("island = 0").groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"))
+    b = x.parser_blocks.select("id", "document_id", "page")
+    late = b.filter("page >= 5").groupBy("document_id").agg(F.min("id").alias("first"))
+    kept = b.join(late, "document_id", "left").filter("first is null or id < first").select("document_id", "id").distinct()
+    return kept.groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"))
 
 
 @query(
@@ -235,49 +243,112 @@ def max_of_two_sims(x):
     return c.select("chunk_id", F.round(F.greatest(vector.cosine(F.col("v"), F.col("a")), vector.cosine(F.col("v"), F.col("b"))), 4).alias("best"))
 
 
-@query()
+_SECS = f"""{_L}, hn as (select *, {_TITLE} as title, sum(case when {_TITLE} <> '' then 1 else 0 end) over (partition by doc_id order by pos) as section_no from l),
+    hb as (select doc_id, section_no, regexp_replace(string_agg(line, chr(10) order by pos), '^\\s+|\\s+$', '', 'g') as content from hn where title = '' group by 1, 2),
+    hh as (select doc_id, section_no, trim(title) as title from hn where title <> ''),
+    se as (select hb.doc_id, hb.section_no, coalesce(hh.title, '서두') as title, hb.content from hb left join hh using (doc_id, section_no) where hb.content <> '')"""
+_HG = "length(regexp_replace(content, '[^가-힣]', '', 'g'))"
+_EST = f"cast(floor({_HG} / 2 + (length(content) - {_HG}) / 4) as bigint)"
+_PARAS = "len(list_filter(list_transform(string_split_regex(content, '\\n\\s*\\n'), lambda s: trim(s)), lambda s: length(s) >= 10 and not starts_with(s, '|') and not starts_with(s, '<!--')))"
+_PACK = """it as (select *, row_number() over (partition by doc_id order by section_no) as k from sn),
+    st as (select doc_id, k, n as used, ok, 0 as pack from it where k = 1 union all
+      select it.doc_id, it.k, case when st.ok and st.used + it.n > {limit} then it.n else st.used + it.n end, case when st.ok and st.used + it.n > {limit} then it.ok else st.ok or it.ok end,
+        case when st.ok and st.used + it.n > {limit} then st.pack + 1 else st.pack end from st join it on it.doc_id = st.doc_id and it.k = st.k + 1),
+    pk as (select it.*, cast(st.pack as bigint) as pack from it join st using (doc_id, k))"""
+
+
+def _packs(sec, limit: int):
+    """(doc_id, pack, section_no, title, n) of sections (doc_id, section_no, title, n, ok); a text's sections are one array of numbers and titles."""
+    g = sec.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "n", "ok", "title"))).alias("i"))
+    g = g.withColumn("p", s.greedy_packs(limit, F.col("i")))
+    return g.select("doc_id", F.explode(F.arrays_zip("i", "p")).alias("z")).select("doc_id", F.col("z.p").alias("pack"), "z.i.section_no", "z.i.title", "z.i.n")
+
+
+@query(
+    f"""with recursive {_SECS}, sn as (select doc_id, section_no, title, {_EST} as n, {_PARAS} > 0 as ok from se), {_PACK.format(limit=2048)}
+    select doc_id, pack, cast(sum(n) as bigint) as tokens, count(*) as sections, arg_min(title, section_no) as first_title, 'D' || doc_id || case when pack > 0 then ' > ' || substr(arg_min(title, section_no), 1, 25) else '' end as title from pk group by 1, 2"""
+)
 def pack_tokens(x):
-    """Sections of a text in order, packed to 2048 estimated tokens; a larger one stays whole."""
-    sec = s.heading_sections(x.documents, "doc_id").withColumn("n", t.token_estimate(F.col("content")))
-    items = F.array_sort(F.collect_list(F.struct("section_no", "n", "title")))
-    g = sec.groupBy("doc_id").agg(items.alias("i"))
-    g = g.withColumn("p", s.greedy_packs(2048, F.transform("i", lambda e: e["n"])))
-    z = g.select("doc_id", F.explode(F.arrays_zip("i", "p")).alias("z"))
-    return z.groupBy("doc_id", F.col("z.p").alias("pack")).agg(F.sum("z.i.n").alias("tokens"), F.count(F.lit(1)).alias("sections"), F.min_by("z.i.title", "z.i.section_no").alias("first_title"))
+    """Sections of a text in order, packed to 2048 estimated tokens; a larger one stays whole. Packs after the first name the text, their parent, and their first section."""
+    sec = s.heading_sections(x.documents, "doc_id").withColumn("n", t.token_estimate(F.col("content"))).withColumn("ok", F.size(s.paragraphs(F.col("content"))) > 0)
+    g = _packs(sec, 2048).groupBy("doc_id", "pack").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sections"), F.min_by("title", "section_no").alias("first_title"))
+    name = F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.when(F.col("pack") > 0, F.concat(F.lit(" > "), F.substring("first_title", 1, 25))).otherwise(""))
+    return g.withColumn("title", name)
 
 
-@query()
+@query(f"with recursive {_SECS}, sn as (select doc_id, section_no, title, cast(length(content) as bigint) as n, true as ok from se), {_PACK.format(limit=2000)} select doc_id, pack, cast(sum(n) as bigint) as chars, count(*) as parts from pk group by 1, 2")
 def pack_by_chars(x):
     """Parts between headings, packed to 2000 characters."""
-    sec = s.heading_sections(x.documents, "doc_id").withColumn("n", F.char_length("content").cast("bigint"))
-    g = sec.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "n"))).alias("i"))
-    g = g.withColumn("p", s.greedy_packs(2000, F.transform("i", lambda e: e["n"])))
-    z = g.select("doc_id", F.explode(F.arrays_zip("i", "p")).alias("z"))
-    return z.groupBy("doc_id", F.col("z.p").alias("pack")).agg(F.sum("z.i.n").alias("chars"), F.count(F.lit(1)).alias("parts"))
+    sec = s.heading_sections(x.documents, "doc_id").withColumn("n", F.char_length("content").cast("bigint")).withColumn("ok", F.lit(True))
+    return _packs(sec, 2000).groupBy("doc_id", "pack").agg(F.sum("n").alias("chars"), F.count(F.lit(1)).alias("parts"))
+
+
+_CORE = "substr(trim(regexp_replace(title, '^\\d+\\.\\s*', '')), 1, 15)"
+_MATCH = f"""{_TOC}, dp as (select document_id, max(case when level > 1 then 2 else 1 end) as depth from n where title is not null and ord is not null group by 1),
+    en as (select n.document_id, ord, {_CORE} as core, row_number() over (partition by n.document_id order by ord, {_CORE}) as i from n join dp on dp.document_id = n.document_id and (case when n.level > 1 then 2 else 1 end) = dp.depth where title is not null and ord is not null),
+    hd as (select document_id, seq as pos, title, row_number() over (partition by document_id order by seq, title) as h from parser_sections where title is not null and not regexp_matches(title, '^목\\s*차$')),
+    st as (select distinct document_id, cast(0 as bigint) as h, cast(1 as bigint) as i, cast(null as integer) as ord, cast(null as integer) as pos from hd union all
+      select hd.document_id, hd.h, case when length(en.core) >= 3 and contains(hd.title, en.core) then st.i + 1 else st.i end, case when length(en.core) >= 3 and contains(hd.title, en.core) then en.ord end, case when length(en.core) >= 3 and contains(hd.title, en.core) then hd.pos end
+      from st join hd on hd.document_id = st.document_id and hd.h = st.h + 1 left join en on en.document_id = st.document_id and en.i = st.i),
+    mt as (select document_id, ord, pos from st where ord is not null)"""
 
 
 def _matched(x):
-    core = F.trim(F.regexp_replace("title", r"^\d+(\.\d+)*\.?\s*", ""))
-    entries = toc(x).filter("title is not null and ord is not null").select("document_id", "ord", core.alias("core"))
-    heads = x.parser_sections.filter("title is not null").select("document_id", F.col("seq").alias("pos"), "title")
-    return s.monotone_match(entries, heads)
+    """Entries of depth 2, where a document has them, else of depth 1, found in its section titles in order; the contents heading is no section."""
+    core = F.substring(F.trim(F.regexp_replace("title", r"^\d+\.\s*", "")), 1, 15)
+    depth = F.when(F.col("level") > 1, 2).otherwise(1)
+    e = toc(x).filter("title is not null and ord is not null").select("document_id", "ord", depth.alias("depth"), core.alias("core"))
+    deepest = e.groupBy("document_id").agg(F.max("depth").alias("depth"))
+    heads = x.parser_sections.filter("title is not null").filter(~F.col("title").rlike(r"^목\s*차$")).select("document_id", F.col("seq").alias("pos"), "title")
+    return s.monotone_match(e.join(deepest, ["document_id", "depth"], "left_semi").select("document_id", "ord", "core"), heads)
 
 
-@query()
+@query(f"with recursive {_MATCH} select document_id, ord, pos from mt")
 def toc_monotone_match(x):
     return _matched(x)
 
 
-@query()
+_STEXT = "sx as (select section_id, string_agg(trim(content), chr(10) || chr(10) order by seq, id) as content from (select distinct id, section_id, content, seq, block_type from parser_blocks) where block_type = 'text' and trim(content) <> '' and section_id is not null group by 1)"
+
+
+@query(
+    f"""with recursive {_MATCH}, {_STEXT}, sc as (select s.document_id, s.id, s.seq as pos, s.title, coalesce(sx.content, '') as content, m.pos is not null as hit from parser_sections s left join sx on sx.section_id = s.id left join mt m on m.document_id = s.document_id and m.pos = s.seq where s.title is null or not regexp_matches(s.title, '^목\\s*차$')),
+    gr as (select *, sum(case when hit then 1 else 0 end) over (partition by document_id order by pos, id) as part from sc),
+    tx as (select document_id, part, count(*) as sections, string_agg(content, chr(10) || chr(10) order by pos, id) as content, arg_min(coalesce(title, ''), (pos, id)) as first_title, cast(sum({_PARAS}) as bigint) as paragraphs from gr group by 1, 2)
+    select document_id, cast(part as bigint) as part, sections, case when part = 0 then '서두' else first_title end as title, {_EST} as tokens, paragraphs, md5(content) as digest from tx"""
+)
 def toc_split(x):
-    """Sections grouped under the toc entry matched last, with an estimate of their tokens."""
-    sec = x.parser_sections.select("document_id", "id", F.col("seq").alias("pos"), "title")
-    m = sec.join(_matched(x).withColumn("hit", F.lit(True)), ["document_id", "pos"], "left")
-    g = s.islands(m, ["document_id"], ["pos", "id"], F.col("hit").isNotNull()).withColumnRenamed("island", "part")
-    return g.groupBy("document_id", "part").agg(F.count(F.lit(1)).alias("sections"), F.sum(t.token_estimate(F.coalesce("title", F.lit("")))).alias("title_tokens"), F.min_by("title", F.struct("pos", "id")).alias("first_title"))
+    """Sections grouped under the toc entry matched last: their texts joined, paragraphs and estimated tokens; what comes before the first match is the preamble."""
+    texts = catalog.section_texts(x.parser_blocks.select("id", "section_id", "block_type", "content", "seq").distinct()).select(F.col("section_id").alias("id"), F.col("text").alias("content"))
+    sec = x.parser_sections.filter(F.col("title").isNull() | ~F.col("title").rlike(r"^목\s*차$")).select("document_id", "id", F.col("seq").alias("pos"), F.coalesce("title", F.lit("")).alias("title"))
+    m = sec.join(_matched(x).select("document_id", "pos").withColumn("hit", F.lit(True)), ["document_id", "pos"], "left")
+    g = s.islands(m, ["document_id"], ["pos", "id"], F.col("hit").isNotNull(), split=True).withColumnRenamed("island", "part")
+    g = g.join(texts, "id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+    n = g.groupBy("document_id", "part").agg(F.count(F.lit(1)).alias("sections"), F.min_by("title", F.struct("pos", "id")).alias("first"), F.sum(F.size(s.paragraphs(F.col("content")))).alias("paragraphs"))
+    joined = s.by_group(g, ["document_id", "part"], ["pos", "id"], "content", "\n\n").join(n, ["document_id", "part"])
+    return joined.select("document_id", "part", "sections", F.when(F.col("part") == 0, s.PREAMBLE).otherwise(F.col("first")).alias("title"), t.token_estimate(F.col("content")).alias("tokens"), "paragraphs", F.md5("content").alias("digest"))
 
 
-@query()
+@query(
+    f"""with {_TOC}, o as (select document_id, title, level, row_number() over (partition by document_id order by ord, node_id) as i from n where title is not null), w as (select *, i - 1 as pos, trim(case when level = 1 then '| □ | ' else '| ' || i || '. | ' end || title || ' ····· ' || i || ' |') as line from o where i <= 120),
+    r as (select document_id, pos, level, trim(regexp_extract(line, '^\\|\\s*(.+?)\\s*\\|\\s*(.+?)\\s*\\|', 1)) as a, trim(regexp_extract(line, '^\\|\\s*(.+?)\\s*\\|\\s*(.+?)\\s*\\|', 2)) as b from w),
+    p as (select *, case when level = 1 then trim(regexp_replace(b, '[·…\\s]+$', '')) end as top from r), q as (select *, last_value(top ignore nulls) over (partition by document_id order by pos) as major from p)
+    select document_id, cast(pos as integer) as pos, case when level = 1 then 1 else 2 end as depth, major, coalesce(top, replace(a, '.', '') || '. ' || trim(regexp_replace(b, '[·…]+.*$', ''))) as title from q where major is not null"""
+)
+def toc_table_parse(x):
+    """Contents tables written as Markdown, one a document, read back as entries of two depths."""
+    w = Window.partitionBy("document_id").orderBy("ord", "node_id")
+    o = toc(x).filter("title is not null").withColumn("i", F.row_number().over(w))
+    mark = F.when(F.col("level") == 1, F.lit("| □ | ")).otherwise(F.concat(F.lit("| "), F.col("i").cast("string"), F.lit(". | ")))
+    o = o.withColumn("line", F.concat(mark, "title", F.lit(" ····· "), F.col("i").cast("string"), F.lit(" |")))
+    text = s.by_group(o, ["document_id"], ["i"], "line").withColumn("text", F.concat(F.lit("# Title\n\n## 목차\n"), "line", F.lit("\n# Next\n| □ | no entry |")))
+    return s.contents_entries(text, "document_id")
+
+
+@query(
+    """with p as (select distinct document_id, replace(section_path, ' > ', ' → ') as structure from parser_sections where section_path is not null), w as (select document_id, string_split_regex(structure, '\\s*→\\s*') as parts from p)
+    select distinct document_id, cast(i - 1 as integer) as ord, 1 as level, parts[i] as title from (select *, unnest(range(1, len(parts) + 1)) as i from w)"""
+)
 def toc_from_type(x):
     """Level-1 entries from a structure text that joins its parts by arrows; here section paths."""
     p = x.parser_sections.filter("section_path is not null").select("document_id", F.regexp_replace("section_path", " > ", " → ").alias("structure")).distinct()
