@@ -3,22 +3,26 @@
 Method: complement naive Bayes, trained on the labelled documents, refined by
 expectation-maximization over the sentences of all documents, and calibrated so
 that each area gets a posterior of its own. A sentence's posterior comes from
-the complement weights of its words and its document's prior (labels, else the
-unreliable category, whose worth is estimated from the labelled documents); a
-document's share of an area is the mean over its sentences. A logistic curve,
-fitted on the labelled documents, turns shares into posteriors.
-
-Scale: words are counted once and encoded as numbers of a vocabulary of at most
-``VOCABULARY`` words; the passes of the algorithm read these codes. A pass sends
-one row a word and task to an aggregation; the model (words x areas) and the
-calibration sample (at most ``CALIBRATION`` labelled documents) are bounded.
+the complement weights of its words and its document's prior: labels, else the
+unreliable category, whose worth is estimated from the labelled documents, and what
+the labelled documents of its document type deal with. A document's share of an area
+is the mean over its sentences. A logistic curve turns shares into posteriors; it is
+fitted on labelled documents, each scored by a model that was trained without the
+half of them that it belongs to.
+
+Scale: texts are read once. A word is coded by its hash in ``BUCKETS`` buckets, so
+that no word of any language is left out and the model (buckets x areas) has a fixed
+size; words that share a bucket share a weight. Scripts without spaces give pairs of
+characters. The passes read the codes; a pass sends one row a bucket and task to an
+aggregation, from at most two tasks a core. The calibration sample (``CALIBRATION``
+labelled documents) and the document types (``TYPES`` most frequent) are bounded.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,52 +32,54 @@ from pyspark.sql import functions as F
 
 from .common import materialize, spread
 
-VOCABULARY, MIN_COUNT, CALIBRATION = 60_000, 5, 50_000
+BUCKETS, CALIBRATION, TYPES, MAX_AREAS = 1 << 18, 50_000, 1000, 62
 ITERATIONS, ALPHA, SHARE, SHARPNESS = 8, 0.5, 0.2, 10.0
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n\s*\n")
-WORD = re.compile(r"[A-Za-zÀ-ɏ]{2,}|[가-힣]{2,}|[ァ-ヿ]{2,}|[一-鿿]{2,}")
+# Runs of anything but white space, digits, punctuation and signs; marks belong to their letters.
+WORD = re.compile(r"[^\s\d!-/:-@\[-`{-~\u00A1-\u00BF\u00D7\u00F7\u0964\u0965\u2000-\u206F\u2190-\u2BFF\u3000-\u3020\u30FB\uFE30-\uFE4F\uFF01-\uFF20\uFF3B-\uFF40\uFF5B-\uFF65]{2,}")
+UNSPACED = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF]")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Lower-cased words; of scripts without spaces all pairs of neighbouring characters."""
+    words = WORD.findall(text.lower())
+    if not UNSPACED.search(text):
+        return words
+    return [x for w in words for x in ([w[i : i + 2] for i in range(len(w) - 1)] if UNSPACED.search(w) else [w])]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("content").to_pylist():
-            counts.update(words_of(text))
-        if len(counts) > 500_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+def code_of(word: str) -> int:
+    return zlib.crc32(word.encode()) & (BUCKETS - 1)
 
 
-def _encode(shared):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = pickle.loads(shared.value)
-        for batch in batches:
-            codes, sizes = [], []
-            for text in batch.column("content").to_pylist():
-                flat, lens = [], []
-                for s in SENTENCE.split(text):
-                    ids = [code[w] for w in words_of(s) if w in code]
-                    if ids:
-                        flat += ids
-                        lens.append(len(ids))
-                codes.append(np.array(flat, np.uint16).tobytes())
-                sizes.append(np.array(lens, np.uint16).clip(0, 65535).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("id"), pa.array(codes, pa.binary()), pa.array(sizes, pa.binary())], names=["document_id", "id", "codes", "sizes"])
-
-    return encode
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in batches:
+        codes, sizes = [], []
+        for text in batch.column("content").to_pylist():
+            flat, lens = [], []
+            for s in SENTENCE.split(text):
+                words = words_of(s)
+                if words:
+                    for w in words:
+                        c = known.get(w)
+                        if c is None:
+                            c = known[w] = code_of(w)
+                        flat.append(c)
+                    lens.append(len(words))
+            codes.append(np.array(flat, np.uint32).tobytes())
+            sizes.append(np.array(lens, np.uint32).tobytes())
+            if len(known) > 500_000:
+                known.clear()
+        yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("id"), pa.array(codes, pa.binary()), pa.array(sizes, pa.binary())], names=["document_id", "id", "codes", "sizes"])
 
 
 def _sentences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word codes, the sentence of each, and the row of each sentence."""
-    codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint16)
+    codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint32)
     raw = batch.column("sizes").to_pylist()
-    sizes = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
-    rows = np.repeat(np.arange(len(raw)), [len(x) // 2 for x in raw])
+    sizes = np.frombuffer(b"".join(raw), np.uint32).astype(np.int64)
+    rows = np.repeat(np.arange(len(raw)), [len(x) // 4 for x in raw])
     return codes, np.repeat(np.arange(len(sizes)), sizes), rows
 
 
@@ -101,56 +107,74 @@ def complement_weights(counts: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     base = (counts.sum(0) + 1) / (counts.sum() + k)
     share = (counts + 2.0 * base) / (counts.sum(1, keepdims=True) + 2.0)
     worth = np.clip((share * np.log(share / base)).sum(1, keepdims=True) / np.log(k) if k > 1 else np.ones((len(counts), 1)), 0, 1) ** 2
-    return SHARPNESS * (w - w.mean(1, keepdims=True)) * worth
+    return (SHARPNESS * (w - w.mean(1, keepdims=True)) * worth).astype(np.float32)
+
 
+def _bits(masks: np.ndarray, k: int) -> np.ndarray:
+    return ((masks[:, None] >> np.arange(k)) & 1).astype(float)
 
-def _priors(labels: np.ndarray, hints: np.ndarray, k: int, trust: float) -> np.ndarray:
-    """Rows x areas from bit masks of labels and of the category: labels rule, the category adds its worth."""
-    bit = lambda m: (m[:, None] >> np.arange(k)) & 1
-    lab, hint = bit(labels).astype(float), bit(hints).astype(float)
-    p = np.full(lab.shape, 1.0 / k) + trust * hint
+
+def _priors(labels: np.ndarray, hints: np.ndarray, types: np.ndarray, k: int, trust: float) -> np.ndarray:
+    """Rows x areas from bit masks of labels and of the category, and the factors of the type: labels rule, the category adds its worth."""
+    lab = _bits(labels, k)
+    p = (np.full(lab.shape, 1.0 / k) + trust * _bits(hints, k)) * types
     has = labels > 0
     p[has] = lab[has] + 0.02
     return p / p.sum(1, keepdims=True)
 
 
-def _step(shared, k: int):
+def _step(shared, k: int, folds: bool = False):
+    """Sums of the posteriors by word; with ``folds`` also those of the labelled documents of either half (fold 0 and 1; -1 holds all)."""
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, trust, right, vocabulary = pickle.loads(shared.value)
-        sums = np.zeros((vocabulary, k))
+        weights, trust, right, types = pickle.loads(shared.value)
+        sums = {f: np.zeros((BUCKETS, k)) for f in ((-1, 0, 1) if folds else (-1,))}
         for batch in batches:
             codes, sentence, rows = _sentences(batch)
             if not len(codes):
                 continue
-            labels, hints = (batch.column(c).to_numpy() for c in ("labels", "hints"))
-            prior = _priors(labels, hints, k, trust)[rows]
+            labels, hints, fold, kind = (batch.column(c).to_numpy() for c in ("labels", "hints", "fold", "kind"))
+            prior = _priors(labels, hints, types[kind], k, trust)[rows]
             if weights is None:
                 # first round: labelled documents, and those with a category by its worth
                 weight = np.where(labels > 0, 1.0, np.where(hints > 0, right, 0.0))[rows]
                 p = prior * weight[:, None]
             else:
                 p = _posterior(weights, codes, sentence, len(rows), prior)
-            for z in range(k):
-                sums[:, z] += np.bincount(codes, p[sentence, z], vocabulary)
-        seen = np.flatnonzero(sums.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32))] + [pa.array(sums[seen, z]) for z in range(k)], names=["word", *[f"z{z}" for z in range(k)]])
+            for f, into in sums.items():
+                word = slice(None) if f < 0 else ((labels > 0) & (fold == f))[rows][sentence]
+                c, q = codes[word], p[sentence[word]]
+                if len(c):
+                    for z in range(k):
+                        into[:, z] += np.bincount(c, q[:, z], BUCKETS)
+        for f, got in sums.items():
+            seen = np.flatnonzero(got.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), f, np.int32)), pa.array(seen.astype(np.int32))] + [pa.array(got[seen, z]) for z in range(k)], names=["fold", "word", *[f"z{z}" for z in range(k)]])
 
     return step
 
 
 def _shares(shared, k: int):
+    """Sums over the sentences of a row by the model of all documents, and of labelled ones by the model without their half."""
+
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, _, _, _ = pickle.loads(shared.value)
+        models, _, _, _ = pickle.loads(shared.value)
         for batch in batches:
             codes, sentence, rows = _sentences(batch)
             if not len(codes):
                 continue
-            # the document's own labels are left out here: its share must come from its sentences
-            p = _posterior(weights, codes, sentence, len(rows), None)
+            labels, fold = (batch.column(c).to_numpy() for c in ("labels", "fold"))
             n = np.bincount(rows, minlength=batch.num_rows)
-            have = np.flatnonzero(n)
-            sums = np.stack([np.bincount(rows, p[:, z], batch.num_rows) for z in range(k)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("document_id").take(pa.array(have)), pa.array(n[have])] + [pa.array(sums[have, z]) for z in range(k)], names=["document_id", "n", *[f"z{z}" for z in range(k)]])
+            for f, weights in models.items():
+                mine = np.ones(len(rows), bool) if f < 0 else ((labels > 0) & (fold == f))[rows]
+                if not mine.any():
+                    continue
+                word, number = mine[sentence], np.cumsum(mine) - 1
+                # the document's own labels are left out here: its share must come from its sentences
+                p = _posterior(weights, codes[word], number[sentence[word]], int(mine.sum()), None)
+                sums = np.stack([np.bincount(rows[mine], p[:, z], batch.num_rows) for z in range(k)], axis=1)
+                have = np.unique(rows[mine])
+                yield pa.RecordBatch.from_arrays([batch.column("document_id").take(pa.array(have)), pa.array(np.full(len(have), f >= 0)), pa.array(n[have])] + [pa.array(sums[have, z]) for z in range(k)], names=["document_id", "held", "n", *[f"z{z}" for z in range(k)]])
 
     return shares
 
@@ -189,29 +213,41 @@ def subject_posteriors(documents: DataFrame, blocks: DataFrame, labels: DataFram
     """(document_id, posteriors array<double>, shares array<double>) of every document, and the areas in their order.
 
     Repeated documents and blocks count once, of a document delivered several
-    times the last delivery's category. Labels of unknown areas are ignored. A
-    document without a word of the vocabulary gets its category's areas, else the
-    most frequent one. Without areas nothing is assigned.
+    times the last delivery's category and type. Labels of unknown areas are ignored. A
+    document without a word gets its category's areas, else the most frequent one.
+    Without areas nothing is assigned; more than ``MAX_AREAS`` areas are an error.
     """
     spark = documents.sparkSession
-    area_rows = areas.filter("area_code is not null").dropDuplicates(["area_code"]).orderBy("area_code").limit(62).collect()
+    area_rows = areas.filter("area_code is not null").dropDuplicates(["area_code"]).orderBy("area_code").limit(MAX_AREAS + 1).collect()
     codes, k = [a.area_code for a in area_rows], len(area_rows)
-    docs = documents.filter("document_id is not null").groupBy("document_id").agg(F.max_by("domain_category", F.coalesce("created_at", F.lit("1900-01-01").cast("timestamp"))).alias("category"))
+    if k > MAX_AREAS:
+        raise ValueError(f"more than {MAX_AREAS} areas")
+    kind = F.col("doc_type") if "doc_type" in documents.columns else F.lit(None).cast("string")
+    at = F.coalesce("created_at", F.lit("1900-01-01").cast("timestamp"))
+    docs = documents.filter("document_id is not null").groupBy("document_id").agg(F.max_by("domain_category", at).alias("category"), F.lower(F.trim(F.max_by(kind, at))).alias("type"))
     if not k:
         nothing = F.array().cast("array<double>")
         return docs.select("document_id", nothing.alias("posteriors"), nothing.alias("shares")), []
     index = F.create_map(*[F.lit(x) for i, c in enumerate(codes) for x in (c, 1 << i)])
     lab = labels.filter(F.col("area_code").isin(codes)).groupBy("document_id").agg(F.bit_or(index[F.col("area_code")]).cast("bigint").alias("labels"))
-    docs = materialize(docs.withColumn("hints", category_hint(F.col("category"), area_rows)).join(lab, "document_id", "left").select("document_id", "hints", F.coalesce("labels", F.lit(0)).alias("labels")))
+    fold = F.pmod(F.xxhash64("document_id", F.lit(5)), F.lit(2)).cast("int")
+    docs = materialize(docs.withColumn("hints", category_hint(F.col("category"), area_rows)).join(lab, "document_id", "left").select("document_id", "type", "hints", F.coalesce("labels", F.lit(0)).alias("labels"), fold.alias("fold")))
+    # what the labelled documents of a type deal with, against all labelled ones; other types tell nothing
+    each = [F.count_if(F.col("labels").bitwiseAND(F.lit(1 << z)) > 0).alias(f"z{z}") for z in range(k)]
+    seen = docs.filter("labels > 0 and type is not null").groupBy("type").agg(F.count(F.lit(1)).alias("n"), *each).orderBy(F.desc("n"), "type").limit(TYPES).collect()
+    base = (sum((np.array(r[2:], float) for r in seen), np.zeros(k)) + 1.0) / (sum(r.n for r in seen) + 1.0)
+    types = np.ones((len(seen) + 1, k))
+    for i, r in enumerate(seen):
+        types[i + 1] = (np.array(r[2:]) + 20 * base) / (r.n + 20) / base
+    number = spark.createDataFrame([(r.type, i + 1) for i, r in enumerate(seen)], "type string, kind int")
+    docs = docs.join(F.broadcast(number), "type", "left").na.fill(0, ["kind"])  # TYPES rows at most
     text = blocks.filter("block_type = 'text' and document_id is not null and id is not null and content is not null").select("document_id", "id", "content")
-    text = spread(text, "id")
-    ranked = text.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
-    vocabulary = [r.word for r in ranked.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    v = max(1, len(vocabulary))
-    table = spark.sparkContext.broadcast(pickle.dumps({w: i for i, w in enumerate(vocabulary)}))
-    coded = text.mapInArrow(_encode(table), "document_id string, id bigint, codes binary, sizes binary")
-    coded = coded.groupBy("document_id", "id").agg(F.min("codes").alias("codes"), F.min_by("sizes", "codes").alias("sizes"))
-    coded = materialize(coded.join(docs, "document_id", "left").select("document_id", "codes", "sizes", F.coalesce("labels", F.lit(0)).alias("labels"), F.coalesce("hints", F.lit(0)).alias("hints")))
+    coded = spread(text, "id").mapInArrow(_encode, "document_id string, id bigint, codes binary, sizes binary")
+    coded = coded.groupBy("document_id", "id").agg(F.min(F.struct("codes", "sizes")).alias("c"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    coded = materialize(coded.join(docs, "document_id", "left").select("document_id", "c.codes", "c.sizes", zero("labels").cast("bigint").alias("labels"), zero("hints").cast("bigint").alias("hints"), zero("fold"), zero("kind")))
+    most = 2 * spark.sparkContext.defaultParallelism
+    coded = coded.coalesce(most)  # a task sends a row a bucket, however much it read
     # worth of a category: how often it names a label of the labelled documents, against how often it would by chance
     hit = docs.filter("labels > 0 and hints > 0").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("labels").bitwiseAND(F.col("hints")) > 0, 1)).alias("hit")).first()
     right = ((hit.hit or 0) + 1) / (hit.n + 2)
@@ -219,23 +255,33 @@ def subject_posteriors(documents: DataFrame, blocks: DataFrame, labels: DataFram
     weights = None
     columns = ", ".join(f"z{z} double" for z in range(k))
 
-    def run(f, schema: str) -> DataFrame:
-        shared = spark.sparkContext.broadcast(pickle.dumps((weights, trust, right, v)))
-        return coded.mapInArrow(f(shared, k), schema)
-
-    for _ in range(iterations):
-        sums = run(_step, f"word int, {columns}").groupBy("word").agg(*[F.sum(f"z{z}").alias(f"z{z}") for z in range(k)])
-        counts = np.zeros((v, k))
-        for r in sums.collect():  # at most VOCABULARY rows
-            counts[r[0]] = r[1:]
-        weights = complement_weights(counts)
-    total = run(_shares, f"document_id string, n bigint, {columns}").groupBy("document_id").agg(F.sum("n").alias("n"), *[F.sum(f"z{z}").alias(f"z{z}") for z in range(k)])
-    shares = materialize(total.select("document_id", F.array(*[F.col(f"z{z}") / F.col("n") for z in range(k)]).alias("shares")))
-    sample = shares.join(docs.filter("labels > 0"), "document_id").orderBy(F.xxhash64("document_id")).limit(CALIBRATION).select("shares", "labels").collect()
+    def run(f, schema: str, model, **how) -> DataFrame:
+        shared = spark.sparkContext.broadcast(pickle.dumps((model, trust, right, types)))
+        return coded.mapInArrow(f(shared, k, **how), schema)
+
+    def counted(**how) -> dict[int, np.ndarray]:
+        """Buckets x areas of each fold; at most ``BUCKETS`` rows a fold reach the driver."""
+        sums = run(_step, f"fold int, word int, {columns}", weights, **how).groupBy("fold", "word").agg(*[F.sum(f"z{z}").alias(f"z{z}") for z in range(k)]).toArrow()
+        out = {f: np.zeros((BUCKETS, k)) for f in (-1, 0, 1)}
+        of, word = sums.column("fold").to_numpy(), sums.column("word").to_numpy()
+        for f in out:
+            for z in range(k):
+                out[f][word[of == f], z] = sums.column(f"z{z}").to_numpy()[of == f]
+        return out
+
+    for _ in range(iterations - 1):
+        weights = complement_weights(counted()[-1])
+    counts = counted(folds=True)
+    models = {f: complement_weights(counts[-1] - counts[f] if f >= 0 else counts[-1]) for f in counts}
+    counts = counts[-1]
+    total = run(_shares, f"document_id string, held boolean, n bigint, {columns}", models).groupBy("document_id", "held").agg(F.sum("n").alias("n"), *[F.sum(f"z{z}").alias(f"z{z}") for z in range(k)])
+    both = materialize(total.select("document_id", "held", F.array(*[F.col(f"z{z}") / F.col("n") for z in range(k)]).alias("shares")))
+    shares = both.filter("not held").drop("held")
+    sample = both.filter("held").join(docs.filter("labels > 0"), "document_id").orderBy(F.xxhash64("document_id")).limit(CALIBRATION).select("shares", "labels").collect()
     x = np.array([r.shares for r in sample]).reshape(-1, k)
     y = (np.array([r.labels for r in sample], np.int64)[:, None] >> np.arange(k)) & 1
     slope, offset = fit_curve(x.ravel(), y.ravel().astype(float), np.tile(np.arange(k), len(x)), k) if len(x) else (4.0, np.full(k, -4.0 * np.log(SHARE + 0.01)))
-    frequent = int(counts.sum(0).argmax()) if iterations and k else 0
+    frequent = int(counts.sum(0).argmax())
     offsets = F.array(*[F.lit(float(o)) for o in offset])
     posterior = F.zip_with("shares", offsets, lambda s, o: 1 / (1 + F.exp(-(F.lit(float(slope)) * F.log(s + 0.01) + o))))
     hints = F.array(*[F.when(F.col("hints").bitwiseAND(F.lit(1 << z)) > 0, F.lit(right)).when((F.col("hints") == 0) & F.lit(z == frequent), F.lit(0.1)).otherwise(F.lit(0.0)) for z in range(k)])
