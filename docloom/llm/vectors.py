@@ -10,10 +10,14 @@ leaves' vectors are ranked by their exact cosine.
 A leaf is one block of work: its members and the vectors that search it meet in
 one matrix product, which serves both directions (member to searcher and back).
 
-Scale: the trees are fitted on at most ``sample_rows`` vectors a field and are a
-few hundred kilobytes; every vector is indexed. A leaf holds about ``leaf_rows``
-vectors whatever the size of the collection, larger ones are cut into blocks.
-Equal vectors are searched once, so that a field with many copies has no hot leaf.
+Scale: the trees are fitted on eight sampled vectors a leaf, at least ``sample_rows``
+and at most ``MOST_SAMPLED`` a field; every vector is indexed. A tree has at least 16
+leaves from 512 vectors on (fewer are one block), so that a small field goes through the forest too, and about ``leaf_rows``
+vectors a leaf up to 134 million vectors a field, beyond that larger leaves, which are
+cut into blocks of ``block_rows``. Vectors without structure must visit ever more leaves
+for the same recall (``probes_for``), and each visit ships the vector: 5 copies up to
+92 681 vectors, then a number that grows with the power 0.75. Equal vectors are
+searched once, so that a field with many copies has no hot leaf.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-DIM = 64
+DIM, MIN_DEPTH, MOST_SAMPLED = 64, 4, 1 << 18
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +109,9 @@ def _leaf_costs(levels: list, x: np.ndarray) -> np.ndarray:
     return cost
 
 
-def probes_for(leaves: int, trees: int, at_16: int = 4) -> int:
-    """Leaves to pop for a vector: ``at_16`` for 16 leaves, growing with the measured power 0.8 of their number."""
-    return min(trees * leaves, max(trees, math.ceil(at_16 * (leaves / 16) ** 0.8)))
+def probes_for(leaves: int, trees: int, at_16: int = 5) -> int:
+    """Leaves to pop for a vector: ``at_16`` for 16 leaves, growing with the measured power 0.75 of their number."""
+    return min(trees * leaves, max(trees, math.ceil(at_16 * (leaves / 16) ** 0.75)))
 
 
 def _route(forest: dict, block_rows: int):
@@ -196,7 +200,7 @@ def _sample(vecs: DataFrame, counts: dict[str, int], rows: int) -> dict[str, np.
     return {f: np.frombuffer(b"".join(sorted(v)[:: max(1, len(v) // rows)][:rows]), np.float32).reshape(-1, DIM if not v else len(v[0]) // 4) for f, v in out.items()}
 
 
-def nearest(vecs: DataFrame, k: int = 5, trees: int = 2, leaf_rows: int = 4096, block_rows: int = 8192, sample_rows: int = 16384, probes_at_16: int = 4) -> DataFrame:
+def nearest(vecs: DataFrame, k: int = 5, trees: int = 3, leaf_rows: int = 4096, block_rows: int = 8192, sample_rows: int = 16384, probes_at_16: int = 5) -> DataFrame:
     """(field, id, nb, sim): for each row of ``vecs`` (field, id, vec) the ``k`` best candidates of the forest.
 
     ``vec`` holds unit vectors as float32 bytes, ``id`` is unique. A field of one
@@ -206,15 +210,16 @@ def nearest(vecs: DataFrame, k: int = 5, trees: int = 2, leaf_rows: int = 4096,
     spark = vecs.sparkSession
     if not counts:
         return spark.createDataFrame([], "field string, id bigint, nb bigint, sim float")
-    samples, forest = _sample(vecs, counts, sample_rows), {}
+    largest = max(counts.values())
+    samples, forest = _sample(vecs, counts, min(MOST_SAMPLED, max(sample_rows, 8 * largest // leaf_rows))), {}
     for field, n in counts.items():
-        depth = max(0, min(round(math.log2(max(1, n / leaf_rows))), int(math.log2(max(1, len(samples[field]) / 8)))))
+        depth = 0 if n < 32 << MIN_DEPTH else min(max(MIN_DEPTH, round(math.log2(max(1, n / leaf_rows)))), int(math.log2(max(1, len(samples[field]) / 8))))
         fitted = [_fit_tree(samples[field], depth, 7 * i + 1) for i in range(trees if depth else 1)]
         # blocks of a leaf: from its share of the sample, so that no block exceeds block_rows by much
         blocks = np.concatenate([np.bincount(_leaf_costs(t, samples[field]).argmin(1), minlength=1 << depth) for t in fitted])
         blocks = np.maximum(1, np.ceil(blocks / max(1, len(samples[field])) * n / block_rows)).astype(np.int64)
         forest[field] = (fitted, probes_for(1 << depth, len(fitted), probes_at_16), blocks)
-    # the planes: sample_rows / 8 nodes a tree at most, so a broadcast of a few MB
+    # the planes: MOST_SAMPLED / 8 nodes a tree at most, 25 MB a field
     shared = spark.sparkContext.broadcast(pickle.dumps(forest))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
