@@ -10,11 +10,11 @@ is the mean over its sentences. A logistic curve turns shares into posteriors; i
 fitted on labelled documents, each scored by a model that was trained without the
 half of them that it belongs to.
 
-Scale: texts are read once. A word is coded by its hash in ``BUCKETS`` buckets, so
-that no word of any language is left out and the model (buckets x areas) has a fixed
-size; words that share a bucket share a weight. Scripts without spaces give pairs of
-characters. The passes read the codes; a pass sends one row a bucket and task to an
-aggregation, from at most two tasks a core. The calibration sample (``CALIBRATION``
+Scale: texts are read once. A word is coded by a hash of ``CODES`` values; codes that
+occur ``MIN_COUNT`` times or more, whatever their rank or language, share ``BUCKETS``
+weights, so that the model (buckets x areas) has a fixed size. Scripts without spaces
+give pairs of characters. The passes read the codes; a pass sends one row a bucket and
+task to an aggregation, from at most two tasks a core. The calibration sample (``CALIBRATION``
 labelled documents) and the document types (``TYPES`` most frequent) are bounded.
 """
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, spread
 
-BUCKETS, CALIBRATION, TYPES, MAX_AREAS = 1 << 18, 50_000, 1000, 62
+CODES, MIN_COUNT, BUCKETS = 1 << 22, 5, 1 << 18
+CALIBRATION, TYPES, MAX_AREAS = 50_000, 1000, 62
 ITERATIONS, ALPHA, SHARE, SHARPNESS = 8, 0.5, 0.2, 10.0
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n\s*\n")
 # Runs of anything but white space, digits, punctuation and signs; marks belong to their letters.
@@ -49,7 +50,7 @@ def words_of(text: str) -> list[str]:
 
 
 def code_of(word: str) -> int:
-    return zlib.crc32(word.encode()) & (BUCKETS - 1)
+    return zlib.crc32(word.encode()) & (CODES - 1)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,13 +75,22 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("document_id"), batch.column("id"), pa.array(codes, pa.binary()), pa.array(sizes, pa.binary())], names=["document_id", "id", "codes", "sizes"])
 
 
-def _sentences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word codes, the sentence of each, and the row of each sentence."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CODES, np.int64)
+    for batch in batches:
+        total += np.bincount(np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint32), minlength=CODES)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
+
+
+def _sentences(batch: pa.RecordBatch, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words with a live code, the sentence of each, and the row of each sentence with such a word."""
     codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint32)
     raw = batch.column("sizes").to_pylist()
     sizes = np.frombuffer(b"".join(raw), np.uint32).astype(np.int64)
-    rows = np.repeat(np.arange(len(raw)), [len(x) // 4 for x in raw])
-    return codes, np.repeat(np.arange(len(sizes)), sizes), rows
+    rows, sentence, kept = np.repeat(np.arange(len(raw)), [len(x) // 4 for x in raw]), np.repeat(np.arange(len(sizes)), sizes), live[codes]
+    having, sentence = np.unique(sentence[kept], return_inverse=True)
+    return codes[kept] & np.uint32(BUCKETS - 1), sentence, rows[having]
 
 
 def _posterior(weights: np.ndarray, codes: np.ndarray, sentence: np.ndarray, n: int, prior: np.ndarray | None) -> np.ndarray:
@@ -127,10 +137,11 @@ def _step(shared, k: int, folds: bool = False):
     """Sums of the posteriors by word; with ``folds`` also those of the labelled documents of either half (fold 0 and 1; -1 holds all)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, trust, right, types = pickle.loads(shared.value)
+        weights, trust, right, types, bits = pickle.loads(shared.value)
+        live = np.unpackbits(bits, count=CODES).astype(bool)
         sums = {f: np.zeros((BUCKETS, k)) for f in ((-1, 0, 1) if folds else (-1,))}
         for batch in batches:
-            codes, sentence, rows = _sentences(batch)
+            codes, sentence, rows = _sentences(batch, live)
             if not len(codes):
                 continue
             labels, hints, fold, kind = (batch.column(c).to_numpy() for c in ("labels", "hints", "fold", "kind"))
@@ -158,9 +169,10 @@ def _shares(shared, k: int):
     """Sums over the sentences of a row by the model of all documents, and of labelled ones by the model without their half."""
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, _, _, _ = pickle.loads(shared.value)
+        models, _, _, _, bits = pickle.loads(shared.value)
+        live = np.unpackbits(bits, count=CODES).astype(bool)
         for batch in batches:
-            codes, sentence, rows = _sentences(batch)
+            codes, sentence, rows = _sentences(batch, live)
             if not len(codes):
                 continue
             labels, fold = (batch.column(c).to_numpy() for c in ("labels", "fold"))
@@ -248,6 +260,10 @@ def subject_posteriors(documents: DataFrame, blocks: DataFrame, labels: DataFram
     coded = materialize(coded.join(docs, "document_id", "left").select("document_id", "c.codes", "c.sizes", zero("labels").cast("bigint").alias("labels"), zero("hints").cast("bigint").alias("hints"), zero("fold"), zero("kind")))
     most = 2 * spark.sparkContext.defaultParallelism
     coded = coded.coalesce(most)  # a task sends a row a bucket, however much it read
+    often = coded.select("codes").mapInArrow(_count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    live = np.zeros(CODES, bool)
+    live[often.select("code").toArrow().column("code").to_numpy()] = True  # CODES rows at most
+    bits = np.packbits(live)
     # worth of a category: how often it names a label of the labelled documents, against how often it would by chance
     hit = docs.filter("labels > 0 and hints > 0").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("labels").bitwiseAND(F.col("hints")) > 0, 1)).alias("hit")).first()
     right = ((hit.hit or 0) + 1) / (hit.n + 2)
@@ -256,7 +272,7 @@ def subject_posteriors(documents: DataFrame, blocks: DataFrame, labels: DataFram
     columns = ", ".join(f"z{z} double" for z in range(k))
 
     def run(f, schema: str, model, **how) -> DataFrame:
-        shared = spark.sparkContext.broadcast(pickle.dumps((model, trust, right, types)))
+        shared = spark.sparkContext.broadcast(pickle.dumps((model, trust, right, types, bits)))
         return coded.mapInArrow(f(shared, k, **how), schema)
 
     def counted(**how) -> dict[int, np.ndarray]:
