@@ -81,6 +81,14 @@ def test_near_pairs_at_the_threshold(spark):
     assert got <= {(2 * i, 2 * i + 1) for i in range(n)} and len(got) >= 0.97 * n
 
 
+def test_an_id_with_several_texts(spark):
+    base = [f"v{i}" for i in range(40)]
+    one, other = " ".join(base), " ".join(f"u{i}" for i in range(30))
+    rows = [(1, one), (1, other), (2, one + " x"), (3, other), (4, other + " y")]
+    df = spark.createDataFrame(rows, "id bigint, text string").withColumn("tbl", F.lit("t"))
+    assert {(r.id_a, r.id_b) for r in neardup.near_pairs(df).collect()} == {(1, 2), (1, 3), (1, 4), (3, 4)}
+
+
 def test_groups(spark):
     base = " ".join(WORDS[:40])
     rows = [(1, base), (2, base + " x"), (3, base + " x y"), (4, base), (9, "lonely words here")]
@@ -111,10 +119,29 @@ def test_edges_and_numbers():
     assert scanrepair.fix_number("97S3") == "9753" and scanrepair.fix_number("20o3") == "2003" and scanrepair.fix_number("files") is None and scanrepair.fix_number("2003") is None
 
 
-def test_broken_words():
-    known = {"lowcost": 0, "low-cost": 9, "vaccine": 9, "예산": 50, "예": 1}
-    assert scanrepair._joined("vac-", "cine", known) == "vaccine" and scanrepair._joined("low-", "cost.", known) == "low-cost"
-    assert scanrepair._joined("예", "산", known) == "예산" and scanrepair._joined("-", "a", known) is None and scanrepair._joined("word.", "next", known) is None
+def test_broken_words(spark):
+    known = spark.createDataFrame([("low-cost", 9), ("vaccine", 9), ("예산", 50), ("예", 1)], "word string, clean bigint")
+    cases = [("vac-", "cine"), ("low-", "cost."), ("예", "산"), ("-", "a"), ("word.", "next"), ("unk-", "nown")]
+    ends = [(i, 0, None, "hyphen" if e[0] else "bare", e[1], e[2]) for i, (a, b) in enumerate(cases) if (e := scanrepair.line_end(a, b))]
+    df = spark.createDataFrame(ends, "block_id bigint, line_no int, next_block bigint, kind string, head string, tail string")
+    got = {(r.block_id, r.kind, r.word) for r in scanrepair.broken_words(df, known).collect()}
+    assert got == {(0, "broken_word", "vaccine"), (1, "broken_word", "low-cost"), (2, "broken_word", "예산"), (5, "lookup", "unknown")}
+
+
+def test_two_confusions_and_learnt_ones(spark):
+    known = spark.createDataFrame([("ausführlich", 500), ("transportation", 400), ("documentation", 300), ("presentations", 300), ("containerized", 300), ("international", 300), ("configuration", 300)], "word string, clean bigint")
+    # x for t is no confusion that the table starts with; seven long words tell it
+    wrong = ["xransportation", "documenxation", "presenxations", "conxainerized", "inxernational", "configuraxion", "transporxation", "presentaxions"]
+    rare = spark.createDataFrame([(w,) for w in [*wrong, "ausfiihrlich", "documcntaxion", "y" * 70_000]], "word string")
+    counts = rare.select("word", F.lit(0).cast("bigint").alias("clean"), F.lit(1).cast("bigint").alias("noisy"))
+    got = {r.word: r.right for r in scanrepair.corrections(rare, counts, known).collect()}
+    assert got == {**{w: w.replace("x", "t") for w in wrong}, "ausfiihrlich": "ausführlich", "documcntaxion": "documentation"}
+
+
+def test_common_misreadings_are_not_known(spark):
+    rows = [("report", 9000, 1000), ("rep0rt", 6, 300), ("grid", 40, 4), ("rare", 3, 0), ("other", 90000, 9000)]
+    known, common = scanrepair.known_words(spark.createDataFrame(rows, "word string, clean bigint, noisy bigint"))
+    assert {r.word for r in known.collect()} == {"report", "grid", "other"} and common == {"report", "grid", "other"}
 
 
 def test_corrections(spark):
@@ -176,6 +203,20 @@ def test_subjects_on_held_out(spark):
     assert sum(got[d] == truth[d] for d in truth if int(d[1:]) >= 40) >= 100
 
 
+def test_long_sentences_and_other_scripts(spark):
+    long = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(70_000))
+    docs = spark.createDataFrame([("a", None, None), ("b", None, None), ("c", "law", None)], "document_id string, domain_category string, created_at timestamp")
+    blocks = spark.createDataFrame([(1, "a", "text", long), (2, "b", "text", "ศาลตัดสินคดี न्यायालय суд " * 30), (3, "c", "text", "ศาลตัดสินคดี न्यायालय суд " * 30)], "id bigint, document_id string, block_type string, content string")
+    labels = spark.createDataFrame([("c", "law", "r")], "document_id string, area_code string, labelled_by string")
+    areas = spark.createDataFrame([("law", "Law", None, None), ("sport", "Sport", None, None)], "area_code string, name_en string, name_ko string, scope_note string")
+    got = {(r.document_id, r.area_code) for r in subjects.subject_areas(docs, blocks, labels, areas).collect()}
+    assert {d for d, _ in got} == {"a", "b", "c"} and ("b", "law") in got
+    assert "न्यायालय" in subjects.words_of("न्यायालय।") and "ศา" in subjects.words_of("ศาล")
+    with pytest.raises(ValueError):
+        many = spark.createDataFrame([(f"x{i}", None, None, None) for i in range(70)], "area_code string, name_en string, name_ko string, scope_note string")
+        subjects.subject_areas(docs, blocks, labels, many)
+
+
 # --- p4
 
 
@@ -284,6 +325,15 @@ def test_shards_hold_close_texts(spark):
     assert same.mean() > 0.8
 
 
+def test_most_are_retrieved(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(WORDS[(i % 5) * 60 : (i % 5) * 60 + 60]) for _ in range(rng.randint(5, 90)))) for i in range(500)]
+    plans = spark.createDataFrame([("s", 256), ("m", 1024), ("l", 4096)], "plan_name string, capacity_tokens int")
+    got = packing.containers(spark.createDataFrame(rows, "doc_id bigint, text string"), plans, shard_texts=200).toPandas()
+    placed = got[got.position > 0]
+    assert ((placed.placed_as == "neighbour").groupby(placed.plan_name).mean() >= 0.8).all() and (placed[placed.placed_as == "neighbour"].score > 0).all()
+
+
 def test_bm25_scores_match_formula():
     docs = [np.array([1, 1, 2]), np.array([2, 3]), np.array([4])]
     for dense in (1, 99):
@@ -344,6 +394,26 @@ def test_units(classifier, text, units):
     assert [text[a:b] for a, b in classifier.units(text)] == units
 
 
+def test_thai_is_linear(classifier):
+    import time
+
+    text = "ผลการทดสอบระบบส่งกำลังไฟฟ้า เสร็จสิ้นแล้ว เจ้าหน้าที่รายงานว่า " * 16_000
+    start = time.time()
+    assert classifier.units(text[:1_000_000]) and time.time() - start < 20
+
+
+def test_long_tokens_and_many_headings(classifier):
+    text = "x" * 300_000 + ". " + "a.b" * 50_000 + "\n\n" + "\n\n".join(f"Section {i}" for i in range(5000))
+    units = classifier.units(text)
+    assert len(units) >= 5000 and units[-1][1] == len(text)
+
+
+def test_languages_of_labels(spark):
+    rows = [("nl", "de het een van en wordt niet met op voor zijn " * 40), ("NL-x", "het een van wordt niet " * 40), ("en", "the of and was with for this that were not by " * 60), ("xxxx", "the of"), (None, "the of"), ("ko", "사업 the 회의 자료를 검토했다 " * 50)]
+    languages = sentences.learn_languages(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(languages.names) == {"en", "nl"} and languages.of("wordt het niet") == "nl" and languages.of("was this not that") == "en" and languages.of("회의 자료를") == "ko"
+
+
 def test_units_hold_all_characters(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     more = spark.createDataFrame([(10**9, "a. " * 30000), (10**9 + 1, None), (10**9 + 2, "  ")], "doc_id bigint, text string")
@@ -361,6 +431,19 @@ def test_units_hold_all_characters(spark, folder):
         assert not (rest + (t or "")[at:]).strip()
 
 
+def test_paragraphs_over_ranges(spark, monkeypatch):
+    from docloom.operators import sections as ops
+
+    monkeypatch.setattr(ops, "HOT_ROWS", 5)
+    texts = ["The records were kept.", "the figures of the year", "were reported. All was well.", "And again"]
+    rows = [("s", i, i if i < 22 else None, 1, "text", "\n".join([texts[i % 4], *(f"line {k} of the page {i} goes" for k in range(8)), "on." if i % 3 else "and"])) for i in range(24)]
+    b = spark.createDataFrame(rows, "document_id string, id bigint, page int, section_id bigint, block_type string, content string")
+    none = spark.createDataFrame([], "document_id string, title string")
+    split = scanrepair.paragraphs(b, none, none).orderBy("para_no").collect()
+    monkeypatch.setattr(ops, "HOT_ROWS", 1000)
+    assert split == scanrepair.paragraphs(b, none, none).orderBy("para_no").collect() and len(split) > 5
+
+
 def test_paragraphs(spark):
     clean = [("c", 100 + i, i % 3, 9, "text", "The vaccine figures were reported again. The records of the vaccine were kept under review.") for i in range(30)]
     top = "Vaccine scope for Zed"
