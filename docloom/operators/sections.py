@@ -42,11 +42,11 @@ def heading_sections(df: DataFrame, key: str) -> DataFrame:
 HOT_ROWS, MAX_HOT = 2000, 1000
 
 
-def ranges(df: DataFrame, part: str, lead: str) -> DataFrame:
+def ranges(df: DataFrame, part: str, lead: str, nulls_first: bool = True) -> DataFrame:
     """Adds ``_range``: the parts of more than ``HOT_ROWS`` rows, the ``MAX_HOT`` largest at most, are cut into ranges of ``lead``; 0 in all others.
 
     A part that is not among them holds less than a thousandth of all rows, so no
-    task gets more than a small share. Nulls of ``lead`` come first.
+    task gets more than a small share. Nulls of ``lead`` come first, or last.
     """
     sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
     hot = sizes.filter((F.col("_n") > HOT_ROWS) & F.col(part).isNotNull()).orderBy(F.desc("_n")).limit(MAX_HOT).collect()
@@ -54,7 +54,7 @@ def ranges(df: DataFrame, part: str, lead: str) -> DataFrame:
         return df.withColumn("_range", F.lit(0).cast("bigint"))
     few = F.broadcast(df.sparkSession.createDataFrame(hot, sizes.schema))  # MAX_HOT rows at most
     at = F.floor((F.col(lead) - F.col("_lo")) * F.ceil(F.col("_n") / HOT_ROWS) / (F.col("_hi") - F.col("_lo") + 1))
-    return df.join(few, part, "left").withColumn("_range", F.when(F.col("_n").isNull(), 0).when(F.col(lead).isNull(), -1).otherwise(at).cast("bigint")).drop("_n", "_lo", "_hi")
+    return df.join(few, part, "left").withColumn("_range", F.when(F.col("_n").isNull(), 0).when(F.col(lead).isNull(), -1 if nulls_first else 1 << 40).otherwise(at).cast("bigint")).drop("_n", "_lo", "_hi")
 
 
 def running_sum(df: DataFrame, part: str, order: list[str], value: Column, name: str) -> DataFrame:
