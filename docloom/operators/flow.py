@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.operators.ledger import TEMPLATES
 from docloom.operators.rules import INTERNAL, TASK_TYPES
 from docloom.providers import Provider
+from docloom.sources import paths
 
 MAX_SEARCHES, MAX_WRITES = 3, 2
 
@@ -64,6 +67,50 @@ def execute(plan: Plan, handlers: dict[str, Callable[[Plan, dict[str, DataFrame]
     return done
 
 
+def rewritten(plan: Plan, query: str) -> Plan:
+    """The plan for another wording: all its steps pending again, its type and events kept."""
+    return Plan(query, plan.task_type, [Step(s.step_id, s.kind, list(s.needs)) for s in plan.steps], plan.events)
+
+
+class JobCancelled(Exception):
+    pass
+
+
+def run_job(spark: SparkSession, folder: str, job_id: str, steps: list[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]], cancelled: Callable[[str], bool] = lambda job: False) -> dict[str, DataFrame]:
+    """Results by step name. Steps run in order, each on the results before it, and their results are stored.
+
+    A step that was completed is read, not run; one that was not, or failed, runs. The
+    ledger below ``folder`` gets a row for every start and end; a failure is recorded
+    and raised, a cancellation is looked for before each step.
+    """
+    ledger = f"{folder}/ledger"
+    kind = "job_id string, step_name string, status string, error string, result string, at timestamp"
+
+    def tell(step: str, status: str, error: str = "", result: str = "") -> None:
+        row = spark.createDataFrame([(job_id, step, status, error, result)], "job_id string, step_name string, status string, error string, result string")
+        row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(ledger)
+
+    done: dict[str, DataFrame] = {}
+    log = spark.read.schema(kind).parquet(ledger).filter(F.col("job_id") == job_id) if paths.exists(spark, ledger) else spark.createDataFrame([], kind)
+    stored = {r.step_name: r for r in log.groupBy("step_name").agg(F.max_by("status", "at").alias("status"), F.max_by("result", "at").alias("result")).collect()}  # a row a step
+    for name, run in steps:
+        if cancelled(job_id):
+            raise JobCancelled(job_id)
+        if name in stored and stored[name].status == "completed":
+            done[name] = spark.read.parquet(stored[name].result)
+            continue
+        tell(name, "running")
+        path = f"{folder}/{job_id}/{name}-{uuid.uuid4().hex}"
+        try:
+            run(done).write.parquet(path)
+        except Exception as e:
+            tell(name, "failed", f"{name}: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
+            raise
+        tell(name, "completed", "", path)
+        done[name] = spark.read.parquet(path)
+    return done
+
+
 def answered(query: str, search: Callable[[str], list[str]], provider: Provider | None = None, rewrite: Callable[[str, int], str] | None = None) -> dict:
     """Search until the judge finds something to use, write until the verifier passes; both bounded, a partial answer is kept."""
     p = provider or Provider()

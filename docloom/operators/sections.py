@@ -96,8 +96,9 @@ def tree_parents(nodes: DataFrame, part: str) -> DataFrame:
     return nodes.withColumn("parent_pos", F.when(F.col("level") == 1, F.lit(None)).when(F.col("level") == 2, last(1)).otherwise(last(2)))
 
 
-def greedy_packs(limit: int, items: Column) -> Column:
-    """Pack number of each item (n, ok) of an ordered array: a pack that holds an ``ok`` item closes when the next item would exceed the limit."""
+def greedy_packs(limit: int, sizes: Column, ok: Column | None = None) -> Column:
+    """Pack number of each item of an ordered array: a pack that holds an ``ok`` item (without ``ok`` any that is not empty) closes when the next item would exceed the limit."""
+    items = F.transform(sizes, lambda n: F.struct(n.alias("n"), (n > 0).alias("ok"))) if ok is None else F.zip_with(sizes, ok, lambda n, o: F.struct(n.alias("n"), o.alias("ok")))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(False).alias("ok"), F.lit(0).cast("bigint").alias("no"), F.array().cast("array<bigint>").alias("packs"))
 
     def step(s: Column, e: Column) -> Column:

@@ -58,15 +58,37 @@ def header_depth(grid: DataFrame) -> DataFrame:
     return by_row.withColumn("before", before).groupBy("block_id").agg(F.greatest(F.count_if(F.col("before") == 0), F.lit(1)).cast("bigint").alias("depth"))
 
 
-def flat_headers(grid: DataFrame, depth: int = 2) -> DataFrame:
-    """(block_id, col, header): the first ``depth`` rows joined by points, blank ones named, repeated ones numbered."""
+def flat_headers(grid: DataFrame, depth: int = 2, depths: DataFrame | None = None) -> DataFrame:
+    """(block_id, col, header): the first ``depth`` rows, or those that ``depths`` (block_id, depth) gives each table, joined by points, blank ones named, repeated ones numbered."""
+    head = grid.filter(F.col("row") < depth) if depths is None else grid.join(depths, "block_id").filter("row < depth")
     parts = F.array_sort(F.collect_list(F.when(F.trim("value") != "", F.struct("row", F.trim("value").alias("v")))))
-    joined = grid.filter(F.col("row") < depth).groupBy("block_id", "col").agg(F.array_join(F.transform(parts, lambda x: x["v"]), ".").alias("h"))
+    joined = head.groupBy("block_id", "col").agg(F.array_join(F.transform(parts, lambda x: x["v"]), ".").alias("h"))
     named = joined.withColumn("h", F.when(F.col("h") == "", F.concat(F.lit("col"), F.col("col").cast("string"))).otherwise(F.col("h")))
     again = F.row_number().over(Window.partitionBy("block_id", "h").orderBy("col")) - 1
     return named.withColumn("n", again).select("block_id", "col", F.when(F.col("n") > 0, F.concat("h", F.lit("_"), F.col("n").cast("string"))).otherwise(F.col("h")).alias("header"))
 
 
+def region_rows(grid: DataFrame, merges: DataFrame) -> DataFrame:
+    """(block_id, first_row, row_index, row): the rows of every table region of sheets as maps, header to text.
+
+    Merged cells are filled, blank rows part regions, each region's leading rows of
+    words are its header; cells that a sheet leaves out are blank. A region of header
+    rows alone gives no row. ``grid`` has (block_id, row, col, value), one block a sheet.
+    """
+    full = expand_merged(grid, merges)
+    span = regions(full)
+    # regions of a sheet part its rows, so each cell meets one
+    cell = full.join(span, "block_id").filter(F.col("row").between(F.col("first_row"), F.col("last_row")))
+    cell = cell.select(F.struct("block_id", "first_row").alias("block_id"), (F.col("row") - F.col("first_row")).alias("row"), "col", "value")
+    depths = header_depth(cell)
+    names = flat_headers(cell, depths=depths)
+    head = names.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("col", "header"))).alias("head"))
+    body = cell.join(depths, "block_id").filter("row >= depth").withColumn("i", F.col("row") - F.col("depth"))
+    values = body.groupBy("block_id", "i").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("v"))
+    entries = F.transform("head", lambda h: F.struct(h["header"].alias("key"), F.coalesce(F.col("v")[h["col"]], F.lit("")).alias("value")))
+    return values.join(head, "block_id").select("block_id.block_id", "block_id.first_row", F.col("i").cast("int").alias("row_index"), F.map_from_entries(entries).alias("row"))
+
+
 def expand_merged(grid: DataFrame, merges: DataFrame) -> DataFrame:
     """(block_id, row, col, value): cells of a merged range take its top left value.
 

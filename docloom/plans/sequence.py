@@ -260,7 +260,7 @@ _PACK = """it as (select *, row_number() over (partition by doc_id order by sect
 def _packs(sec, limit: int):
     """(doc_id, pack, section_no, title, n) of sections (doc_id, section_no, title, n, ok); a text's sections are one array of numbers and titles."""
     g = sec.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_no", "n", "ok", "title"))).alias("i"))
-    g = g.withColumn("p", s.greedy_packs(limit, F.col("i")))
+    g = g.withColumn("p", s.greedy_packs(limit, F.transform("i", lambda e: e["n"]), F.transform("i", lambda e: e["ok"])))
     return g.select("doc_id", F.explode(F.arrays_zip("i", "p")).alias("z")).select("doc_id", F.col("z.p").alias("pack"), "z.i.section_no", "z.i.title", "z.i.n")
 
 

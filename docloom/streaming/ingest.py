@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from docloom.sources import paths
 
 
 def deduplicated(stream: DataFrame, key: str, at: str, late: str) -> DataFrame:
@@ -35,7 +29,7 @@ def hourly_events(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.readStream.schema(schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet").parquet(folder)
     events = raw.withColumn("ts", F.col("ts").cast("timestamp"))
     agg = hourly(deduplicated(events, "event_id", "ts", "2 days"), "ts", "event_type")
-    out = _checkpoint(spark)
+    out = paths.scratch(spark, "stream")
     columns = "hour timestamp, event_type string, n bigint, value double"
     spark.createDataFrame([], columns).write.parquet(f"{out}/table/epoch=-1")  # a stream without a file runs no batch
     changed = agg.select(F.col("w.start").alias("hour"), "event_type", "n", F.round("value", 6).alias("value"))
@@ -47,16 +41,14 @@ def hourly_events(spark: SparkSession, path: str) -> DataFrame:
 
 def upsert_by_content(spark: SparkSession, target: str, files: DataFrame, epoch: int) -> None:
     """A micro-batch of files: new contents are appended, those at hand are left; safe to repeat."""
-    batch = files.select(F.md5("content").alias("document_id"), "path", "modificationTime").dropDuplicates(["document_id"])
-    try:
-        known = spark.read.parquet(target).select("document_id")
-    except Exception:
-        known = spark.createDataFrame([], "document_id string")
-    batch.join(known, "document_id", "left_anti").write.mode("append").parquet(target)
+    batch = files.select(F.md5("content").alias("document_id"), "path", "modificationTime").groupBy("document_id").agg(F.min_by("modificationTime", "path").alias("modificationTime"), F.min("path").alias("path"))
+    if paths.exists(spark, target):
+        batch = batch.join(spark.read.parquet(target).select("document_id"), "document_id", "left_anti")
+    batch.write.mode("append").parquet(target)
 
 
 def ingest_folder(spark: SparkSession, folder: str, target: str, checkpoint: str | None = None) -> None:
-    """All files of a folder into a document table, each content once."""
+    """All files of a folder into a document table, each content once. The checkpoint beside the table lets a later call go on with new files only."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
-    q = stream.writeStream.foreachBatch(lambda df, epoch: upsert_by_content(df.sparkSession, target, df, epoch)).option("checkpointLocation", checkpoint or _checkpoint(spark)).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(lambda df, epoch: upsert_by_content(df.sparkSession, target, df, epoch)).option("checkpointLocation", checkpoint or f"{target.rstrip('/')}.checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
