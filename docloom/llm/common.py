@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.sources import paths
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    The folder named by ``spark.checkpoint.dir`` is used; only where the
-    session does not set it (tests, one machine) a temporary one is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
+_written: list[str] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = work_dir(df.sparkSession)
+    path = paths.scratch(df.sparkSession, "docloom")
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Remove all tables that ``materialize`` has written so far; call it once the results that read them are stored."""
+    n = len(_written)
+    while _written:
+        paths.remove(spark, _written.pop())
+    return n
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a scan of too few splits, so that Python work uses all cores; else leave it alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
