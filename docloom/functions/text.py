@@ -69,6 +69,22 @@ def analyze(text: Column) -> Column:
     return F.regexp_extract_all(lower_all(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+# Endings that the stemmed analysis takes off English words, and particles that it takes off Korean ones.
+ENGLISH_ENDING = r"^([a-z]{3,}?)(?:ingly|edly|ings|ing|ed|ies|es|s)$"
+KOREAN_PARTICLE = r"^([가-힣]{2,}?)(?:으로|에서|에게|까지|부터|은|는|이|가|을|를|의|에|로|와|과|도)$"
+
+
+def stemmed(tokens: Column) -> Column:
+    """Tokens without English endings and Korean particles; other scripts and short words stay as they are."""
+    stem = lambda w, p: F.coalesce(F.nullif(F.regexp_extract(w, p, 1), F.lit("")), w)
+    return F.transform(tokens, lambda w: stem(stem(w, ENGLISH_ENDING), KOREAN_PARTICLE))
+
+
+def normalize_space(text: Column) -> Column:
+    """Private-use characters and entities gone, every run of white space one space."""
+    return F.trim(F.regexp_replace(clean(text), r"[\s\x{A0}\x{3000}]+", " "))
+
+
 def sentences(text: Column, shortest: int = 10) -> Column:
     """Cut behind terminators followed by white space; pieces of at least ``shortest`` characters."""
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.char_length(s) >= shortest)

@@ -45,3 +45,30 @@ def section_texts(blocks: DataFrame) -> DataFrame:
 
 def page_ranges(blocks: DataFrame) -> DataFrame:
     return blocks.filter("section_id is not null").groupBy("section_id").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+
+
+def with_summaries(documents: DataFrame, updates: DataFrame) -> DataFrame:
+    """``documents`` with the late (document_id, summary, keywords) of ``updates``; null where none came. A second update of a document replaces the first by its ``at``."""
+    late = updates.groupBy("document_id").agg(F.max_by(F.struct("summary", "keywords"), "at").alias("u"))
+    return documents.drop("summary", "keywords").join(late, "document_id", "left").select("*", F.col("u.summary").alias("summary"), F.col("u.keywords").alias("keywords")).drop("u")
+
+
+def digests(propositions: DataFrame, sentences: int = 3, most: int = 30) -> DataFrame:
+    """(document_id, summary, keywords): the first propositions in order, and the most frequent keywords, of equal ones the first.
+
+    ``propositions`` has (document_id, id, seq, proposition, keywords), distinct.
+    """
+    lead = top_by(propositions.filter("proposition is not null"), ["document_id"], sentences, "seq", "id")
+    items = F.array_sort(F.collect_list(F.struct("rank", "proposition")))  # the first few
+    summary = lead.groupBy("document_id").agg(F.array_join(F.transform(items, lambda i: i["proposition"]), " ").alias("summary"))
+    words = propositions.select("document_id", "id", "seq", F.posexplode("keywords").alias("pos", "keyword")).filter("keyword is not null")
+    n = words.groupBy("document_id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "id", "pos")).alias("first"))
+    top = top_by(n, ["document_id"], most, F.desc("n"), "first", "keyword")
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "keyword")))
+    keywords = top.groupBy("document_id").agg(F.transform(ranked, lambda i: i["keyword"]).alias("keywords"))
+    return summary.join(keywords, "document_id", "full")
+
+
+def exported(files: DataFrame, folder: str) -> None:
+    """Text files by name: a folder for each ``file_name`` holds one part with its ``body``."""
+    files.select("file_name", "body").repartition("file_name").write.partitionBy("file_name").text(folder)

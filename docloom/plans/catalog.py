@@ -405,3 +405,35 @@ def domain_padding(x):
     hit = F.when(F.col("c").isin(codes), F.array("c")).otherwise(F.array().cast("array<string>"))
     three = F.slice(F.array_distinct(F.concat(hit, every)), 1, 3)
     return d.select("document_id", F.posexplode(three).alias("p", "area_code")).select("document_id", "area_code", (F.col("p") + 1).cast("bigint").alias("rank"))
+
+
+_DIG = """pr as (select distinct document_id, id, seq, proposition, keywords from parser_propositions), ld as (select document_id, proposition, row_number() over (partition by document_id order by seq nulls first, id) as r from pr where proposition is not null),
+    sm as (select document_id, string_agg(proposition, ' ' order by r) as summary from ld where r <= 3 group by 1),
+    kw as (select document_id, id, seq, unnest(keywords) as k, generate_subscripts(keywords, 1) as pos from pr), kn as (select document_id, k, count(*) as n, min((seq, id, pos)) as f from kw where k is not null group by 1, 2),
+    kr as (select document_id, k, row_number() over (partition by document_id order by n desc, f, k) as r from kn), ks as (select document_id, list(k order by r) as keywords from kr where r <= 30 group by 1),
+    dg as (select coalesce(sm.document_id, ks.document_id) as document_id, summary, keywords from sm full join ks on sm.document_id = ks.document_id)"""
+
+
+@query(f"with {_DIG} select * from dg")
+def doc_summary_keywords(x):
+    """A document's first propositions and most frequent keywords, what a summary is made of."""
+    return catalog.digests(x.parser_propositions.select("document_id", "id", "seq", "proposition", "keywords").distinct())
+
+
+@query(f"with {_DIG}, d as (select distinct document_id from parser_documents) select d.document_id, dg.summary, dg.keywords from d left join dg on dg.document_id = d.document_id")
+def late_summary_update(x):
+    """The catalogue's documents with the summaries and keywords that come after them."""
+    late = catalog.digests(x.parser_propositions.select("document_id", "id", "seq", "proposition", "keywords").distinct()).withColumn("at", F.lit(1))
+    return catalog.with_summaries(x.parser_documents.select("document_id").distinct(), late)
+
+
+@query(
+    f"""with {_B}, t as (select b.id, b.document_id, b.table_json from b where block_type = 'table' and table_json is not null and json_array_length(table_json) > 0), q as (select distinct section_id from parser_propositions where proposition is not null and section_id is not null),
+    f as (select distinct b.id, b.section_id from b where block_type = 'table') select t.id as block_id, cast(json_array_length(t.table_json) as integer) as n_rows, array_to_string(list_sort(json_keys(json_extract(t.table_json, '$[0]'))), ', ') as columns from t join f using (id) where f.section_id is null or f.section_id not in (select section_id from q)"""
+)
+def table_fallback(x):
+    """Tables of sections without a proposition, by their columns and number of rows."""
+    tables = sheets.parsed_tables(x.parser_blocks.select("id", "document_id", "section_id", "seq", "block_type", "table_json").distinct())
+    told = x.parser_propositions.filter("proposition is not null and section_id is not null").select("section_id").distinct()
+    left = tables.join(told, "section_id", "left_anti")
+    return left.select("block_id", F.size("rows").alias("n_rows"), F.array_join(F.array_sort(sheets.headers(F.col("rows"))), ", ").alias("columns"))

@@ -154,6 +154,28 @@ def analyze_tokens(x):
     return per.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
+_ENDING = "^([a-z]{3,}?)(?:ingly|edly|ings|ing|ed|ies|es|s)$"
+_PARTICLE = "^([가-힣]{2,}?)(?:으로|에서|에게|까지|부터|은|는|이|가|을|를|의|에|로|와|과|도)$"
+
+
+@query(
+    f"""with t as (select doc_id, {_TOKENS} as token from documents), e as (select doc_id, coalesce(nullif(regexp_extract(token, '{_ENDING}', 1), ''), token) as token from t),
+    s as (select doc_id, coalesce(nullif(regexp_extract(token, '{_PARTICLE}', 1), ''), token) as stem from e) select stem, count(*) as n, count(distinct doc_id) as docs from s group by 1"""
+)
+def analyze_stemmed(x):
+    """Counts of stems: the analysis for searches that are to find other forms of a word."""
+    stems = x.documents.select("doc_id", F.explode(t.stemmed(t.analyze(F.col("text")))).alias("stem"))
+    per = stems.groupBy("stem", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+
+
+@query("select doc_id, trim(regexp_replace(regexp_replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\x{f000}-\\x{f0ff}]', '', 'g'), '[\\s\\x{A0}\\x{3000}]+', ' ', 'g')) as line from documents where text is not null and not regexp_matches(text, '\\s+[.,]\\s') and not regexp_matches(text, '(<!-- image -->\\n*){2,}')")
+def normalize_space(x):
+    """Texts as one line; those whose spaces before punctuation fall away too are left to text_clean."""
+    d = x.documents.filter("text is not null").filter(~F.col("text").rlike(r"\s+[.,]\s") & ~F.col("text").rlike(r"(<!-- image -->\n*){2,}"))
+    return d.select("doc_id", t.normalize_space(F.col("text")).alias("line"))
+
+
 @query(
     """select distinct id, len(list_filter(coalesce(keywords, []), lambda k: not regexp_matches(k, '[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]'))) as keywords_kept from parser_propositions
     where not regexp_matches(proposition, '[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]') and length(trim(proposition)) > 5"""

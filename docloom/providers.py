@@ -54,6 +54,29 @@ class Provider:
         counts = Counter(w for w in WORD.findall(f"{title} {text}".lower()) if len(w) > 2 and not w.isdigit())
         return props[:most], [w for w, _ in counts.most_common(most)]
 
+    def propose_valid(self, title: str, text: str, retries: int = 2) -> tuple[list[str], list[str]]:
+        """``propose``, again with a hint before the text while nothing in the right script comes out; the last keywords stay."""
+        props, words = [], []
+        for attempt in range(retries + 1):
+            hint = "" if not attempt else "Answer in the language of the text.\n\n"
+            props, words = self.propose(title, hint + (text or ""))
+            props = [p for p in props if len(p.strip()) > 5 and not IDEOGRAPH.search(p)]
+            words = [w for w in words if not IDEOGRAPH.search(w)]
+            if props:
+                break
+        return props, words
+
+    def rewrite(self, query: str, attempt: int = 0) -> str:
+        """Another wording after a search that found nothing: the longer words, fewer each time."""
+        words = sorted(dict.fromkeys(WORD.findall(query)), key=len, reverse=True)
+        keep = set(words[: max(1, len(words) - 1 - attempt)])
+        return " ".join(w for w in WORD.findall(query) if w in keep) or query
+
+    def split_query(self, query: str, domains: dict[str, str]) -> list[dict]:
+        """Sub-queries at conjunctions and question marks, each with the domain that its words name (None if none does)."""
+        parts = [p.strip() for p in re.split(r"[?;]|\band\b|\bund\b|\bet\b|그리고", query) if p.strip()]
+        return [{"query": p, "domain": self.classify([p], domains, "")[0] or None} for p in parts or [query]]
+
     def summarize(self, text: str, sentences: int = 3) -> str:
         return " ".join(SENTENCE.split((text or "").strip())[:sentences])
 
@@ -118,6 +141,6 @@ def proposed(title: Column, text: Column, provider: Provider | None = None) -> C
 
     @F.pandas_udf("propositions array<string>, keywords array<string>")
     def run(t: pd.Series, x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.propose(a or "", b or "") for a, b in zip(t, x)], columns=["propositions", "keywords"])
+        return pd.DataFrame([model.propose_valid(a or "", b or "") for a, b in zip(t, x)], columns=["propositions", "keywords"])
 
     return run(title, text)
