@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, spread
-from .tokens import TOKENIZER, encoding
+from .tokens import TOKENIZER, opened, shipped
 
-RANGES = 4096
+RANGES, MAX_SOURCES = 4096, 100_000
 
 
-def _sizer(path: str):
+def _sizer(ranks):
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = opened(ranks)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             digest = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
@@ -59,9 +59,11 @@ def sized(texts: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFr
     the least counts.
     """
     rows = spread(texts.select("doc_id", "source", "text").filter("doc_id is not null and source is not null and text <> ''"), "doc_id")
-    t = listed(targets)
-    rows = rows.join(F.broadcast(t.select("source")), "source", "left_semi")  # one row a source
-    one = rows.mapInArrow(_sizer(path), "doc_id bigint, source string, n_tokens bigint, digest binary").filter("n_tokens > 0")
+    t = materialize(listed(targets))
+    if t.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = rows.join(F.broadcast(t.select("source")), "source", "left_semi")  # MAX_SOURCES rows at most
+    one = rows.mapInArrow(_sizer(shipped(texts.sparkSession, path)), "doc_id bigint, source string, n_tokens bigint, digest binary").filter("n_tokens > 0")
     each = materialize(one.groupBy("digest", "source").agg(F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens")))
     most = F.when((F.col("target_pct") > 0) & (F.col("max_repeats") > 0), F.sum("n_tokens") * F.col("max_repeats") / F.col("target_pct"))
     scarce = each.join(F.broadcast(t), "source").groupBy("source", "target_pct", "max_repeats").agg(F.coalesce(most, F.lit(float("inf"))).alias("most")).select("source", "most")
@@ -119,10 +121,20 @@ def p7_mix(spark, sf_dir: str) -> DataFrame:
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))[0]
 
 
-def p7_shares(spark, sf_dir: str) -> DataFrame:
+def shares(chosen: DataFrame, plan: DataFrame) -> DataFrame:
     """Per listed source the target and the share reached, the texts used and the most repeats of one."""
-    chosen, plan = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
     got = chosen.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.max("repeat_no").alias("most_repeats"), F.count(F.when(F.col("repeat_no") == 1, 1)).alias("texts_used"))
     out = plan.select("source", "target_pct", "max_repeats", "texts", F.col("tokens").alias("source_tokens")).join(got, "source", "left").na.fill(0)
     share = 100.0 * F.col("used_tokens") / F.greatest(F.sum("used_tokens").over(Window.partitionBy()), F.lit(1))
     return out.withColumn("reached_pct", F.round(share, 4))
+
+
+def p7_shares(spark, sf_dir: str) -> DataFrame:
+    return shares(*mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet")))
+
+
+def p7_shares_of_all(spark, sf_dir: str) -> DataFrame:
+    """The report for a total of all tokens of the listed sources, at which scarce sources give all they may and fall short of their targets."""
+    texts, targets = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet")
+    total = sized(texts, targets).agg(F.sum("n_tokens").alias("n")).first().n or 0
+    return shares(*mixed(texts, targets, total))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, spread
-from .tokens import TOKENIZER, encoding
+from .tokens import TOKENIZER, encoding, opened, shipped
 
 SHARD_TEXTS, MAX_PLANS, LAST = 1024, 1000, 0.1
 DIMS, SAMPLE = 128, 16384
@@ -37,9 +37,9 @@ K1, B = 1.2, 0.75
 _turns: dict[int, np.ndarray] = {}
 
 
-def _reader(path: str, code: str):
+def _reader(ranks, code: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = opened(ranks)
         for batch in batches:
             tokens = [np.array(t, code).tobytes() for t in enc.encode_ordinary_batch(batch.column("text").to_pylist(), num_threads=1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
@@ -50,7 +50,7 @@ def _reader(path: str, code: str):
 def tokenised(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens, width) of the texts with a token, of 2 or 4 bytes each; every text meets the tokenizer once."""
     width = 2 if encoding(path).max_token_value < 1 << 16 else 4
-    return materialize(rows.select("doc_id", "text").mapInArrow(_reader(path, f"<u{width}"), "doc_id bigint, tokens binary").filter(F.length("tokens") > 0).withColumn("width", F.lit(width)))
+    return materialize(rows.select("doc_id", "text").mapInArrow(_reader(shipped(rows.sparkSession, path), f"<u{width}"), "doc_id bigint, tokens binary").filter(F.length("tokens") > 0).withColumn("width", F.lit(width)))
 
 
 def _read(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:

@@ -19,6 +19,7 @@ QUERIES = {
     "p6_fill": packing.p6_fill,
     "p7_mix": mixing.p7_mix,
     "p7_shares": mixing.p7_shares,
+    "p7_shares_of_all": mixing.p7_shares_of_all,
     "p8_found": sentences.p8_found,
 }
 

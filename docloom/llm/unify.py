@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import normalize_title
+
 from .common import spread
 
 # Letters of Cyrillic and Greek and the Latin letters that they look like.
@@ -33,7 +35,7 @@ LOOKALIKE = {
 # Of these only the shapes that equal a Latin letter beyond doubt make a whole word suspicious.
 WHOLE = frozenset("аеорсухѕіјһԁԛԝАВЕКМНОРСТХЅІЈоνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" + "ο")
 
-INVISIBLE = regex.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000E0000-\U000E0FFF]")
+INVISIBLE = regex.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\uFFF0-\uFFF8\U0001BCA0-\U0001BCA3\U0001D173-\U0001D17A\U000E0000-\U000E0FFF]")
 _JOINED = r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Nko}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Tibetan}\p{Myanmar}]"
 # What a word's own script needs: joiners between joining letters, breaks in scripts without spaces, joiners and selectors of pictographs, jamo fillers beside jamo.
 NEEDED = regex.compile(
@@ -51,7 +53,7 @@ LATIN = regex.compile(r"\p{Latin}")
 # Java: a character that one of the rules could change.
 SUSPICIOUS = (
     r"[\p{M}ᄀ-ᇿ０-９Ａ-Ｚａ-ｚｦ-ￜﬀ-ﷻﹰ-﻿   -‏‪-  -⁯　"
-    r"­͏؜឴឵᠋-᠏ㅤ︀-️\p{IsGreek}\p{IsCyrillic}\x{E0000}-\x{E0FFF}]"
+    r"­͏؜឴឵᠋-᠏ㅤ︀-️\p{IsGreek}\p{IsCyrillic}\x{FFF0}-\x{FFF8}\x{1BCA0}-\x{1BCA3}\x{1D173}-\x{1D17A}\x{E0000}-\x{E0FFF}]"
 )
 
 
@@ -198,13 +200,15 @@ def p5_forms(spark, sf_dir: str) -> DataFrame:
 
 
 def p5_titles_matched(spark, sf_dir: str) -> DataFrame:
-    """Per document the distinct toc titles, those that equal a section title of the document as they are, and in the one form."""
+    """Per document the distinct toc titles, those that equal a section title of the document as they are, in the one form, and in the letters and digits of that form."""
     toc = spark.read.parquet(f"{sf_dir}/toc_nodes.parquet").select("document_id", "title")
     sec = spark.read.parquet(f"{sf_dir}/parser_sections.parquet").select("document_id", "title")
     both = toc.withColumn("tbl", F.lit("toc")).unionByName(sec.withColumn("tbl", F.lit("sec"))).filter("title is not null and document_id is not null").distinct()
     _, forms = unified(both.select("tbl", F.lit(0).alias("id"), F.col("title").alias("text")))
     both = both.join(forms.select(F.col("text").alias("title"), "form"), "title", "left").withColumn("form", F.coalesce("form", plain_form(F.col("title"))))
+    both = both.withColumn("bare", normalize_title(F.col("form")))
     sec = both.filter("tbl = 'sec'")
     left = both.filter("tbl = 'toc'").join(sec.select("document_id", "title", F.lit(1).alias("same")), ["document_id", "title"], "left")
     left = left.join(sec.select("document_id", "form", F.lit(1).alias("alike")).distinct(), ["document_id", "form"], "left")
-    return left.groupBy("document_id").agg(F.count(F.lit(1)).alias("titles"), F.count("same").alias("equal_as_is"), F.count("alike").alias("equal_in_form"))
+    left = left.join(sec.filter("bare <> ''").select("document_id", "bare", F.lit(1).alias("near")).distinct(), ["document_id", "bare"], "left")
+    return left.groupBy("document_id").agg(F.count(F.lit(1)).alias("titles"), F.count("same").alias("equal_as_is"), F.count("alike").alias("equal_in_form"), F.count(F.coalesce("alike", "near")).alias("equal_in_letters"))

@@ -269,6 +269,11 @@ def test_kinds(text, kinds):
     assert unify.kinds_of(text) == kinds
 
 
+@pytest.mark.parametrize("c", ["\ufff0", "\U0001d173", "\U0001bca0", "\u00ad", "\u200b"])
+def test_ignorable_characters_are_invisible(c):
+    assert unify.kinds_of(f"a{c}b") == ["invisible"] and unify.canonical(f"a{c}b") == "ab"
+
+
 def test_one_form(spark):
     assert unify.canonical("Ｔｒіο​ｆａｅ ẞ") == "triofae ss" and unify.canonical("е́") == unify.canonical("é")
     rows = [("t", 1, "A B"), ("t", 1, "A B"), ("t", 2, None), ("t", None, "Ａ"), ("t", 3, "Straße"), ("t", 4, "")]
@@ -370,6 +375,23 @@ def test_mix_keeps_shared_texts(spark):
     assert got == {(2, "a"), (4, "a"), (6, "a")} | {(10 + i, "b") for i in range(50)}
 
 
+def test_reports_equal_their_rows(spark, folder):
+    """Sums of the report queries against the rows of the queries that they report on."""
+    boxes = packing.p6_containers(spark, folder).toPandas()
+    for r in packing.p6_fill(spark, folder).collect():
+        mine = boxes[boxes.plan_name == r.plan_name]
+        assert (r.pieces, r.tokens, r.containers) == (len(mine), mine.n_tokens.sum(), mine.container_id.nunique()) and r.filled > 0.8 and r.retrieved > 0.8
+    mix = mixing.p7_mix(spark, folder).toPandas()
+    for r in mixing.p7_shares(spark, folder).collect():
+        mine = mix[mix.source == r.source]
+        assert (r.used_tokens, r.texts_used, r.most_repeats) == (mine.n_tokens.sum(), mine.doc_id.nunique(), mine.repeat_no.max() if len(mine) else 0)
+        assert abs(r.reached_pct - 100 * mine.n_tokens.sum() / mix.n_tokens.sum()) < 1e-3
+    report = mixing.p7_shares_of_all(spark, folder).collect()
+    assert all(r.used_tokens <= r.source_tokens * r.max_repeats + 5000 for r in report) and sum(r.used_tokens for r in report) > mix.n_tokens.sum()
+    found = Counter(r.area_code for r in subjects.p3_found(spark, folder).collect())
+    assert {r.area_code: r.documents for r in subjects.p3_shares(spark, folder).collect() if r.documents} == dict(found)
+
+
 # --- p8
 
 
