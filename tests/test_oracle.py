@@ -1,4 +1,4 @@
-"""Every query with SQL agrees with it; every other one gives a stable schema and rows."""
+"""Every query agrees with its SQL; the numbered problems, which have none, are tested by themselves."""
 
 import compare
 import pytest
@@ -18,10 +18,8 @@ def test_agrees_with_sql(spark, folder, con, name):
     assert compare.difference(QUERIES[name](spark, folder), con, SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, folder, name):
-    df = QUERIES[name](spark, folder)
-    assert df.columns and df.count() >= 0
+def test_every_core_query_has_sql():
+    assert {n for n in set(QUERIES) - set(SQL) if not (n[0] == "p" and n[1].isdigit())} == set()
 
 
 def test_entry(spark):
