@@ -46,10 +46,11 @@ class Engine:
     def _stamp() -> str:
         return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
-    def ingest(self, files: str) -> None:
+    def ingest(self, files: str, convert: Callable[[str, bytes], tuple[str, bytes]] | None = None) -> None:
         """Files to documents, sections, propositions and vectors; contents at hand are left alone, so a repeat adds nothing.
 
         Of equal files one path is chosen by their digests; no file's bytes are shuffled.
+        ``convert`` turns formats that need it into ones that are read.
         """
         run = self._stamp()
         write = lambda df, name: df.write.parquet(f"{self.folder}/{name}.parquet/run={run}")
@@ -59,7 +60,7 @@ class Engine:
         write(digests.join(self.table("documents").select("document_id"), "document_id", "left_anti"), "documents")
         ids = staged("documents")
         new = every.join(ids.select(F.col("source_path").alias("path")), "path", "left_semi")
-        write(sources.blocks(new), "blocks")
+        write(sources.blocks(sources.prepared(new, convert=convert)), "blocks")
         s = sections.heading_sections(staged("blocks").filter("block_type = 'text'").withColumnRenamed("content", "text"), "document_id")
         write(s.withColumn("section_id", F.xxhash64("document_id", "section_no")), "sections")
         p = staged("sections").withColumn("p", proposed(F.col("title"), F.col("content"), self.provider))

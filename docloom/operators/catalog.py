@@ -72,3 +72,8 @@ def digests(propositions: DataFrame, sentences: int = 3, most: int = 30) -> Data
 def exported(files: DataFrame, folder: str) -> None:
     """Text files by name: a folder for each ``file_name`` holds one part with its ``body``."""
     files.select("file_name", "body").repartition("file_name").write.partitionBy("file_name").text(folder)
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with the same key. Of several new rows under a key all stay; null keys of ``new`` are added."""
+    return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))

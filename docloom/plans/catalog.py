@@ -9,6 +9,7 @@ from docloom.functions import text as t
 from docloom.functions import vector
 from docloom.operators import catalog, retrieval, sections, sheets
 from docloom.registry import Registry
+from docloom.sources import files, paths
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -437,3 +438,23 @@ def table_fallback(x):
     told = x.parser_propositions.filter("proposition is not null and section_id is not null").select("section_id").distinct()
     left = tables.join(told, "section_id", "left_anti")
     return left.select("block_id", F.size("rows").alias("n_rows"), F.array_join(F.array_sort(sheets.headers(F.col("rows"))), ", ").alias("columns"))
+
+
+@query(
+    """with o as (select distinct chunk_id, parent_section_id, token_count from chunk_index), n as (select chunk_id, parent_section_id, coalesce(token_count, 0) + 1 as token_count from o where cast(parent_section_id as bigint) % 2 = 0)
+    select chunk_id, parent_section_id, token_count from o where chunk_id not in (select chunk_id from n) union all select * from n"""
+)
+def index_upsert(x):
+    """The index after the chunks of every other section were indexed again."""
+    old = x.chunk_index.select("chunk_id", "parent_section_id", "token_count").distinct()
+    new = old.filter(F.col("parent_section_id").cast("bigint") % 2 == 0).withColumn("token_count", F.coalesce("token_count", F.lit(0)) + 1)
+    return catalog.upserted(old, new, "chunk_id")
+
+
+@query("select s_suppkey, to_json({'s_suppkey': cast(s_suppkey as varchar), 's_name': s_name}) as row_data from supplier")
+def scan_csv_rows(x):
+    """A table written as CSV files and read back as rows of text by header."""
+    folder = paths.scratch(x.spark, "csv")
+    x.supplier.select("s_suppkey", "s_name").write.option("header", True).csv(folder)
+    rows = files.csv_rows(x.spark, folder)
+    return rows.select(F.col("row")["s_suppkey"].cast("bigint").alias("s_suppkey"), F.to_json("row").alias("row_data"))

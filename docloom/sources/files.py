@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import EXTENSIONS, extension
+from docloom.functions.text import EXTENSIONS, extension, object_key
 from docloom.operators import sheets
 
 BLOCKS = "document_id string, source_path string, block_type string, content string, page int, sheet_name string, seq int"
@@ -25,6 +25,34 @@ def files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return raw.select("path", "content", F.md5("content").alias("document_id"), ext.alias("extension"), ext.isin(list(EXTENSIONS) + [".txt"]).alias("supported"))
 
 
+def prepared(df: DataFrame, prefix: str = "raw", convert: Callable[[str, bytes], tuple[str, bytes]] | None = None) -> DataFrame:
+    """(document_id, path, content, extension, supported, converted, object_key) of the supported files, ready to be stored and parsed.
+
+    ``convert(path, content)`` turns a format that needs conversion into (extension,
+    content); without it such files are left out. The key is that of the object store, by
+    the day of this run, the file's name and the digest of the name.
+    """
+    needing = [k for k, v in EXTENSIONS.items() if v[0]]
+    key = object_key(prefix, F.current_timestamp(), F.col("path")).alias("object_key")
+    plain = df.filter("supported").filter(~F.col("extension").isin(needing)).withColumn("converted", F.lit(False))
+    if convert is not None:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                got = [convert(p, c) for p, c in zip(pdf.path, pdf.content)]
+                yield pdf.assign(extension=[e for e, _ in got], content=[c for _, c in got])
+
+        done = df.filter(F.col("extension").isin(needing)).select("path", "content", "document_id", "extension", "supported").mapInPandas(run, "path string, content binary, document_id string, extension string, supported boolean")
+        plain = plain.unionByName(done.withColumn("converted", F.lit(True)))
+    return plain.select("document_id", "path", "content", "extension", "supported", "converted", key)
+
+
+def csv_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(row): every row of CSV files as a map from header to text; blank cells are empty strings."""
+    raw = spark.read.option("header", True).option("encoding", encoding).option("nullValue", None).option("emptyValue", "").csv(path)
+    return raw.select(F.map_from_arrays(F.array(*[F.lit(c) for c in raw.columns]), F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in raw.columns])).alias("row"))
+
+
 def _at(ref: str) -> tuple[int, int] | None:
     m = re.match(r"([A-Z]+)(\d+)$", ref)
     if not m:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from docloom import schemas
 from docloom.engine import Engine
-from docloom.operators import flow, retrieval, rules, sections, sheets
+from docloom.operators import catalog, flow, retrieval, rules, sections, sheets
+from docloom.providers import Provider
 from docloom.sources import files, paths
 
 QUERIES = [
@@ -188,3 +189,33 @@ def test_cells_by_sheet_and_header(spark):
 
 def test_scratch_needs_a_shared_folder(spark):
     assert paths.scratch(spark, "x").startswith("file:") or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def test_files_that_need_conversion(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(b"PK...")
+    (tmp_path / "b.md").write_text("plain")
+    got = {r.path.rsplit("/", 1)[-1]: r for r in files.prepared(files.files(spark, str(tmp_path)), convert=lambda p, c: (".md", b"turned")).collect()}
+    assert bytes(got["a.docx"].content) == b"turned" and got["a.docx"].converted and got["a.docx"].extension == ".md" and not got["b.md"].converted
+    assert got["b.md"].object_key.startswith("raw/") and got["b.md"].object_key.endswith(".md")
+    assert [r.path.rsplit("/", 1)[-1] for r in files.prepared(files.files(spark, str(tmp_path))).collect()] == ["b.md"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a.md", "# one\ntwo"), ("b.md", "three")], "file_name string, body string")
+    catalog.exported(df, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out"), wholetext=True)
+    assert {(r.file_name, r.value.strip()) for r in back.collect()} == {("a.md", "# one\ntwo"), ("b.md", "three")}
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id int, v string")
+    new = spark.createDataFrame([(2, "x", 0), (3, "y", 0), (None, "z", 0)], "id int, v string, more int")
+    assert {(r.id, r.v) for r in catalog.upserted(old, new, "id").collect()} == {(1, "a"), (2, "x"), (3, "y"), (None, "z")}
+
+
+def test_providers_try_again():
+    class Wrong(Provider):
+        def propose(self, title, text, most=10):
+            return (["This one is fine."], ["w"]) if text.startswith("Answer") else (["中文句子在这里。"], ["中"])
+
+    p = Provider()
+    assert Wrong().propose_valid("t", "x") == (["This one is fine."], ["w"]) and p.propose_valid("t", "") == ([], [])
+    assert p.rewrite("where is the northern turbine") == "where the northern turbine" and p.rewrite("x") == "x"
+    assert [q["domain"] for q in p.split_query("court appeal and grid power", {"law": "court appeal", "energy": "grid power"})] == ["law", "energy"]
