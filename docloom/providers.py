@@ -48,18 +48,17 @@ class Provider:
             out.append(best if words and words[best] & have else first)
         return out
 
-    def propose(self, title: str, text: str, most: int = 10) -> tuple[list[str], list[str]]:
-        """First sentences, and the most frequent words; ideographs and short pieces are left out."""
+    def propose(self, title: str, text: str, most: int = 10, hint: str = "") -> tuple[list[str], list[str]]:
+        """First sentences, and the most frequent words; ideographs and short pieces are left out. A model may heed the hint."""
         props = [s.strip() for s in SENTENCE.split((text or "")[:4000]) if len(s.strip()) > 5 and not IDEOGRAPH.search(s)]
         counts = Counter(w for w in WORD.findall(f"{title} {text}".lower()) if len(w) > 2 and not w.isdigit())
         return props[:most], [w for w, _ in counts.most_common(most)]
 
     def propose_valid(self, title: str, text: str, retries: int = 2) -> tuple[list[str], list[str]]:
-        """``propose``, again with a hint before the text while nothing in the right script comes out; the last keywords stay."""
+        """``propose``, again with a hint while nothing in the right script comes out; the last keywords stay."""
         props, words = [], []
         for attempt in range(retries + 1):
-            hint = "" if not attempt else "Answer in the language of the text.\n\n"
-            props, words = self.propose(title, hint + (text or ""))
+            props, words = self.propose(title, text or "", hint="Answer in the language of the text." if attempt else "")
             props = [p for p in props if len(p.strip()) > 5 and not IDEOGRAPH.search(p)]
             words = [w for w in words if not IDEOGRAPH.search(w)]
             if props:

@@ -212,8 +212,8 @@ def test_sinks(spark, tmp_path):
 
 def test_providers_try_again():
     class Wrong(Provider):
-        def propose(self, title, text, most=10):
-            return (["This one is fine."], ["w"]) if text.startswith("Answer") else (["中文句子在这里。"], ["中"])
+        def propose(self, title, text, most=10, hint=""):
+            return (["This one is fine."], ["w"]) if hint else (["中文句子在这里。"], ["中"])
 
     p = Provider()
     assert Wrong().propose_valid("t", "x") == (["This one is fine."], ["w"]) and p.propose_valid("t", "") == ([], [])
