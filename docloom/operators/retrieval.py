@@ -78,17 +78,18 @@ def part_of(tf: Column, dl: Column, df: Column, total: Column, mean: Column) ->
 def bm25(nodes: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """(id, score) of rows with a query term. Statistics are those of all rows; filters come after.
 
-    Texts are tokenised once, in the scan; a shuffle of (id, length, counts of the
-    terms) removes repeated rows and serves both the statistics and the scores.
+    Texts are tokenised once, in the scan; a shuffle of (id, length, the terms found)
+    removes repeated rows and serves both the statistics and the scores.
     """
-    t = F.col("t")
-    times = lambda term: F.size(F.filter(t, lambda w: w == term))
-    counts = F.array(*[times(x) for x in terms]) if terms else F.array().cast("array<int>")
-    docs = nodes.filter(F.col(text).isNotNull()).select("id", analyze(F.col(text)).alias("t")).select("id", F.size("t").alias("dl"), counts.alias("tf")).distinct()
-    stats = docs.agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("mean"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))])
-    hit = docs.filter(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
-    parts = [part_of(F.get("tf", F.lit(i)), F.col("dl"), F.col(f"df{i}"), F.col("total"), F.col("mean")) for i in range(len(terms))]
-    return hit.groupBy("id").agg(F.round(F.sum(sum(parts, F.lit(0.0))), 6).alias("score"))
+    wanted = F.array(*[F.lit(x) for x in terms]) if terms else F.array().cast("array<string>")
+    words = nodes.filter(F.col(text).isNotNull()).select("id", analyze(F.col(text)).alias("t"))
+    docs = words.select("id", F.size("t").alias("dl"), F.filter("t", lambda w: F.array_contains(wanted, w)).alias("found")).distinct()
+    stats = docs.agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("mean"))
+    tf = docs.select("id", "dl", F.explode("found").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # one row a query term, and one row of statistics
+    hit = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    return hit.groupBy("id").agg(F.round(F.sum(part_of(F.col("tf"), F.col("dl"), F.col("df"), F.col("total"), F.col("mean"))), 6).alias("score"))
 
 
 def postings(nodes: DataFrame, text: str = "text") -> DataFrame:
