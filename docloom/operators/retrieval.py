@@ -106,15 +106,118 @@ def bm25_batch(index: DataFrame, sizes: DataFrame, questions: DataFrame, k: int)
     """(qid, id, score, rank): the ``k`` best rows of each question.
 
     ``index`` is that of ``postings``, ``sizes`` one row (total, mean), ``questions`` has
-    (qid, term), each term once. A frequent term's postings are split by the skew
-    join; scores are summed on the map side, and each task keeps ``k`` rows a question.
+    (qid, term), each term once. The postings of the questions' terms are gathered by id.
     """
     wanted = index.join(questions.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hit = questions.select("qid", "term").distinct().join(df, "term").join(wanted, "term").crossJoin(F.broadcast(sizes))  # one row of sizes
-    part = part_of(F.col("tf"), F.col("dl"), F.col("df"), F.col("total"), F.col("mean"))
-    scored = hit.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_of_each(scored, k)
+    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("dl", "term", "tf")).alias("p")).select("id", "p.dl", "p.term", "p.tf")
+    return best_by_terms(lists, wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), sizes, questions, k)
+
+
+def bm25_batch_texts(nodes: DataFrame, questions: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """``bm25_batch`` straight from the rows: the different texts of an id, each of which counts, are shuffled once, and no posting is."""
+    texts = nodes.filter(F.col(text).isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.collect_set(text).alias("texts"))
+    docs = texts.select("id", F.transform("texts", analyze).alias("docs"))
+    sizes = docs.agg(F.sum(F.size("docs").cast("bigint")).alias("total"), F.sum(F.size(F.flatten("docs")).cast("bigint")).alias("words"))
+    sizes = sizes.select("total", (F.col("words") / F.col("total")).alias("mean"))
+    lists = docs.select("id", F.flatten(F.transform("docs", lambda d: F.array_repeat(F.size(d), F.size(d)))).alias("dl"), F.flatten("docs").alias("term"))
+    # an id's words of texts of one length count together
+    seen = lists.select("id", F.explode(F.arrays_zip("dl", "term")).alias("p")).select("id", "p.dl", "p.term").distinct()
+    df = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return best_by_terms(lists.withColumn("tf", F.transform("term", lambda _: F.lit(1))), df, sizes, questions, k)
+
+
+def best_by_terms(lists: DataFrame, df: DataFrame, sizes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank) from one row an id with its postings as arrays (dl, term, tf), and (term, df).
+
+    Questions go out in blocks of at most ``QUESTIONS``. A task sums the parts of a
+    question's terms over ``ROWS`` ids at a time and sends its ``k`` best ids a question, from
+    at most two tasks a core, so pairs of question and id are never shuffled.
+    """
+    spark = lists.sparkSession
+    size = sizes.first()  # one row
+    asked = questions.select("qid", "term").distinct().join(df, "term").groupBy("qid").agg(F.collect_list(F.struct("term", "df")).alias("terms"))
+    kind, qkind = dict(lists.dtypes)["id"], dict(asked.dtypes)["qid"]
+    lists = lists.select("id", "dl", "term", "tf").coalesce(2 * spark.sparkContext.defaultParallelism)
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, index, idf, terms, mean = pickle.loads(shared.value)
+            best: list[list] = [[] for _ in qids]
+            for part in in_chunks(batches, ROWS):
+                found = part.column("term").combine_chunks().flatten().dictionary_encode()
+                term = np.array([index.get(t, -1) for t in found.dictionary.to_pylist()], np.int64)[found.indices.to_numpy()]
+                of = np.repeat(np.arange(part.num_rows), part.column("term").combine_chunks().value_lengths().to_numpy())
+                dl, tf = (part.column(c).combine_chunks().flatten().to_numpy()[term >= 0].astype(np.int64) for c in ("dl", "tf"))
+                of, term = of[term >= 0], term[term >= 0]
+                if not len(term):
+                    continue
+                # texts of an id that differ in length are apart; then the postings in the order of their terms
+                span = dl.max() + 1
+                entry, at = np.unique(of * span + dl, return_inverse=True)
+                key, at = np.unique(term * len(entry) + at, return_inverse=True)
+                term, of, dl, tf = key // len(entry), entry[key % len(entry)] // span, entry[key % len(entry)] % span, np.bincount(at, tf)
+                score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+                first = np.searchsorted(term, np.arange(len(idf) + 1))
+                ids = part.column("id").to_pylist()
+                for j, mine in enumerate(terms):
+                    spans = [(a, b) for a, b in zip(first[mine].tolist(), first[mine + 1].tolist()) if a < b]
+                    if not spans:
+                        continue
+                    sums = np.bincount(np.concatenate([of[a:b] for a, b in spans]), np.concatenate([score[a:b] for a, b in spans]), len(ids))
+                    have = best[j]
+                    rows = np.flatnonzero(sums > (max(0.0, -have[-1][0] - 1e-6) if len(have) == k else 0.0))
+                    got = np.round(sums[rows], 6)
+                    if len(rows) > k:  # ties of the last place stay
+                        good = got >= np.partition(got, len(got) - k)[len(got) - k]
+                        rows, got = rows[good], got[good]
+                    if len(rows):
+                        best[j] = sorted([*have, *((-s, ids[i]) for i, s in zip(rows.tolist(), got.tolist()))])[:k]
+            out = [(qid, i, -s) for qid, have in zip(qids, best) for s, i in have]
+            yield hits_of(out, qkind, kind)
+
+        return run
+
+    def ask(rows: list) -> DataFrame:
+        index: dict[str, int] = {}
+        terms = [np.array([index.setdefault(t.term, len(index)) for t in r.terms], np.int64) for r in rows]
+        n = np.zeros(len(index))
+        for r, mine in zip(rows, terms):
+            n[mine] = [t.df for t in r.terms]
+        idf = np.log(1 + (size.total - n + 0.5) / (n + 0.5))
+        shared = spark.sparkContext.broadcast(pickle.dumps(([r.qid for r in rows], index, idf, terms, size.mean)))
+        return lists.mapInArrow(search(shared), f"qid {qkind}, id {kind}, score double")
+
+    return top_of_each(in_blocks(asked, ask, f"qid {qkind}, id {kind}, score double").repartition("qid"), k)
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together until they hold ``rows`` rows or 32 MB."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= 1 << 25:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def hits_of(rows: list, qkind: str, kind: str) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(list(cols[0]), ARROW[qkind]), pa.array(list(cols[1]), ARROW[kind]), pa.array(list(cols[2]), pa.float64())], names=["qid", "id", "score"])
+
+
+def in_blocks(asked: DataFrame, ask, schema: str) -> DataFrame:
+    """The answers of ``ask`` to blocks of at most ``QUESTIONS`` questions; one block at a time is on the driver."""
+    found, block = [], []
+    for r in asked.toLocalIterator():
+        block.append(r)
+        if len(block) == QUESTIONS:
+            found.append(ask(block))
+            block = []
+    if block:
+        found.append(ask(block))
+    return reduce(lambda a, b: a.unionByName(b), found) if found else asked.sparkSession.createDataFrame([], schema)
 
 
 def top_of_each(scored: DataFrame, k: int) -> DataFrame:
@@ -122,7 +225,8 @@ def top_of_each(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
-QUESTIONS = 4096
+QUESTIONS, ROWS = 4096, 16384  # of a block, and of a chunk of the index
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
 
 
 def knn_batch(nodes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -160,27 +264,16 @@ def knn_batch(nodes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
                     if len(have) > 4 * k:
                         best[j] = dict(sorted(have.items(), key=lambda e: (-e[1], e[0]))[:k])
             out = [(qid, i, s) for qid, have in zip(qids, best) for i, s in sorted(have.items(), key=lambda e: (-e[1], e[0]))[:k]]
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), schema[0]), pa.array(list(cols[1]), schema[1]), pa.array(list(cols[2]), pa.float64())], names=["qid", "id", "score"])
+            yield hits_of(out, qkind, kind)
 
         return run
 
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
-    schema = (kinds[qkind], kinds[kind])
-    found, block = None, []
-
     def ask(rows: list) -> DataFrame:
         q = np.array([r.v for r in rows], np.float64)
         shared = spark.sparkContext.broadcast(pickle.dumps(([r.qid for r in rows], q / np.linalg.norm(q, axis=1, keepdims=True))))
         return kept.mapInArrow(search(shared), f"qid {qkind}, id {kind}, score double")
 
-    for r in asked.toLocalIterator():  # one block at a time on the driver
-        block.append(r)
-        if len(block) == QUESTIONS:
-            found, block = ask(block) if found is None else found.unionByName(ask(block)), []
-    if block or found is None:
-        part = ask(block) if block else spark.createDataFrame([], f"qid {qkind}, id {kind}, score double")
-        found = part if found is None else found.unionByName(part)
+    found = in_blocks(asked, ask, f"qid {qkind}, id {kind}, score double")
     return top_of_each(found.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 

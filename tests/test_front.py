@@ -1,5 +1,6 @@
 """The front, its guard and runner, hot documents, spreadsheets and searches, by literal cases."""
 
+import math
 import zipfile
 
 import pytest
@@ -160,6 +161,41 @@ def test_searches_count_repeated_rows_once(spark):
     assert {r.id: r.score for r in many.collect()} == single and len(single) == 20
 
 
+def shuffled(spark, run) -> int:
+    """Rows that the stages of ``run`` write to shuffles."""
+    store, before = spark.sparkContext._jsc.sc().statusStore(), 0
+    for sign in (-1, 1):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        before += sign * sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+        if sign < 0:
+            run()
+    return before
+
+
+@pytest.mark.parametrize("rows", [3, 16384])
+def test_many_questions_shuffle_no_pairs(spark, monkeypatch, rows):
+    monkeypatch.setattr(retrieval, "ROWS", rows, raising=False)
+    monkeypatch.setattr(retrieval, "QUESTIONS", 250)  # two blocks
+    texts = spark.range(400).select(F.concat(F.lit("n"), "id").alias("id"), F.concat(F.lit("common words and "), "id").alias("text"))
+    asked = spark.range(400).select(F.col("id").alias("qid"), F.explode(F.array(F.lit("common"), F.lit("words"), F.col("id").cast("string"))).alias("term"))
+    sizes = spark.createDataFrame([(400, 4.0)], "total bigint, mean double")
+    for search in (lambda: retrieval.bm25_batch(retrieval.postings(texts), sizes, asked, 2), lambda: retrieval.bm25_batch_texts(texts, asked, 2)):
+        got = []
+        # 400 x 400 pairs have a word in common
+        assert shuffled(spark, lambda: got.extend(search().collect())) < 40_000
+        assert {(r.qid, r["rank"]): r.id for r in got} == {(q, k): f"n{q}" if k == 1 else "n0" if q else "n1" for q in range(400) for k in (1, 2)}
+
+
+def test_batches_count_all_texts_of_an_id(spark):
+    rows = [("a", "red blue"), ("a", "red green"), ("a", "red"), ("a", "red blue"), ("b", "blue Blue"), ("c", ""), (None, "red"), ("d", None)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = retrieval.bm25_batch_texts(df, spark.createDataFrame([(1, "red"), (1, "blue"), (1, "blue"), (2, "none")], "qid bigint, term string"), 5).collect()
+    # five texts of seven words; (id, length, term, times): a 2 red 2, a 1 red 1, a 2 blue 1, b 2 blue 2
+    part = lambda dl, tf, n: math.log(1 + (5 - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / 1.4))
+    assert [(r.qid, r.id, r.score, r["rank"]) for r in got] == [(1, "a", round(part(2, 2, 2) + part(1, 1, 2) + part(2, 1, 2), 6), 1), (1, "b", round(part(2, 2, 2), 6), 2)]
+
+
 def test_fallbacks(spark):
     df = spark.createDataFrame([(i, [1.0], "x") for i in range(5)], "id bigint, v array<double>, text string")
     assert [r.id for r in retrieval.with_fallback(lambda: 1 / 0, df, 2, F.col("id") > 1).orderBy("rank").collect()] == [2, 3]
