@@ -3,7 +3,7 @@
 One question: its vector and terms are literals of the plan, the index is scanned
 without a shuffle of vectors or texts, and only the best rows leave the tasks.
 Many questions: they are rows; vectors meet the index in blocks of matrix
-products, terms meet the postings in a join. Rows may repeat; each counts once.
+products, terms meet the rows' words inside the tasks. Rows may repeat; each counts once.
 """
 
 from __future__ import annotations
@@ -239,7 +239,8 @@ def knn_batch(nodes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """
     spark = nodes.sparkSession
     asked = questions.filter(usable(F.col("v"))).select("qid", F.col("v").cast("array<double>").alias("v"))
-    kept = nodes.filter(usable(F.col("v"))).select("id", F.col("v").cast("array<double>").alias("v"))
+    # from at most two tasks a core, as each sends k rows a question
+    kept = nodes.filter(usable(F.col("v"))).select("id", F.col("v").cast("array<double>").alias("v")).coalesce(2 * spark.sparkContext.defaultParallelism)
     kind = dict(kept.dtypes)["id"]
     qkind = dict(asked.dtypes)["qid"]
 
@@ -247,6 +248,7 @@ def knn_batch(nodes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = pickle.loads(shared.value)
             best: list[dict] = [{} for _ in qids]
+            least = np.full(len(qids), -2.0)
             for batch in batches:
                 sizes = np.array(batch.column("v").value_lengths())
                 rows = np.flatnonzero(sizes == q.shape[1])
@@ -255,14 +257,26 @@ def knn_batch(nodes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
                 part = batch.take(pa.array(rows))
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
                 ids = part.column("id").to_pylist()
-                sims = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 6)
-                for j in range(len(qids)):
-                    col, have = sims[:, j], best[j]
-                    least = min(have.values()) if len(have) >= k else -2.0
-                    for i in np.flatnonzero(col >= least):
-                        have[ids[i]] = col[i]
-                    if len(have) > 4 * k:
-                        best[j] = dict(sorted(have.items(), key=lambda e: (-e[1], e[0]))[:k])
+                once = list({(i, v.tobytes()): n for n, (i, v) in enumerate(zip(ids, x))}.values())
+                x, ids = x[once] / np.linalg.norm(x[once], axis=1, keepdims=True), [ids[n] for n in once]
+                # so many of the best rows hold the k best ids, also where ids have several vectors
+                most = k + len(ids) - len(set(ids))
+                for start in range(0, len(qids), 512):
+                    sims = q[start : start + 512] @ x.T
+                    for j, row in enumerate(sims, start):
+                        have = best[j]
+                        near = np.flatnonzero(row >= least[j] - 1e-6)
+                        got = np.round(row[near], 6)
+                        if len(near) > most:  # ties of the last place stay
+                            good = got >= np.partition(got, len(got) - most)[len(got) - most]
+                            near, got = near[good], got[good]
+                        if not len(near):
+                            continue
+                        for i, s in zip(near.tolist(), got.tolist()):
+                            have[ids[i]] = max(s, have.get(ids[i], -2.0))
+                        best[j] = have = dict(sorted(have.items(), key=lambda e: (-e[1], e[0]))[:k])
+                        if len(have) == k:
+                            least[j] = min(have.values())
             out = [(qid, i, s) for qid, have in zip(qids, best) for i, s in sorted(have.items(), key=lambda e: (-e[1], e[0]))[:k]]
             yield hits_of(out, qkind, kind)
 
@@ -274,7 +288,7 @@ def knn_batch(nodes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
         return kept.mapInArrow(search(shared), f"qid {qkind}, id {kind}, score double")
 
     found = in_blocks(asked, ask, f"qid {qkind}, id {kind}, score double")
-    return top_of_each(found.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
+    return top_of_each(found.repartition("qid").groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
 def rrf_batch(*lists: DataFrame, k: int, c: int = RRF_K) -> DataFrame:

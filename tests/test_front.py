@@ -187,6 +187,21 @@ def test_many_questions_shuffle_no_pairs(spark, monkeypatch, rows):
         assert {(r.qid, r["rank"]): r.id for r in got} == {(q, k): f"n{q}" if k == 1 else "n0" if q else "n1" for q in range(400) for k in (1, 2)}
 
 
+def test_many_vectors_send_only_the_best(spark):
+    # two tasks a core at most, of 40 parts; repeated rows, an id with two vectors, ties
+    v = lambda a: F.array(F.cos(a), F.sin(a))
+    df = spark.range(0, 400, 1, 40).select(F.format_string("n%03d", "id").alias("id"), v(F.col("id") % 200 / 200.0).alias("v"))
+    df = df.unionByName(df.filter("id = 'n007'")).unionByName(spark.createDataFrame([("n005", [1.0, 0.0])] * 30, "id string, v array<double>"))
+    asked = spark.range(200).select(F.col("id").alias("qid"), v(F.col("id") / 200.0).alias("v"))
+    got = []
+    sent = shuffled(spark, lambda: got.extend(retrieval.knn_batch(df, asked, 3).collect()))
+    # a row a question, task and rank, once
+    assert sent <= 2 * spark.sparkContext.defaultParallelism * 200 * 3 + 1000
+    rows = {(r.qid, r["rank"]): r.id for r in got}
+    assert len(rows) == 600 and all(rows[(q, 1)] == f"n{q:03d}" and rows[(q, 2)] == f"n{q + 200:03d}" for q in range(6, 200))
+    assert [rows[(0, k)] for k in (1, 2, 3)] == ["n000", "n005", "n200"]
+
+
 def test_batches_count_all_texts_of_an_id(spark):
     rows = [("a", "red blue"), ("a", "red green"), ("a", "red"), ("a", "red blue"), ("b", "blue Blue"), ("c", ""), (None, "red"), ("d", None)]
     df = spark.createDataFrame(rows, "id string, text string")
