@@ -4,7 +4,7 @@ Method: anagram hashing. The hash of a word is the sum of a power of its
 characters' code points, so that replacing characters changes it by a fixed
 difference, wherever in the word they stand. Rare words of scanned pages are
 joined in SQL with the known words of the collection over the differences of
-confusions, one or two a word; candidates are checked by replacing the characters,
+confusions, one or two a word (the second is taken back from the known word's side); candidates are checked by replacing the characters,
 and ranked by the evidence for the confusion and the frequency of the word. The
 confusions are learnt: long rare words are joined with common ones that share their
 first or last half, and what differs is counted; a few that scanners are known for
@@ -40,8 +40,8 @@ from docloom.operators.sections import ranges
 from .common import materialize, spread
 
 MIN_KNOWN, RATIO, CLEAN_RATE, COMMON = 4, 20, 0.2, 1e-5
-# Confusions: least words and least share of the evidence of a learnt one, least length (in parts) of words to learn from, and how many, by evidence, may come in twos.
-EVIDENCE, EVIDENCE_SHARE, LEARN_FROM, IN_TWOS = 5, 1e-3, 10, 64
+# Confusions: least words and least share of the evidence of a learnt one, least length (in parts) of words to learn from.
+EVIDENCE, EVIDENCE_SHARE, LEARN_FROM = 5, 1e-3, 10
 MIN_LINES = 6.0
 
 # What scanners are known to read wrongly, and what stood there; Korean by the parts of its syllables. They start with a little evidence.
@@ -417,7 +417,7 @@ def _residues(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learnt_confusions(rare: DataFrame, common: DataFrame) -> list[tuple[str, str, float]]:
     """(wrong, right, evidence), most evidence first: what rare words have where common ones of the same first or last half differ.
 
-    A word with several such partners counts in parts. At most 1 / ``EVIDENCE_SHARE`` are kept.
+    A word with several such partners counts in parts. Those of a share of ``EVIDENCE_SHARE`` are kept, 1 / ``EVIDENCE_SHARE`` at most.
     """
     schema = "word string, parts string, hash bigint, clean bigint"
     long = lambda df: df.select("word", "clean").mapInArrow(_with_counts, schema).filter(F.length("parts") >= LEARN_FROM)
@@ -426,12 +426,12 @@ def learnt_confusions(rare: DataFrame, common: DataFrame) -> list[tuple[str, str
     pair = halves(rare, False).join(right, "key").filter((F.abs(F.length("parts") - F.length("right_parts")) <= 1) & (F.col("right_n") > RATIO * F.col("clean")))
     found = pair.select("word", "parts", "right_parts").distinct().mapInArrow(_residues, "word string, wrong string, right string").distinct()
     each = found.groupBy("word").agg((1.0 / F.count(F.lit(1))).alias("part"), F.collect_list(F.struct("wrong", "right")).alias("c")).select("part", F.explode("c").alias("c"))
-    rows = each.groupBy("c.wrong", "c.right").agg(F.sum("part").alias("n")).filter(F.col("n") >= EVIDENCE).orderBy(F.desc("n"), "wrong", "right").limit(int(1 / EVIDENCE_SHARE)).collect()
-    total = sum(r.n for r in rows)
+    often = materialize(each.groupBy("c.wrong", "c.right").agg(F.sum("part").alias("n")).filter(F.col("n") >= EVIDENCE))
+    total = often.agg(F.sum("n").alias("n")).first().n or 0.0
+    rows = often.filter(F.col("n") >= EVIDENCE_SHARE * total).collect()
     seen = {(w, r): 2.0 * 0.93**i for i, (w, r) in enumerate(CONFUSIONS)}
     for r in rows:
-        if r.n >= EVIDENCE_SHARE * total:
-            seen[(r.wrong, r.right)] = seen.get((r.wrong, r.right), 0.0) + r.n
+        seen[(r.wrong, r.right)] = seen.get((r.wrong, r.right), 0.0) + r.n
     return sorted(((w, r, n) for (w, r), n in seen.items()), key=lambda x: (-x[2], x[0], x[1]))
 
 
@@ -440,39 +440,37 @@ def replaced(word: str, wrong: str, right: str) -> list[str]:
     return [word[:i] + right + word[i + len(wrong) :] for i in range(len(word)) if word.startswith(wrong, i)]
 
 
-def _tries(table: list[tuple[str, str, float]], twos: bool):
-    """The hashes that a rare word would have without a confusion that it may hold, or without two."""
+def _tries(table: list[tuple[str, str, float]], back: bool):
+    """The hashes that a word would have without a confusion that it may hold, or (``back``) before the last one was put right."""
     by: dict[str, list[int]] = {}
-    for i, (wrong, _, _) in enumerate(table):
-        by.setdefault(wrong, []).append(i)
-    diff = [anagram_hash(r) - anagram_hash(w) for w, r, _ in table]
+    for i, (wrong, right, _) in enumerate(table):
+        by.setdefault(right if back else wrong, []).append(i)
+    diff = [(anagram_hash(w) - anagram_hash(r)) if back else (anagram_hash(r) - anagram_hash(w)) for w, r, _ in table]
+    lengths = sorted({len(x) for x in by})
 
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for w, p, h, n in zip(*[batch.column(c).to_pylist() for c in ("word", "parts", "hash", "clean")]):
-                have = sorted({i for k in (1, 2) for at in range(len(p) - k + 1) for i in by.get(p[at : at + k], ())})
-                if twos:
-                    few = [i for i in have if i < IN_TWOS]
-                    rows += [(w, p, n, h + diff[i] + diff[j], i, j) for x, i in enumerate(few) for j in few[x:]]
-                else:
-                    rows += [(w, p, n, h + diff[i], i, -1) for i in have]
-            cols = list(zip(*rows)) if rows else [[] for _ in range(6)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["word", "parts", "clean", "hash", "c1", "c2"])
+                rows += [(w, p, n, h + diff[i], i) for i in {i for k in lengths for at in range(len(p) - k + 1) for i in by.get(p[at : at + k], ())}]
+            cols = list(zip(*rows)) if rows else [[] for _ in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["word", "parts", "clean", "hash", "c"])
 
     return tries
 
 
 def _checked(table: list[tuple[str, str, float]]):
-    """Hits of equal hash that the replacements really turn into the known word, with their score."""
+    """Hits of equal hash that the replacements, the second of which may be -1, really turn into the known word, with their score.
+
+    Both confusions of two stand in the word as it is.
+    """
     most = max(n for _, _, n in table)
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = []
             for p, r, n, i, j in zip(*[batch.column(c).to_pylist() for c in ("parts", "right_parts", "right_n", "c1", "c2")]):
-                forms = replaced(p, *table[i][:2])
-                good = r in forms if j < 0 else any(r in replaced(f, *table[j][:2]) for f in forms) or any(r in replaced(f, *table[i][:2]) for f in replaced(p, *table[j][:2]))
+                good = (j < 0 or table[j][0] in p) and any(r == f if j < 0 else r in replaced(f, *table[j][:2]) for f in replaced(p, *table[i][:2]))
                 weight = table[i][2] / most * (1.0 if j < 0 else table[j][2] / most)
                 score.append(n * weight if good else None)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("right"), pa.array(score, pa.float64())], names=["word", "right", "score"])
@@ -491,17 +489,20 @@ def corrections(rare: DataFrame, counts: DataFrame, known: DataFrame) -> DataFra
     total = known.agg(F.sum("clean").alias("n")).first().n or 0
     common = known.filter(F.col("clean") >= COMMON * total)  # 1 / COMMON words at most
     table = learnt_confusions(hashed, common)
-    schema, tried = "word string, parts string, hash bigint, clean bigint", "word string, parts string, clean bigint, hash bigint, c1 int, c2 int"
+    schema, tried = "word string, parts string, hash bigint, clean bigint", "word string, parts string, clean bigint, hash bigint, c int"
     hashed = materialize(hashed.mapInArrow(_with_counts, schema).filter(F.length("word") >= 2))
-    named = lambda df: materialize(df.select("word", "clean").mapInArrow(_with_counts, schema)).select(F.col("word").alias("right"), F.col("parts").alias("right_parts"), "hash", F.col("clean").alias("right_n"))
+    named = lambda df: df.select(F.col("word").alias("right"), F.col("parts").alias("right_parts"), "hash", F.col("clean").alias("right_n"), "c2")
+    parted = lambda df: df.select("word", "clean").mapInArrow(_with_counts, schema)
 
-    def best(words: DataFrame, right: DataFrame, twos: bool) -> DataFrame:
-        hit = words.mapInArrow(_tries(table, twos), tried).join(right, "hash").filter(F.col("right_n") >= RATIO * (F.col("clean") + 1))
+    def best(words: DataFrame, right: DataFrame) -> DataFrame:
+        hit = words.mapInArrow(_tries(table, False), tried).withColumnRenamed("c", "c1").join(right, "hash").filter(F.col("right_n") >= RATIO * (F.col("clean") + 1))
         good = hit.select("word", "right", "parts", "right_parts", "right_n", "c1", "c2").mapInArrow(_checked(table), "word string, right string, score double").filter("score is not null")
         return good.groupBy("word").agg(F.max_by("right", F.struct("score", "right")).alias("right"))
 
-    one = materialize(best(hashed, named(known.filter(F.col("clean") >= RATIO)), False))
-    two = best(hashed.filter(F.length("parts") >= 8).join(one, "word", "left_anti"), F.broadcast(named(common)), True)
+    one = materialize(best(hashed, named(materialize(parted(known.filter(F.col("clean") >= RATIO))).withColumn("c2", F.lit(-1)))))
+    # any two confusions: the rare word without one meets the common word with the other
+    before = materialize(parted(common).mapInArrow(_tries(table, True), tried).withColumnRenamed("c", "c2"))
+    two = best(hashed.filter(F.length("parts") >= 8).join(one, "word", "left_anti"), named(before))
     return one.unionByName(two)
 
 

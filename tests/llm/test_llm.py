@@ -139,6 +139,18 @@ def test_two_confusions_and_learnt_ones(spark):
     assert got == {**{w: w.replace("x", "t") for w in wrong}, "ausfiihrlich": "ausführlich", "documcntaxion": "documentation"}
 
 
+def test_any_two_confusions_come_together(spark):
+    right = [f"{a * 3}z{b * 3}{c * 3}q{d * 3}" for a, b, c, d in ("abcd", "efgh", "hgba", "jkah", "mpda", "tdke")]
+    letters = [chr(i) for i in (*range(0x10D0, 0x10F0), *range(0x0561, 0x0587))]
+    # seventy confusions of six words each, and one of five
+    wrong = {w.replace("z", x): w for w in right for x in letters} | {w.replace("q", "ж"): w for w in right[:5]}
+    twice = {w.replace("z", letters[0]).replace("q", "ж"): w for w in right}
+    known = spark.createDataFrame([(w, 500) for w in right], "word string, clean bigint")
+    rare = spark.createDataFrame([(w,) for w in [*wrong, *twice]], "word string")
+    counts = rare.select("word", F.lit(0).cast("bigint").alias("clean"), F.lit(1).cast("bigint").alias("noisy"))
+    assert len(letters) == 70 and {r.word: r.right for r in scanrepair.corrections(rare, counts, known).collect()} == wrong | twice
+
+
 def test_common_misreadings_are_not_known(spark):
     rows = [("report", 9000, 1000), ("rep0rt", 6, 300), ("grid", 40, 4), ("rare", 3, 0), ("other", 90000, 9000)]
     known, common = scanrepair.known_words(spark.createDataFrame(rows, "word string, clean bigint, noisy bigint"))
