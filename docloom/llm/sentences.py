@@ -39,6 +39,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache, partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,12 +58,17 @@ SPAN = re.compile(
     r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「(?:[^「」]|「[^「」]*」)*」|『[^『』]*』|(?<!\w)‘[^‘’]*’(?![A-Za-zÀ-ɏ])|(?<![^\s(（])\"[^\"]*\"|\((?:[^()]|\([^()]*\))*\)|（[^（）]*）|\[[^\[\]]*\]"
 )
 SIGN = re.compile(r"[.!?]+|[。！？｡]+|…+|[।॥]+|\n")
+# A run of signs of any kind: searched for faster than SIGN, which then takes runs of several characters apart.
+SIGNS = re.compile(r"[.!?。！？｡…।॥\n]+")
+NEXT = re.compile(r"\s*(\S+)")
+CLOSING = frozenset("”»」』’)）]\"")
 # What follows a sentence sign or begins a block, in scripts without spaces.
 STARTS = re.compile(r"(?:^|[。！？])[\s「『（“‘]*([^\s「『（“‘])")
 THAI_SPACE = re.compile(r"(?<=\S)[^\S\n]+(?=\S)")
 INNER_END = re.compile(r"[.!?。！？｡।…][\s”“»」』’\")）\]]*$")
 STRIP = "“”„\"«»「」『』‘’'()（）[]{}.,;:!?…。，、；：！？।॥"
-NUMBER = re.compile(r"^[\d.,:/-]*\d[\d.,:/-]*$")
+NUMBER = re.compile(r"^[.,:/-]*\d[\d.,:/-]*$")
+INITIALS = re.compile(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}")
 
 # A few frequent words that tell Latin-script languages apart, for texts without a language label.
 LATIN_WORDS = {
@@ -71,6 +77,9 @@ LATIN_WORDS = {
     "fr": {"le", "la", "de", "et", "du", "des", "les", "à", "en", "un", "une", "sur", "est", "par", "pour", "dans", "selon", "qui", "après", "avec"},
 }
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ɏ]+")
+# Letters that are not of one byte, or become so in lower case; and the one-byte letters in lower case, all else as blanks.
+LATIN_REST = re.compile("[\u0100-\u024f\u1e9e\u212a\u212b\u2c7e\u2c7f]")
+LATIN_BYTES = bytes(ord(chr(b).lower()) if LATIN_WORD.match(chr(b)) else 32 for b in range(256))
 LABEL = re.compile(r"^[a-z]{2,3}$")
 # The ranges of letters that tell the other scripts; Han last, as Japanese has it too.
 SCRIPTS = [
@@ -83,11 +92,23 @@ SCRIPTS = [
 OTHER_SCRIPT = re.compile(r"[\u0370-\u1fff\u2c00-\ud7ff\uf900-\ufdff]")
 
 
+def latin_bytes(text: str) -> bytes | None:
+    """The text's Latin words in lower case, with blanks between them; none if letters take more than a byte."""
+    return None if not text.isascii() and LATIN_REST.search(text) else text.encode("latin-1", "replace").translate(LATIN_BYTES)
+
+
+def latin_words(text: str) -> list[str]:
+    """What ``LATIN_WORD`` finds in the text in lower case; by bytes, which is faster, where they do."""
+    plain = latin_bytes(text)
+    return LATIN_WORD.findall(text.lower()) if plain is None else plain.decode("latin-1").split()
+
+
 class Languages:
     """Tells the language of a block by its script, of Latin script by its words (word -> log odds of each language)."""
 
     def __init__(self, names: list[str], words: dict[str, tuple[float, ...]]) -> None:
         self.names, self.words = names, words
+        self.plain = {w.encode("latin-1"): odds for w, odds in words.items() if not LATIN_REST.search(w)}
 
     @staticmethod
     def seeds() -> Languages:
@@ -95,12 +116,13 @@ class Languages:
         return Languages(names, {w: tuple(ODDS * (w in LATIN_WORDS[n]) for n in names) for w in set().union(*LATIN_WORDS.values())})
 
     def of(self, block: str, base: Callable[[], str] | None = None) -> str:
-        if OTHER_SCRIPT.search(block):
+        if not block.isascii() and OTHER_SCRIPT.search(block):
             least = 0.12 * len(block)
             for lang, pattern in SCRIPTS:
                 if pattern.search(block) and sum(map(len, pattern.findall(block))) > least:
                     return lang
-        known = [self.words[w] for w in LATIN_WORD.findall(block.lower()) if w in self.words]
+        plain = latin_bytes(block)
+        known = [*filter(None, map(self.words.get, LATIN_WORD.findall(block.lower())) if plain is None else map(self.plain.get, plain.split()))]
         if known and len(self.names) > 1:
             sums = [sum(x) for x in zip(*known)]
             best, second = sorted(sums, reverse=True)[:2]
@@ -125,7 +147,7 @@ def _label_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            words = LATIN_WORD.findall(text.lower())
+            words = latin_words(text)
             counts[lang].update(words)
             counts[lang][""] += len(text)
             counts[lang]["~"] += sum(map(len, words))
@@ -162,7 +184,15 @@ def learn_languages(texts: DataFrame) -> Languages:
 def core(token: str) -> str:
     """The token without outer punctuation, numbers as one type; inner periods stay."""
     word = token.strip(STRIP)
-    return "##" if NUMBER.match(word) else word
+    return "##" if not word[-1:].isalpha() and NUMBER.match(word) else word
+
+
+class _Cores(dict):
+    """The cores of tokens that come again."""
+
+    def __missing__(self, token: str) -> str:
+        self[token] = c = core(token)
+        return c
 
 
 def shape(word: str) -> str:
@@ -174,7 +204,7 @@ def shape(word: str) -> str:
     if c.isupper():
         return "~upper"
     if c.islower():
-        return "~mixed" if any(x.isupper() for x in word) else "~lower"
+        return "~lower" if word.islower() or not any(x.isupper() for x in word) else "~mixed"
     return "~" + word[-1]
 
 
@@ -192,31 +222,50 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
 
 def _count(languages: Languages, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token and pair counts of the partition."""
-    tokens, first, last, pairs = (defaultdict(Counter) for _ in range(4))
+    tokens, characters, first, last, pairs = (defaultdict(Counter) for _ in range(5))
 
     def flush() -> pa.RecordBatch:
-        rows: dict = defaultdict(lambda: [0, 0, 0, 0])
+        outer = _Cores()
+        columns: list[list] = [[] for _ in range(8)]
+
+        def put(lang: str, heads: list[str], nexts: list[str], counts: list) -> None:
+            for column, values in zip(columns, ([lang] * len(heads), heads, nexts, [shape(b or a) for a, b in zip(heads, nexts)], *counts)):
+                column += values
+
+        for lang, counter in characters.items():
+            for c, n in counter.items():
+                if not c.isspace():
+                    tokens[lang]["s:" + c] += n
         for lang, counter in tokens.items():
+            number, dots, begin, end = ({} for _ in range(4))
             for t, n in counter.items():
-                row = rows[(lang, core(t), "")]
-                row[0] += n
+                c = core(t)
+                number[c] = number.get(c, 0) + n
+                if c == t:
+                    continue  # without outer punctuation, so without a sign
                 bare = t.rstrip("”“»」』’\"')）]")
-                if bare.endswith(".") and not bare.endswith(".."):
-                    row[1] += n
-                if bare[-1:] in ("!", "?", "।", "॥"):
-                    row[3] += n
-        for at, counts in ((2, first), (3, last)):
-            for lang, counter in counts.items():
-                for t, n in counter.items():
-                    rows[(lang, core(t), "")][at] += n
+                if bare.endswith("."):
+                    if not bare.endswith(".."):
+                        dots[c] = dots.get(c, 0) + n
+                elif bare.endswith(("!", "?", "।", "॥")):
+                    end[c] = end.get(c, 0) + n
+            for found, counts in ((begin, first), (end, last)):
+                for t, n in counts[lang].items():
+                    c = outer[t]
+                    number.setdefault(c, 0)
+                    found[c] = found.get(c, 0) + n
+            put(lang, [*number], [""] * len(number), [number.values(), *(map(x.get, number, repeat(0)) for x in (dots, begin, end))])
         for lang, counter in pairs.items():
+            both: dict[tuple[str, str], int] = {}
             for (a, b), n in counter.items():
-                rows[(lang, core(a), core(b))][0] += n
-        for d in (tokens, first, last, pairs):
+                key = outer[a], outer[b]
+                both[key] = both.get(key, 0) + n
+            none = [0] * len(both)
+            put(lang, [a for a, _ in both], [b for _, b in both], [[*both.values()], none, none, none])
+        for d in (tokens, characters, first, last, pairs):
             d.clear()
-        names = ["lang", "token", "next", "shape", "n", "dot", "first", "last"]
-        cols = [pa.array([k[i] for k in rows], pa.string()) for i in range(3)] + [pa.array([shape(k[2] or k[1]) for k in rows], pa.string())]
-        return pa.RecordBatch.from_arrays(cols + [pa.array([v[i] for v in rows.values()], pa.int64()) for i in range(4)], names=names)
+        kinds = [pa.string()] * 4 + [pa.int64()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "token", "next", "shape", "n", "dot", "first", "last"])
 
     size = 0
     for batch in batches:
@@ -226,16 +275,16 @@ def _count(languages: Languages, batches: Iterator[pa.RecordBatch]) -> Iterator[
                 block = text[s:e]
                 lang = languages.of(block, base)
                 if lang in ("zh", "ja"):
-                    tokens[lang].update("s:" + c for c in block if not c.isspace())
-                    first[lang].update("s:" + m.group(1) for m in STARTS.finditer(block))
+                    characters[lang].update(block)
+                    first[lang].update(["s:" + c for c in STARTS.findall(block)])
                     size += len(block)
                     continue
                 if lang == "th":
                     for line in block.split("\n"):
                         chunks = line.split()
                         if chunks:
-                            tokens[lang].update("e:" + c[-4:] for c in chunks)
-                            tokens[lang].update("s:" + c[:4] for c in chunks)
+                            tokens[lang].update(["e:" + c[-4:] for c in chunks])
+                            tokens[lang].update(["s:" + c[:4] for c in chunks])
                             first[lang]["s:" + chunks[0][:4]] += 1
                             last[lang]["e:" + chunks[-1][-4:]] += 1
                     continue
@@ -248,7 +297,8 @@ def _count(languages: Languages, batches: Iterator[pa.RecordBatch]) -> Iterator[
                 if not m:
                     first[lang][words[0]] += 1
                 last[lang][words[-1]] += 1
-                pairs[lang].update((a, b) for a, b in zip(words, words[1:]) if a[-1] == "." and a[-2:] != "..")
+                if "." in block:
+                    pairs[lang].update([(a, b) for a, b in zip(words, words[1:]) if a[-1] == "." and a[-2:] != ".."])
         if size > 2_000_000:
             yield flush()
             size = 0
@@ -271,7 +321,9 @@ def learn(texts: DataFrame) -> dict:
     shared = texts.sparkSession.sparkContext.broadcast(pickle.dumps((languages.names, languages.words)))
     counted = spread(texts.select("text").filter("text is not null"), "text").mapInArrow(lambda batches: _count(Languages(*pickle.loads(shared.value)), batches), "lang string, token string, next string, shape string, n bigint, dot bigint, first bigint, last bigint")
     counts = materialize(counted.groupBy("lang", "token", "next", "shape").agg(*[F.sum(c).alias(c) for c in ("n", "dot", "first", "last")]))
+    often = materialize(counts.filter(f"n >= {min(MIN_COUNT, 5)} or dot >= 3"))  # a small part of all counts, read instead of them below
     types = counts.filter("next = ''").drop("next")
+    frequent = often.filter("next = ''").drop("next")
     pairs = counts.filter("next <> '' and lang not in ('th', 'zh', 'ja')").select("lang", "token", "next", "shape", "n")
     total = types.groupBy("lang").agg(F.sum("n").alias("all_n"), F.sum("dot").alias("all_dot"), F.sum("first").alias("all_first"), F.sum("last").alias("all_last"))
     total = materialize(total)  # a row a language
@@ -289,9 +341,9 @@ def learn(texts: DataFrame) -> dict:
     # what follows a type's periods, as far as it looks like a start
     scores = rates.select("lang", "key", "start")
     # at most 1 / MIN_SHARE tokens a language
-    known = joined.filter(own).select("lang", F.col("token").alias("next"), F.lit(True).alias("own"))
+    known = frequent.join(F.broadcast(total), "lang").filter(own).select("lang", F.col("token").alias("next"), F.lit(True).alias("own"))
     follow = pairs.join(F.broadcast(known), ["lang", "next"], "left").withColumn("key", F.when(F.col("own"), F.col("next")).otherwise(F.col("shape"))).join(F.broadcast(scores), ["lang", "key"], "left")
-    after = follow.groupBy("lang", "token").agg(F.sum("n").alias("followed"), F.coalesce(F.sum(F.when(F.col("start") > 0, F.col("n"))), F.lit(0)).alias("starts"))
+    after = materialize(follow.groupBy("lang", "token").agg(F.sum("n").alias("followed"), F.coalesce(F.sum(F.when(F.col("start") > 0, F.col("n"))), F.lit(0)).alias("starts")))
     base = after.groupBy("lang").agg(F.sum("followed").alias("all_followed"), F.sum("starts").alias("all_starts"))
     numbers = after.filter("token = '##'").join(F.broadcast(base), "lang").join(F.broadcast(total), "lang")
     fewer = _llr(d("starts"), d("followed"), d("all_starts") - d("starts") + 0.5, d("all_followed") - d("followed") + 1.0)
@@ -302,7 +354,7 @@ def learn(texts: DataFrame) -> dict:
     last = last.join(F.broadcast(total), "lang").filter((F.col("dot") >= MIN_COUNT) & (F.col("dot") * 2 > F.col("n")))
     for r in last.filter(_llr(d("dot"), F.greatest(d("n"), d("dot")), d("all_dot") - d("dot"), d("all_n") - d("n")) > 7.88).select("lang", "c").collect():
         model["closers"][r.lang].add(r.c)
-    cand = types.filter("dot >= 3 and dot * 2 > n").join(after, ["lang", "token"], "left").join(F.broadcast(total), "lang").join(F.broadcast(base), "lang").na.fill(0)
+    cand = frequent.filter("dot >= 3 and dot * 2 > n").join(after, ["lang", "token"], "left").join(F.broadcast(total), "lang").join(F.broadcast(base), "lang").na.fill(0)
     cand = cand.withColumn("ended", F.greatest(F.col("dot") - F.col("followed"), F.lit(0)) + F.col("starts"))
     takes = _llr(d("dot"), F.greatest(d("n"), d("dot")), d("all_dot") - d("dot"), d("all_n") - d("n"))
     # the longer a word, the more evidence it takes
@@ -312,9 +364,9 @@ def learn(texts: DataFrame) -> dict:
     for r in abbr.filter(F.col("dot") >= F.col("all_dot") * MIN_SHARE).select("lang", "token").collect():
         model["abbreviations"][r.lang].add(r.token)
     # collocations after numbers and abbreviations, as a day and its month
-    often = types.filter("n >= 5")
-    one = often.select("lang", F.col("token").alias("next"), F.col("n").alias("n2"))
-    pair = pairs.filter("n >= 5").join(one, ["lang", "next"]).join(often.select("lang", "token", "dot"), ["lang", "token"]).join(F.broadcast(total), "lang")
+    five = frequent.filter("n >= 5")
+    one = five.select("lang", F.col("token").alias("next"), F.col("n").alias("n2"))
+    pair = often.filter("next <> '' and n >= 5 and lang not in ('th', 'zh', 'ja')").select("lang", "token", "next", "n").join(one, ["lang", "next"]).join(five.select("lang", "token", "dot"), ["lang", "token"]).join(F.broadcast(total), "lang")
     together = _llr(d("n"), F.greatest(d("dot"), d("n")), F.greatest(d("n2") - d("n"), F.lit(0.0)), d("all_n") - d("dot"))
     for r in pair.filter((together > 7.88) & (F.col("n") * d("all_n") > d("dot") * d("n2")) & (F.col("n") >= F.col("all_dot") * MIN_SHARE)).select("lang", "token", "next").collect():
         model["collocations"][r.lang].add((r.token, r.next))
@@ -342,24 +394,24 @@ class Classifier:
 
     def _period(self, block: str, lang: str, s: int, e: int) -> bool:
         """Does the sign block[s:e], of periods alone, end a sentence?"""
-        after = block[e : e + REACH]
-        if not after.strip():
+        follows = NEXT.match(block, e, e + REACH)
+        if not follows:
             return False
-        nxt = after.split(None, 1)[0]
-        left = block[max(0, s - REACH) : s]
-        word = left.rsplit(None, 1)[-1] if left and not left[-1].isspace() else ""
+        nxt = follows[1]
+        spaced = follows.start(1) > e
         if e - s > 1:
-            return bool(after[:1].isspace() and lang in self.model["start"] and lang != "ko" and nxt[:1].isupper() and self.start(lang, nxt) > 0)
+            return bool(spaced and lang in self.model["start"] and lang != "ko" and nxt[:1].isupper() and self.start(lang, nxt) > 0)
+        word = word_before(block, max(0, s - REACH), s)
         c = core(word)
         if lang in ("hi", "th", "zh", "ja"):
             return False  # a period is no sentence sign of these scripts
-        if not after[:1].isspace():
+        if not spaced:
             if not c or len(c) < 2 or "." in c or not word[-1:].isalpha() and word[-1:] not in "”’»)\"）":
                 return False
-            n = after[0]
+            n = block[e]
             if lang == "ko" or "가" <= n <= "힣":
                 return "가" <= word[-1] <= "힣" and (n.isalpha() or n in "“‘\"「(")
-            return (word[-1].islower() or not word[-1].isalpha()) and (n in "“„«\"「" or n.isupper() and after[1:2].islower() or unicode_letter(n)) and c not in self.model["abbreviations"].get(lang, ())
+            return (word[-1].islower() or not word[-1].isalpha()) and (n in "“„«\"「" or n.isupper() and block[e + 1 : e + 2].islower() or unicode_letter(n)) and c not in self.model["abbreviations"].get(lang, ())
         clean = nxt.lstrip(STRIP)
         lower = clean[:1].islower() and not any(x.isupper() for x in clean)
         if not c:
@@ -375,7 +427,7 @@ class Classifier:
             return lang in self.model["numbers"] or self.start(lang, nxt) > 0
         if len(c) == 1 and c.isupper() and len(clean.rstrip(STRIP)) == 1:
             return False  # initials in a row
-        if c in abbreviations or (len(c) == 1 and c.isupper()) or (re.fullmatch(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}", c) is not None):
+        if c in abbreviations or (len(c) == 1 and c.isupper()) or ("." in c and INITIALS.fullmatch(c) is not None):
             return not lower and not clean[:1].isdigit() and self.start(lang, nxt) > 0
         if lower:
             return self.start(lang, nxt) > 0
@@ -406,7 +458,13 @@ class Classifier:
         return b > 0 and a + b + self.LINE_PRIOR > 0
 
     def _spans(self, block: str, lang: str) -> list[tuple[int, int]]:
-        return [(m.start(), m.end()) for m in SPAN.finditer(block)] if OPENER.search(block) else []
+        out, opener = [], OPENER.search(block)
+        while opener:
+            m = SPAN.match(block, opener.start())
+            if m:
+                out.append(m.span())
+            opener = OPENER.search(block, m.end() if m else opener.end())
+        return out
 
     def units(self, text: str) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
@@ -414,24 +472,29 @@ class Classifier:
         for bs, be in blocks_of(text):
             block = text[bs:be]
             lang = self.languages.of(block, base)
-            cuts = self._cuts(block, lang)
             at = 0
-            for cut in [*cuts, len(block)]:
-                piece = block[at:cut]
-                left = len(piece) - len(piece.lstrip())
-                right = len(piece.rstrip())
-                if right > left:
-                    out.append((bs + at + left, bs + at + right))
+            for cut in [*self._cuts(block, lang), len(block)]:
+                piece = block[at:cut].lstrip()
+                if piece:
+                    left = bs + cut - len(piece)
+                    out.append((left, left + len(piece.rstrip())))
                 at = cut
         return out
 
     def _cuts(self, block: str, lang: str) -> list[int]:
         spans = self._spans(block, lang)
-        events = [(m.start(), m.end(), 0) for m in SIGN.finditer(block)]
-        events += [(s, e, 1) for s, e in spans]
-        if lang == "th":
-            events += [(m.start(), m.end(), 2) for m in THAI_SPACE.finditer(block)]
-        events.sort(key=lambda x: (x[0], -x[1]))
+        events = []
+        for m in SIGNS.finditer(block):
+            s, e = m.span()
+            if e - s == 1:
+                events.append((s, e, 0))
+            else:
+                events += [(x.start(), x.end(), 0) for x in SIGN.finditer(block, s, e)]
+        if spans or lang == "th":
+            events += [(s, e, 1) for s, e in spans]
+            if lang == "th":
+                events += [(m.start(), m.end(), 2) for m in THAI_SPACE.finditer(block)]
+            events.sort(key=lambda x: (x[0], -x[1]))
         cuts: list[int] = []
         unit, marked, inside = 0, bool(MARK.match(block)), 0
         for s, e, kind in events:
@@ -466,7 +529,7 @@ class Classifier:
                     cut = e
             if cut > 0:
                 # closing signs that stand right behind belong to the unit
-                while cut < len(block) and block[cut] in "”»」』’)）]\"" and not any(a == cut for a, _ in spans):
+                while cut < len(block) and block[cut] in CLOSING and not any(a == cut for a, _ in spans):
                     cut += 1
                 cuts.append(cut)
                 unit = cut
@@ -505,6 +568,12 @@ class Classifier:
         return a > 0.7 and b > -3
 
 
+def word_before(block: str, least: int, at: int) -> str:
+    """What stands before ``at`` without white space, from ``least`` on."""
+    word = block[max(least, block.rfind(" ", least, at) + 1) : at]
+    return word.rsplit(None, 1)[-1] if word and not word[-1].isspace() else ""
+
+
 def unicode_letter(c: str) -> bool:
     """A letter of a script without case."""
     return c.isalpha() and not c.islower() and not c.isupper()
@@ -526,7 +595,7 @@ def sentence_units(texts: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             found = [classifier.units(t) for t in batch.column("text").to_pylist()]
             n = np.array([len(u) for u in found], np.int64)
-            flat = np.array([x for u in found for x in u], np.int64).reshape(-1, 2)
+            flat = np.fromiter((x for u in found for unit in u for x in unit), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=[key, "start_pos", "end_pos"])
 
     kind = dict(rows.dtypes)[key]

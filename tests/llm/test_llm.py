@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("docloom.llm")
-from docloom.llm import mixing, neardup, packing, queries, scanrepair, sentences, subjects, unify, vectors  # noqa: E402
+from docloom.llm import common, mixing, neardup, packing, queries, scanrepair, sentences, subjects, unify, vectors  # noqa: E402
 from docloom.llm.tokens import encoding  # noqa: E402
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -449,6 +449,53 @@ def test_languages_of_labels(spark):
     assert set(languages.names) == {"en", "nl"} and languages.of("wordt het niet") == "nl" and languages.of("was this not that") == "en" and languages.of("회의 자료를") == "ko"
 
 
+def test_words_signs_and_quotations_are_found_quickly_and_rightly(classifier):
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        assert sentences.latin_words(f"Ab{c}d") == sentences.LATIN_WORD.findall(f"Ab{c}d".lower())
+    rng = random.Random(8)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "B", "ß", "Ÿ", "Ő", "\xd7", " ", "\u3000", "\n", ".", "!", "?", "…", "。", "।", "“", "”", '"', "(", "（", "）", ")", "[", "]", "‘", "’", "「", "」"]) for _ in range(40))
+        assert sentences.latin_words(text) == sentences.LATIN_WORD.findall(text.lower())
+        assert classifier._spans(text, "en") == [m.span() for m in sentences.SPAN.finditer(text)]
+        assert [m.span() for x in sentences.SIGNS.finditer(text) for m in sentences.SIGN.finditer(text, *x.span())] == [m.span() for m in sentences.SIGN.finditer(text)]
+    long = "The grid’s figures were reported again, and so was the “new” line for the city of Ärvik. " * 5000
+
+    def best(f):
+        took = []
+        for _ in range(5):
+            at = time.process_time()
+            f()
+            took.append(time.process_time() - at)
+        return min(took)
+
+    assert best(lambda: sentences.latin_words(long)) < 0.9 * best(lambda: sentences.LATIN_WORD.findall(long.lower()))
+    assert best(lambda: [*sentences.SIGNS.finditer(long)]) < best(lambda: [*sentences.SIGN.finditer(long)]) / 1.5
+
+
+def test_long_numbers_are_linear():
+    start = time.process_time()
+    assert sentences.core("1" * 60_000 + "x") == "1" * 60_000 + "x" and sentences.core("(1/2-3.5)") == "##" and sentences.core("-/-") == "-/-"
+    assert time.process_time() - start < 1
+
+
+def test_counts_are_read_once_for_the_rare_tokens(spark, folder):
+    """Tokens too rare to matter are read for the sums over all tokens, not again by each question to the frequent ones."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("text")
+    group = "p8 reads"
+    spark.sparkContext.setJobGroup(group, group)
+    written = len(common._written)
+    sentences.learn(docs)
+    spark.sparkContext._jsc.clearJobGroup()
+    tables = [spark.read.parquet(p).count() for p in common._written[written:]]
+    counts = max(tables)
+    status, read = spark.sparkContext._jsc.sc().statusStore(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    for job in spark.sparkContext.statusTracker().getJobIdsForGroup(group):
+        ids = status.job(job).stageIds()
+        read += sum(status.lastStageAttempt(ids.apply(i)).inputRecords() for i in range(ids.size()))
+    assert 3 * counts < read < 8 * counts
+
+
 def test_units_hold_all_characters(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     more = spark.createDataFrame([(10**9, "a. " * 30000), (10**9 + 1, None), (10**9 + 2, "  ")], "doc_id bigint, text string")
